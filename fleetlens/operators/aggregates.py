@@ -42,26 +42,29 @@ def resample_by_statistic(points: DataFrame, period_us: int) -> DataFrame:
     return sampled.withColumn("value", chosen).drop("avg", "min", "max", "sum")
 
 
-def canonical_descriptions(catalogue: DataFrame) -> DataFrame:
-    """First description seen per region, engine and metric, whatever the metric's spelling."""
-    first = F.min_by("description", F.struct("seen_at_us", "ordinal", "resource_id"))
-    return catalogue.groupBy("region", "engine", F.lower("metric").alias("metric_lower")).agg(
-        first.alias("canonical_description")
-    )
+def unique_definitions(catalogue: DataFrame) -> DataFrame:
+    """One row per instance and metric: the last definition wins; ``first_seen`` keeps the first one."""
+    keys = present(catalogue, SERIES_KEY)
+    rest = [c for c in catalogue.columns if c not in (*keys, "ordinal")]
+    last = F.max(F.struct("ordinal", *rest)).alias("last")
+    first = F.min(F.struct("seen_at_us", "ordinal", "resource_id", "description")).alias("first_seen")
+    return catalogue.groupBy(*keys).agg(last, first).select(*keys, "last.*", "first_seen")
 
 
-def with_canonical_description(catalogue: DataFrame) -> DataFrame:
-    rows = catalogue.withColumn("metric_lower", F.lower("metric"))
-    keyed = rows.join(canonical_descriptions(catalogue), ["region", "engine", "metric_lower"])
-    return keyed.withColumn("description", F.col("canonical_description")).drop("metric_lower", "canonical_description")
+def canonical_descriptions(unique: DataFrame) -> DataFrame:
+    """First description seen per region, engine and metric, whatever the metric's spelling."""
+    return unique.groupBy("region", "engine", F.lower("metric").alias("metric_lower")).agg(
+        F.min("first_seen").getField("description").alias("canonical_description")
+    )
 
 
-def last_definition(catalogue: DataFrame) -> DataFrame:
-    """One row per instance and metric: the last definition wins."""
-    keys = present(catalogue, SERIES_KEY)
-    rest = [c for c in catalogue.columns if c not in (*keys, "ordinal")]
-    last = F.max_by(F.struct("ordinal", *rest), "ordinal").alias("last")
-    return catalogue.groupBy(*keys).agg(last).select(*keys, "last.*")
+def with_canonical_description(unique: DataFrame) -> DataFrame:
+    """The join brings back a few rows per region and engine; adaptive execution broadcasts them."""
+    rows = unique.withColumn("metric_lower", F.lower("metric"))
+    keyed = rows.join(canonical_descriptions(unique), ["region", "engine", "metric_lower"])
+    return keyed.withColumn("description", F.col("canonical_description")).drop(
+        "metric_lower", "canonical_description", "first_seen"
+    )
 
 
 def collection_statistics(split: DataFrame) -> DataFrame:

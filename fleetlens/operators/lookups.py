@@ -23,7 +23,7 @@ def _catalogue_side(samples: DataFrame, catalogue: DataFrame) -> tuple[DataFrame
 def join_catalogue(samples: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Samples with the description and unit of their metric; others drop out (see ``not_in_catalogue``)."""
     side, keys = _catalogue_side(samples, catalogue)
-    return with_base(samples).join(side.select(*keys, "description", "unit", "statistics"), keys)
+    return with_base(samples).join(side, keys)
 
 
 def requested_only(joined: DataFrame) -> DataFrame:
@@ -37,9 +37,11 @@ def not_in_catalogue(samples: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def join_instances(samples: DataFrame, instances: DataFrame) -> DataFrame:
     """Samples with the label columns of their instance. Spark broadcasts the inventory if it is small."""
-    keys = shared(samples, instances)
     extra = ("region", "identifier", "cluster_identifier", "engine")
     labels = [name for name in extra if name not in samples.columns]
+    if not labels:
+        return samples
+    keys = shared(samples, instances)
     return samples.join(instances.select(*keys, *[n for n in labels if n not in keys]), keys)
 
 

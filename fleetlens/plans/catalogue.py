@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.aggregates import last_definition, with_canonical_description
+from fleetlens.operators.aggregates import unique_definitions, with_canonical_description
 from fleetlens.operators.keys import shared
 from fleetlens.operators.predicates import requested_type, valid_catalogue_row
 from fleetlens.operators.rules import Rules, metric_fields, pattern_filter, select_statistics
@@ -15,37 +15,48 @@ LOAD_DESCRIPTION = "Database load (DB load) measures the level of session activi
 LOAD_UNIT = "Average Active Sessions"
 
 
-def with_engine(raw: DataFrame, instances: DataFrame) -> DataFrame:
-    """Catalogue rows of known instances, with region and engine."""
+INSTANCE_LABELS = ("region", "engine", "identifier", "cluster_identifier")
+
+
+def of_instances(raw: DataFrame, instances: DataFrame) -> DataFrame:
+    """Catalogue rows of known instances, with the instance's labels."""
     keys = shared(raw, instances)
-    extra = [n for n in ("region", "engine") if n not in raw.columns]
-    rows = raw.join(instances.select(*keys, *extra), keys)
+    rows = raw.join(instances.select(*keys, *[n for n in INSTANCE_LABELS if n not in keys]), keys)
     return rows if "seen_at_us" in rows.columns else rows.withColumn("seen_at_us", F.lit(0).cast("bigint"))
 
 
 def with_load_metric(catalogue: DataFrame) -> DataFrame:
-    """Put the load metric before the entries of every catalogue that has any."""
-    owners = catalogue.groupBy("region", "resource_id", "engine").agg(F.min("seen_at_us").alias("seen_at_us"))
-    load = owners.select(
-        "region", "resource_id", "engine", "seen_at_us", F.lit(-1).alias("ordinal"),
-        F.lit(LOAD_METRIC).alias("metric"), F.lit(LOAD_DESCRIPTION).alias("description"), F.lit(LOAD_UNIT).alias("unit"),
-    )
-    return load.unionByName(catalogue.select(*load.columns))
+    """Put the load metric before the entries of every catalogue that has any.
+
+    Each entry brings the load metric along, and ``unique_definitions`` folds these copies into one before
+    the shuffle: no second scan to find the instances.
+    """
+    entry = ("ordinal", "metric", "description", "unit")
+    load = (F.lit(-1), F.lit(LOAD_METRIC), F.lit(LOAD_DESCRIPTION), F.lit(LOAD_UNIT))
+    itself = F.struct(*[F.col(n) for n in entry])
+    first = F.struct(*[value.alias(n) for n, value in zip(entry, load)])
+    rest = [n for n in catalogue.columns if n not in entry]
+    return catalogue.select(*rest, F.inline(F.array(first, itself)))
+
+
+def chosen_entries(catalogue: DataFrame, default: str, include: Rules | None, exclude: Rules | None) -> DataFrame:
+    """Valid entries with the statistics to request; entries without any drop out."""
+    statistics = select_statistics(F.col("metric"), default, include, exclude)
+    return catalogue.filter(valid_catalogue_row()).withColumn("statistics", statistics).filter(F.size("statistics") > 0)
 
 
 def build_catalogue(
     raw: DataFrame, instances: DataFrame, default: str = "avg",
     include: Rules | None = None, exclude: Rules | None = None,
 ) -> DataFrame:
-    """One row per instance and requested metric, with canonical description, unit and statistics."""
-    rows = with_load_metric(with_engine(raw.filter(F.col("metric").isNull() | requested_type(F.col("metric"))), instances))
-    valid = rows.filter(valid_catalogue_row())
-    chosen = valid.withColumn(
-        "statistics", select_statistics(F.col("metric"), default, include, exclude)
-    ).filter(F.size("statistics") > 0)
-    unique = last_definition(with_canonical_description(chosen))
+    """One row per instance and requested metric: canonical description, unit, statistics, instance labels."""
+    requested = raw.filter(F.col("metric").isNull() | requested_type(F.col("metric")))
+    entries = chosen_entries(with_load_metric(of_instances(requested, instances)), default, include, exclude)
+    unique = with_canonical_description(unique_definitions(entries))
     wanted = pattern_filter(metric_fields(F.col("metric"), F.col("unit")), None, include, exclude)
-    return unique.filter(wanted).select("region", "resource_id", "engine", "metric", "description", "unit", "statistics")
+    return unique.filter(wanted).select(
+        "region", "resource_id", "engine", "identifier", "cluster_identifier", "metric", "description", "unit", "statistics"
+    )
 
 
 def requested_series(catalogue: DataFrame) -> DataFrame:

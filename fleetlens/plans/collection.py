@@ -31,7 +31,10 @@ def recent(points: DataFrame, now_us: int, lookback_us: int = LOOKBACK_US) -> Da
 
 
 def collect_metrics(points: DataFrame, catalogue: DataFrame, instances: DataFrame, now_us: int, prefix: str = PREFIX) -> DataFrame:
-    """Points are cut to the lookback at the scan and to one row per series before any join."""
+    """Points are cut to the lookback at the scan and to one row per series before any join.
+
+    A catalogue that carries the instance labels (as ``build_catalogue`` returns) saves the second join.
+    """
     latest = latest_valid(recent(points, now_us))
     requested = requested_only(join_catalogue(latest, catalogue))
     return publish(join_instances(requested, instances), prefix)

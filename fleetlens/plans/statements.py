@@ -55,14 +55,6 @@ def statement_stats(digests: DataFrame, statements: DataFrame) -> DataFrame:
     return mysql_statement_stats(digests).unionByName(pg_statement_stats(statements))
 
 
-def _ranked(stats: DataFrame, by: str, n: int | None, source: int) -> DataFrame:
-    group = [*present(stats, INSTANCE_KEY), "family"]
-    order = [F.desc(by), F.asc("digest"), F.asc("digest_text")]
-    rows = top_n_per_group(stats, group, order, MOST_STATEMENTS if n is None else n, "rank")
-    rows = rows.filter(F.col("rank") <= F.col("top_n")) if n is None else rows
-    return rows.withColumn("source", F.lit(source))
-
-
 def allowed_top_n(n: Column) -> Column:
     """A policy's number of statements: 1 to MOST_STATEMENTS, anything else means the default."""
     return F.when(n.between(1, MOST_STATEMENTS), n).otherwise(F.lit(DEFAULT_STATEMENTS))
@@ -71,16 +63,21 @@ def allowed_top_n(n: Column) -> Column:
 def top_per_instance(stats: DataFrame, n: int | None = None) -> DataFrame:
     """Top ``n`` by mean duration, then top ``n`` by calls, each digest once: the first entry wins.
 
-    Without ``n`` the column ``top_n`` (see ``allowed_top_n``) says how many. Two row-number filters, each
-    cut below its shuffle, leave at most ``2 n`` rows per instance to the final grouping; one pass
-    ranking both orders could not be cut, and would sort a hot instance in one task.
+    Without ``n`` the column ``top_n`` (see ``allowed_top_n``) says how many. Each row enters both lists, so
+    one row-number filter ranks them in one scan and is cut below the shuffle: a hot instance sends at
+    most ``2 n`` rows per input split.
     """
-    lists = _ranked(stats, "avg_duration_ms", n, 0).unionByName(_ranked(stats, "calls", n, 1))
-    keys = [*present(stats, INSTANCE_KEY), "family", "digest"]
-    rest = [c for c in lists.columns if c not in (*keys, "source", "rank")]
-    first = F.min_by(F.struct("source", "rank", *rest), F.struct("source", "rank")).alias("first")
+    group = [*present(stats, INSTANCE_KEY), "family"]
+    measure = F.when(F.col("source") == 0, F.col("avg_duration_ms")).otherwise(F.col("calls").cast("double"))
+    lists = stats.withColumn("source", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_measure", measure)
+    order = [F.desc("_measure"), F.asc("digest"), F.asc("digest_text")]
+    ranked = top_n_per_group(lists, [*group, "source"], order, MOST_STATEMENTS if n is None else n, "rank")
+    ranked = ranked.filter(F.col("rank") <= F.col("top_n")) if n is None else ranked
+    keys = [*group, "digest"]
+    rest = [c for c in ranked.columns if c not in (*keys, "source", "rank", "_measure")]
+    first = F.min(F.struct("source", "rank", *rest)).alias("first")
     return (
-        lists.groupBy(*keys).agg(first).select(*keys, "first.*")
+        ranked.groupBy(*keys).agg(first).select(*keys, "first.*")
         .withColumn("rank_source", F.when(F.col("source") == 0, "duration").otherwise("calls")).drop("source")
     )
 

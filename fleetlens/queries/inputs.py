@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,18 @@ from fleetlens.plans.dashboards import BOARDS, Series, Stat, Used
 START_US = 1_704_067_200_000_000
 NOW_US = 1_704_069_000_000_000
 SQUEEZE = 1440
-TABLES = ("region", "nation", "customer", "part", "lineitem", "events", "documents")
+# Declared, so that reading a table starts no job that looks at file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+TABLES = tuple(SCHEMAS)
 
 FX_INSTANCES = """
 SELECT r_name AS region, concat('db-', c_custkey) AS resource_id,
@@ -49,7 +61,7 @@ SELECT concat('db-', user_id) AS resource_id, 'db.load.avg' AS metric,
   1704067200000000 + CAST(floor(($US_TS - 1704067200000000) / 1440) AS BIGINT) AS ts_us, value, event_id AS pos
 FROM {events}"""
 
-# Every instance has the same five metrics; the equi-join on a constant key pairs them.
+# Every instance has the same five metrics (a fixed list of five rows).
 FX_CATALOGUE = """
 SELECT resource_id, m.ordinal AS ordinal,
   CASE WHEN length(resource_id) % 2 = 0 AND m.ordinal = 2 THEN upper(m.metric) ELSE m.metric END AS metric,
@@ -101,14 +113,14 @@ def _fx_board() -> str:
     rows, seen = [], [0] * len(BOARDS)
     for number, name in metrics:
         for offset in range(3):
-            rows.append(f"({number}, {(seen[number] + offset) % sizes[number]}, '{name}')")
+            rows.append(f"({number}, {(seen[number] + offset) % sizes[number]}, '{name}', {3 - offset})")
         seen[number] += 1
     return f"""
 SELECT m.name AS name, i.identifier AS identifier, i.cluster_identifier AS cluster_identifier, i.region AS region,
   CASE WHEN m.board = 0 THEN 'aurora-mysql' ELSE 'aurora-postgresql' END AS engine, 'Count' AS unit,
-  1704067200000000 + CAST(floor(($US_TS - 1704067200000000) / 1440) AS BIGINT) AS ts_us, value
+  1704067200000000 + CAST(floor(($US_TS - 1704067200000000) / 1440) AS BIGINT) AS ts_us, value * m.factor AS value
 FROM {{events}} JOIN {{fx_instances}} AS i ON concat('db-', user_id) = i.resource_id
-JOIN (VALUES {", ".join(rows)}) AS m(board, idx, name)
+JOIN (VALUES {", ".join(rows)}) AS m(board, idx, name, factor)
   ON m.board = user_id % 2 AND m.idx = event_id % (CASE WHEN user_id % 2 = 0 THEN {sizes[0]} ELSE {sizes[1]} END)"""
 
 
@@ -129,8 +141,12 @@ GREEN_TO_RED = ((None, "green"), (60, "yellow"), (85, "red"))
 RED_TO_GREEN = ((None, "red"), (95, "yellow"), (99, "green"))
 
 
+# Plans (not data) are kept per session and folder, so a query built on another need not be analysed again.
+keep_plan = lru_cache(maxsize=256)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _derive(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
@@ -156,30 +172,37 @@ def _events(spark: SparkSession, sf_dir: str, since_us: int | None, until_us: in
     return rows
 
 
+@keep_plan
 def fx_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_INSTANCES)
 
 
+@keep_plan
 def fx_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     return _derive(spark, sf_dir, FX_DATAPOINTS, events=_events(spark, sf_dir, since_us, until_us))
 
 
+@keep_plan
 def fx_dim_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     return _derive(spark, sf_dir, FX_DIM_DATAPOINTS, events=_events(spark, sf_dir, since_us, until_us))
 
 
+@keep_plan
 def fx_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_CATALOGUE, fx_instances=fx_instances(spark, sf_dir))
 
 
+@keep_plan
 def fx_mysql_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_MYSQL_DIGESTS)
 
 
+@keep_plan
 def fx_pg_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_PG_STATEMENTS)
 
 
+@keep_plan
 def fx_board(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     events = _events(spark, sf_dir, since_us, until_us)
     return _derive(spark, sf_dir, FX_BOARD, events=events, fx_instances=fx_instances(spark, sf_dir))
@@ -208,6 +231,7 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@keep_plan
 def flat_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattened inventory, straight from the fixture columns."""
     tags = F.map_from_arrays(F.array(F.lit("Environment"), F.lit("Team")), F.array("tag_environment", "tag_team"))
@@ -219,6 +243,7 @@ def flat_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@keep_plan
 def dim_points(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     """Dimensional datapoints with the dimensions as a map; null for the aggregate row."""
     rows = fx_dim_datapoints(spark, sf_dir, since_us, until_us)
@@ -230,6 +255,7 @@ def dim_points(spark: SparkSession, sf_dir: str, since_us: int | None = None, un
     return rows.select("resource_id", "metric", "dim_group", dims.alias("dims"), "ts_us", "value", "pos")
 
 
+@keep_plan
 def policy(spark: SparkSession) -> DataFrame:
-    rows = [(number, cluster, top_n) for number, (cluster, top_n) in enumerate(CLUSTER_POLICY)]
-    return spark.createDataFrame(rows, "ordinal int, cluster string, top_n int")
+    rows = ", ".join(f"({number}, '{cluster}', {top_n})" for number, (cluster, top_n) in enumerate(CLUSTER_POLICY))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS p(ordinal, cluster, top_n)")
