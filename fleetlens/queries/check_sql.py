@@ -253,4 +253,4 @@ def with_parts(select: str, *names: str) -> str:
     for name in names:
         add(name)
     parts = ",\n".join(f"{name} AS ({PARTS[name][1]})" for name in ordered)
-    return f"WITH {parts}\n{select}" if ordered else select
+    return f"WITH {'RECURSIVE ' if 'walk' in ordered else ''}{parts}\n{select}" if ordered else select

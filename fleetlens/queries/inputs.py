@@ -182,6 +182,22 @@ def fx_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = None,
     return _derive(spark, sf_dir, FX_DATAPOINTS, events=_events(spark, sf_dir, since_us, until_us))
 
 
+def datapoints_of(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The same for given events, which may be a stream."""
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - START_US
+    names = {
+        "view": "os.cpuUtilization.total.avg", "click": "db.SQL.queries.avg", "purchase": "db.load.avg", "signup": "os.memory.free.avg",
+    }
+    metric = F.lit("db.Transactions.active_transactions.max")
+    for event, name in names.items():
+        metric = F.when(F.col("event_type") == event, F.lit(name)).otherwise(metric)
+    return events.select(
+        F.concat(F.lit("db-"), "user_id").alias("resource_id"), metric.alias("metric"),
+        (F.lit(START_US) + F.floor(us / SQUEEZE)).cast("bigint").alias("ts_us"),
+        F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("value"), F.col("event_id").alias("pos"),
+    )
+
+
 @keep_plan
 def fx_dim_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     return _derive(spark, sf_dir, FX_DIM_DATAPOINTS, events=_events(spark, sf_dir, since_us, until_us))
