@@ -43,28 +43,30 @@ def resample_by_statistic(points: DataFrame, period_us: int) -> DataFrame:
 
 
 def unique_definitions(catalogue: DataFrame) -> DataFrame:
-    """One row per instance and metric: the last definition wins; ``first_seen`` keeps the first one."""
+    """One row per instance and metric: the last definition wins."""
     keys = present(catalogue, SERIES_KEY)
     rest = [c for c in catalogue.columns if c not in (*keys, "ordinal")]
     last = F.max(F.struct("ordinal", *rest)).alias("last")
-    first = F.min(F.struct("seen_at_us", "ordinal", "resource_id", "description")).alias("first_seen")
-    return catalogue.groupBy(*keys).agg(last, first).select(*keys, "last.*", "first_seen")
+    return catalogue.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
-def canonical_descriptions(unique: DataFrame) -> DataFrame:
-    """First description seen per region, engine and metric, whatever the metric's spelling."""
-    return unique.groupBy("region", "engine", F.lower("metric").alias("metric_lower")).agg(
-        F.min("first_seen").getField("description").alias("canonical_description")
+def canonical_descriptions(catalogue: DataFrame) -> DataFrame:
+    """First description seen per region, engine and metric, whatever the metric's spelling.
+
+    There are few such groups, so nearly all rows fold together before the shuffle.
+    """
+    first = F.min(F.struct("seen_at_us", "ordinal", "resource_id", "description")).alias("first")
+    return (
+        catalogue.groupBy("region", "engine", F.lower("metric").alias("metric_lower")).agg(first)
+        .select("region", "engine", "metric_lower", F.col("first.description").alias("canonical_description"))
     )
 
 
-def with_canonical_description(unique: DataFrame) -> DataFrame:
-    """The join brings back a few rows per region and engine; adaptive execution broadcasts them."""
-    rows = unique.withColumn("metric_lower", F.lower("metric"))
-    keyed = rows.join(canonical_descriptions(unique), ["region", "engine", "metric_lower"])
-    return keyed.withColumn("description", F.col("canonical_description")).drop(
-        "metric_lower", "canonical_description", "first_seen"
-    )
+def with_canonical_description(unique: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``canonical`` has a few rows per region and engine: adaptive execution sees that and broadcasts them."""
+    keys = ["region", "engine", "metric_lower"]
+    keyed = unique.withColumn("metric_lower", F.lower("metric")).join(canonical, keys)
+    return keyed.withColumn("description", F.col("canonical_description")).drop("metric_lower", "canonical_description")
 
 
 def collection_statistics(split: DataFrame) -> DataFrame:

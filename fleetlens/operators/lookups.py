@@ -49,32 +49,24 @@ def policy_for_clusters(instances: DataFrame, policy: DataFrame, attributes: Seq
     """Policy attributes per instance, null where no row applies.
 
     The first row naming the instance's cluster wins; otherwise the last default row (cluster ``""``).
-    ``policy`` carries ``ordinal`` to tell first from last.
+    ``policy`` carries ``ordinal`` to tell first from last. The default is a scalar, not a join.
     """
     row = F.struct(*attributes)
     per_cluster = policy.groupBy(F.col("cluster").alias("cluster_identifier")).agg(
         F.min_by(row, "ordinal").alias("_specific")
     )
-    # one group only, so at most one row is broadcast
-    default = policy.filter(F.col("cluster") == "").groupBy("cluster").agg(F.max_by(row, "ordinal").alias("_default"))
+    default = policy.filter(F.col("cluster") == "").agg(F.max_by(row, "ordinal")).scalar()
     return (
         instances.join(per_cluster, "cluster_identifier", "left")
-        .withColumn("cluster", F.lit(""))
-        .join(F.broadcast(default), "cluster", "left")
-        .withColumn("_policy", F.coalesce("_specific", "_default"))
+        .withColumn("_policy", F.coalesce("_specific", default))
         .select(*instances.columns, *[F.col(f"_policy.{name}").alias(name) for name in attributes])
     )
 
 
 def with_policy_only(instances: DataFrame, policy: DataFrame) -> DataFrame:
     """Instances some policy row applies to; the others are left out silently."""
-    named = policy.select(F.col("cluster").alias("cluster_identifier")).distinct()
-    specific = instances.join(named, "cluster_identifier", "left_semi")
-    rest = instances.join(named, "cluster_identifier", "left_anti").withColumn("cluster", F.lit(""))
-    # at most one row is broadcast: all default rows fall into one group
-    default = F.broadcast(policy.filter(F.col("cluster") == "").select("cluster").distinct())
-    fallback = rest.join(default, "cluster", "left_semi").drop("cluster")
-    return specific.unionByName(fallback.select(*specific.columns)).select(*instances.columns)
+    found = policy_for_clusters(instances, policy.withColumn("_applies", F.lit(True)), ["_applies"])
+    return found.filter("_applies").drop("_applies")
 
 
 def split_fresh(requested: DataFrame, fresh: DataFrame, keys: Sequence[str], now_us: int) -> DataFrame:

@@ -9,6 +9,7 @@ these rows, never the datapoints, are walked per series.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,7 @@ from fleetlens.operators.rules import TtlRules, pattern_ttl
 RUN_COLUMNS = ("from_slot", "to_slot", "value", "ts_us", "from_store")
 RUN_SCHEMA = "from_slot bigint, to_slot bigint, value double, ts_us bigint, from_store boolean"
 NO_TIME = -(2**62)
+Entry = tuple[float, int, int]  # stored value, its time of measurement, its expiry
 
 
 def fetchable(points: DataFrame, grid: Grid, lookback_us: int = LOOKBACK_US) -> DataFrame:
@@ -42,14 +44,14 @@ def fetchable(points: DataFrame, grid: Grid, lookback_us: int = LOOKBACK_US) ->
         F.max(F.when(F.col("rn") == 2, F.col("ts_us"))).alias("second_us"),
     )
     before = F.lag("ts_us").over(Window.partitionBy(*keys).orderBy("slot"))
-    return per_slot.repartition(*keys).withColumn("previous_us", F.coalesce("second_us", before)).drop("second_us")
+    return per_slot.repartition(*keys).withColumn("previous_us", F.coalesce("second_us", before, F.lit(NO_TIME))).drop("second_us")
 
 
 def serve(
-    slots: np.ndarray, values: np.ndarray, times: np.ndarray, previous: np.ndarray, ttl_us: int,
-    grid: Grid, lookback_us: int, first_slot: int, last_slot: int, entry: tuple[float, int, int] | None = None,
-) -> tuple[list[tuple], tuple[float, int, int] | None]:
-    """Runs of scrapes served alike for one series, and the stored entry (value, time, expiry) after them."""
+    slots: Sequence[int], values: Sequence[float], times: Sequence[int], previous: Sequence[int], ttl_us: int,
+    grid: Grid, lookback_us: int, first_slot: int, last_slot: int, entry: Entry | None = None,
+) -> tuple[list[tuple], Entry | None]:
+    """Runs of scrapes served alike for one series, and the stored entry after the last of them."""
     runs: list[tuple] = []
     slot = first_slot
     while slot <= last_slot:
@@ -60,14 +62,14 @@ def serve(
             slot = until + 1
             continue
         entry = None
-        at = int(np.searchsorted(slots, slot, side="right")) - 1
+        at = bisect_right(slots, slot) - 1
         if at < 0 or times[at] < now - lookback_us:
             if at + 1 >= len(slots):
                 break
-            slot = int(slots[at + 1])
+            slot = slots[at + 1]
             continue
-        value, ts = float(values[at]), int(times[at])
-        observed = ts - int(previous[at]) if previous[at] >= now - lookback_us else 0
+        value, ts = values[at], times[at]
+        observed = ts - previous[at] if previous[at] >= now - lookback_us else 0
         ttl = max(ttl_us, observed)
         if ttl > 0:
             entry = (value, ts, ts + ttl)
@@ -77,15 +79,23 @@ def serve(
 
 
 def _runs_of_partition(keys: Sequence[str], grid: Grid, lookback_us: int):
-    names = [*keys, *RUN_COLUMNS]
-
-    def series_runs(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        previous = rows["previous_us"].fillna(NO_TIME).to_numpy(dtype="int64")
-        runs, _ = serve(
-            rows["slot"].to_numpy(), rows["value"].to_numpy(), rows["ts_us"].to_numpy(), previous,
-            int(rows["pattern_ttl_us"].iloc[0]), grid, lookback_us, int(rows["slot"].iloc[0]), grid.last_slot,
-        )
-        return [(*key, *run) for run in runs]
+    """Walk a partition sorted by series and slot, holding one batch and the series it ends in."""
+    columns = ("slot", "value", "ts_us", "previous_us", "pattern_ttl_us")
+
+    def runs_between(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        slot, value, ts, previous, ttl = (rows[c].to_numpy() for c in columns)
+        owners: list[int] = []
+        out: list[tuple] = []
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            own = slot[start:end].tolist()
+            runs, _ = serve(
+                own, value[start:end].tolist(), ts[start:end].tolist(), previous[start:end].tolist(), int(ttl[start]),
+                grid, lookback_us, own[0], grid.last_slot,
+            )
+            owners += [start] * len(runs)
+            out += runs
+        result = rows[list(keys)].iloc[owners].reset_index(drop=True)
+        return result.join(pd.DataFrame(out, columns=list(RUN_COLUMNS)))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -93,16 +103,14 @@ def _runs_of_partition(keys: Sequence[str], grid: Grid, lookback_us: int):
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if rows.empty:
                 continue
-            ids = rows[list(keys)]
-            starts = np.flatnonzero(np.r_[True, (ids != ids.shift()).any(axis=1).to_numpy()[1:]])
-            out: list[tuple] = []
-            for start, end in zip(starts[:-1], starts[1:]):
-                part = rows.iloc[start:end]
-                out += series_runs(tuple(part[k].iloc[0] for k in keys), part)
+            ids = [rows[k].to_numpy() for k in keys]
+            changed = np.logical_or.reduce([i[1:] != i[:-1] for i in ids])
+            starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
             held = rows.iloc[starts[-1]:]  # may go on in the next batch
-            yield pd.DataFrame(out, columns=names)
+            if len(starts) > 1:
+                yield runs_between(rows, starts)
         if held is not None:
-            yield pd.DataFrame(series_runs(tuple(held[k].iloc[0] for k in keys), held), columns=names)
+            yield runs_between(held, np.array([0, len(held)]))
 
     return walk
 

@@ -52,16 +52,27 @@ def label_values(samples: DataFrame, label: str) -> DataFrame:
 
 
 def outer_by_key(vectors: Mapping[str, DataFrame], key: str) -> DataFrame:
-    """Full outer join of grouped vectors; each becomes a column named like its entry."""
-    parts = [v.select(key, F.col("value").alias(name)) for name, v in vectors.items()]
-    return reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
+    """Full outer join of grouped vectors; each becomes a column named like its entry.
+
+    A grouped vector has one row per key, so the join is a union folded by key: one shuffle however many
+    vectors there are, instead of a chain of joins.
+    """
+    rows = reduce(
+        lambda a, b: a.unionByName(b),
+        [v.select(key, F.lit(name).alias("_of"), F.col("value").alias("_v")) for name, v in vectors.items()],
+    )
+    columns = [F.max(F.when(F.col("_of") == name, F.col("_v"))).alias(name) for name in vectors]
+    return rows.groupBy(key).agg(*columns)
 
 
-def statement_table(samples: DataFrame, names: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """One row per statement and digest with a column per (sample name, function), in one pass."""
-    columns = []
-    for column, (name, function) in names.items():
+def sample_table(
+    samples: DataFrame, columns: Mapping[str, tuple[str, str]], keys: Sequence[str] = ("statement", "digest"),
+) -> DataFrame:
+    """A column per (sample name, function), one row per key: what the outer join of the single vectors
+    gives, in one pass over the samples."""
+    found = []
+    for column, (name, function) in columns.items():
         chosen = F.when(F.col("name") == name, F.col("value"))
-        columns.append((F.sum(chosen) if function == "sum" else F.avg(chosen)).alias(column))
-    wanted = [name for name, _ in names.values()]
-    return samples.filter(F.col("name").isin(*wanted)).groupBy("statement", "digest").agg(*columns)
+        found.append((F.sum(chosen) if function == "sum" else F.avg(chosen)).alias(column))
+    wanted = [name for name, _ in columns.values()]
+    return samples.filter(F.col("name").isin(*wanted)).groupBy(*keys).agg(*found)

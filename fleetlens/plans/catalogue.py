@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.aggregates import unique_definitions, with_canonical_description
+from fleetlens.operators.aggregates import canonical_descriptions, unique_definitions, with_canonical_description
 from fleetlens.operators.keys import shared
 from fleetlens.operators.predicates import requested_type, valid_catalogue_row
 from fleetlens.operators.rules import Rules, metric_fields, pattern_filter, select_statistics
@@ -52,7 +52,7 @@ def build_catalogue(
     """One row per instance and requested metric: canonical description, unit, statistics, instance labels."""
     requested = raw.filter(F.col("metric").isNull() | requested_type(F.col("metric")))
     entries = chosen_entries(with_load_metric(of_instances(requested, instances)), default, include, exclude)
-    unique = with_canonical_description(unique_definitions(entries))
+    unique = with_canonical_description(unique_definitions(entries), canonical_descriptions(entries))
     wanted = pattern_filter(metric_fields(F.col("metric"), F.col("unit")), None, include, exclude)
     return unique.filter(wanted).select(
         "region", "resource_id", "engine", "identifier", "cluster_identifier", "metric", "description", "unit", "statistics"

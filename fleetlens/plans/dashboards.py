@@ -172,7 +172,7 @@ def _table(panel: Table, samples: DataFrame, at_us: int, instance: str) -> DataF
     # statement samples carry no time: they hold at the time of the evaluation that published them
     timed = _select(samples, names, instance).withColumn("ts_us", F.coalesce("ts_us", F.lit(at_us)))
     rows = instant(timed, ["name", *labels], at_us)
-    wide = vector.statement_table(rows, {column: (name, f) for column, name, f, _ in panel.columns})
+    wide = vector.sample_table(rows, {column: (name, f) for column, name, f, _ in panel.columns})
     shown = [panel_round(F.col(column), decimals).alias(column) for column, _, _, decimals in panel.columns]
     order = [F.desc(panel.order), F.asc("digest"), F.asc("statement")]
     return wide.orderBy(*order).select(F.col("statement").alias("query"), *shown)

@@ -32,12 +32,9 @@ def load_by_dimension(points: DataFrame, now_us: int, groups: Sequence[str] = GR
         .groupBy(*by, "period_us")
         .agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     )
-    newest = F.max(F.struct("period_us", (F.col("total") / F.col("n")).alias("value"))).alias("newest")
-    return (
-        minutes.groupBy(*by)
-        .agg(F.round(F.sum("total") / F.sum("n"), 6).alias("load"), newest)
-        .select(*by[:-1], F.map_from_entries("dims_key").alias("dims"), "load", "newest.value", F.col("newest.period_us").alias("ts_us"))
-    )
+    newest = F.max_by(F.col("total") / F.col("n"), "period_us").alias("value")
+    loads = minutes.groupBy(*by).agg(F.round(F.sum("total") / F.sum("n"), 6).alias("load"), newest, F.max("period_us").alias("ts_us"))
+    return loads.withColumn("dims", F.map_from_entries("dims_key")).drop("dims_key")
 
 
 def top_load(loads: DataFrame, n: int) -> DataFrame:

@@ -26,10 +26,12 @@ def discovered_instances(flat: DataFrame, include: Rules | None = None, exclude:
 
 
 def discover_instances(
-    flat: DataFrame, include: Rules | None = None, exclude: Rules | None = None, max_instances: int = 25,
+    flat: DataFrame, include: Rules | None = None, exclude: Rules | None = None, max_instances: int | None = 25,
 ) -> DataFrame:
-    """The oldest ``max_instances`` of each region among the usable ones that pass the rules."""
+    """The oldest ``max_instances`` of each region among the usable ones that pass the rules; None keeps all."""
     found = discovered_instances(flat, include, exclude)
+    if max_instances is None:
+        return found
     return oldest_instances(found, max_instances).select(*INVENTORY)
 
 

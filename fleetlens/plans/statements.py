@@ -60,28 +60,34 @@ def allowed_top_n(n: Column) -> Column:
     return F.when(n.between(1, MOST_STATEMENTS), n).otherwise(F.lit(DEFAULT_STATEMENTS))
 
 
-def top_per_instance(stats: DataFrame, n: int | None = None) -> DataFrame:
-    """Top ``n`` by mean duration, then top ``n`` by calls, each digest once: the first entry wins.
+def ranked_lists(stats: DataFrame, n: int) -> DataFrame:
+    """Top ``n`` of each instance by mean duration (``source`` 0) and by calls (1), numbered in ``rank``.
 
-    Without ``n`` the column ``top_n`` (see ``allowed_top_n``) says how many. Each row enters both lists, so
-    one row-number filter ranks them in one scan and is cut below the shuffle: a hot instance sends at
-    most ``2 n`` rows per input split.
+    Each row enters both lists, so one row-number filter ranks them in one scan and is cut below the
+    shuffle: a hot instance sends at most ``2 n`` rows per input split.
     """
     group = [*present(stats, INSTANCE_KEY), "family"]
     measure = F.when(F.col("source") == 0, F.col("avg_duration_ms")).otherwise(F.col("calls").cast("double"))
     lists = stats.withColumn("source", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_measure", measure)
     order = [F.desc("_measure"), F.asc("digest"), F.asc("digest_text")]
-    ranked = top_n_per_group(lists, [*group, "source"], order, MOST_STATEMENTS if n is None else n, "rank")
-    ranked = ranked.filter(F.col("rank") <= F.col("top_n")) if n is None else ranked
-    keys = [*group, "digest"]
-    rest = [c for c in ranked.columns if c not in (*keys, "source", "rank", "_measure")]
+    return top_n_per_group(lists, [*group, "source"], order, n, "rank").drop("_measure")
+
+
+def first_entries(lists: DataFrame) -> DataFrame:
+    """Each digest once: the duration list goes before the calls list, a higher rank before a lower one."""
+    keys = [*present(lists, INSTANCE_KEY), "family", "digest"]
+    rest = [c for c in lists.columns if c not in (*keys, "source", "rank")]
     first = F.min(F.struct("source", "rank", *rest)).alias("first")
     return (
-        ranked.groupBy(*keys).agg(first).select(*keys, "first.*")
+        lists.groupBy(*keys).agg(first).select(*keys, "first.*")
         .withColumn("rank_source", F.when(F.col("source") == 0, "duration").otherwise("calls")).drop("source")
     )
 
 
+def top_per_instance(stats: DataFrame, n: int) -> DataFrame:
+    return first_entries(ranked_lists(stats, n))
+
+
 def publish_statements(rows: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """Six samples per statement, without a time of their own."""
     short = engine_short_name(F.col("engine"))
@@ -105,14 +111,18 @@ def publish_statements(rows: DataFrame, prefix: str = PREFIX) -> DataFrame:
 def top_statements(
     digests: DataFrame, statements: DataFrame, instances: DataFrame, policy: DataFrame, prefix: str = PREFIX,
 ) -> DataFrame:
-    """Instances with a usable endpoint and a policy row; the policy says how many statements to keep."""
+    """Instances with a usable endpoint and a policy row; the policy says how many statements to keep.
+
+    Ranking comes before the join: what is joined is at most ``2 * MOST_STATEMENTS`` rows per instance.
+    """
     sources = policy_for_clusters(instances.filter(statement_source_usable()), policy, ["top_n"])
     sources = (
         sources.filter(F.col("top_n").isNotNull())
         .withColumn("top_n", allowed_top_n(F.col("top_n")))
         .withColumn("family", statement_family(F.col("engine")))
     )
-    stats = statement_stats(digests, statements)
-    keys = [*shared(stats, sources), "family"]
+    lists = ranked_lists(statement_stats(digests, statements), MOST_STATEMENTS)
+    keys = [*shared(lists, sources), "family"]
     labels = [n for n in ("region", "identifier", "cluster_identifier", "engine", "top_n") if n not in keys]
-    return publish_statements(top_per_instance(stats.join(sources.select(*keys, *labels), keys)), prefix)
+    wanted = lists.join(sources.select(*keys, *labels), keys).filter(F.col("rank") <= F.col("top_n"))
+    return publish_statements(first_entries(wanted), prefix)

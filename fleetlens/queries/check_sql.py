@@ -91,7 +91,7 @@ def label_text(names) -> str:
 
 
 def _fixture(text: str) -> str:
-    text = text.replace("$US_TS", "epoch_us(ts)").replace("$ROWS", '"rows"')
+    text = text.replace("$US_TS", "epoch_us(ts)").replace("$ROWS", '"rows"').replace("$EACH_METRIC", I.EACH_METRIC["check"])
     names = {n: n for n in (*I.TABLES, "fx_instances")}
     return text.format(**names)
 
@@ -104,7 +104,6 @@ DEFECT = f"""CASE WHEN engine_raw IS NULL THEN 'missing_engine' WHEN status IS N
 RULES = """regexp_matches(identifier, '^customer-') AND (regexp_matches(engine, 'postgres') OR regexp_matches(engine, 'mysql'))
   AND coalesce(regexp_matches(tag_team, 'team[0-3]'), false) AND NOT regexp_matches(identifier, '7$')
   AND NOT coalesce(regexp_matches(tag_environment, '^MACHINERY$'), false)"""
-FLEET_SIZE = 200
 KEPT = 25
 
 # name -> (names it reads, text)
@@ -122,9 +121,8 @@ SELECT region, resource_id, identifier, cluster_identifier, coalesce(endpoint_ad
   coalesce(insights_enabled, false) AS insights_enabled, CAST(creation_us AS BIGINT) AS creation_us, tag_environment, tag_team
 FROM fx_instances"""),
     "eligible": (("flat",), f"SELECT * FROM flat WHERE ({DEFECT}) IS NULL"),
-    # all usable instances up to a cap per region, for the plans that need many series
-    "fleet": (("eligible",), f"""
-SELECT * FROM eligible QUALIFY row_number() OVER (PARTITION BY region ORDER BY creation_us, identifier) <= {FLEET_SIZE}"""),
+    # every usable instance, without rules and without a cap
+    "fleet": (("eligible",), "SELECT * FROM eligible"),
     "kept": (("eligible",), f"""
 SELECT * FROM eligible WHERE {RULES}
 QUALIFY row_number() OVER (PARTITION BY region ORDER BY creation_us, identifier) <= {KEPT}"""),

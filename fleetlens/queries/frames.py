@@ -13,7 +13,6 @@ from fleetlens.plans.inventory import discover_instances, discovered_instances
 from fleetlens.plans.scrape import scrape_all, union_families
 from fleetlens.plans.statements import top_statements
 from fleetlens.queries import inputs as I
-from fleetlens.queries.check_sql import FLEET_SIZE
 
 NOW = I.NOW_US
 HOUR_GRID = Grid(NOW - 3_600_000_000, NOW, 60_000_000)
@@ -27,7 +26,7 @@ def eligible(spark: SparkSession, d: str) -> DataFrame:
 
 @I.keep_plan
 def fleet(spark: SparkSession, d: str) -> DataFrame:
-    return discover_instances(I.flat_instances(spark, d), max_instances=FLEET_SIZE)
+    return discover_instances(I.flat_instances(spark, d), max_instances=None)
 
 
 @I.keep_plan

@@ -1,6 +1,7 @@
 """Input tables derived from the star-schema files, as one SQL text for Spark and for the check.
 
-``$US_TS`` (microseconds of ``ts``) and ``$ROWS`` (a quoted column name) are the only tokens that differ.
+Only three tokens differ: ``$US_TS`` (microseconds of ``ts``), ``$ROWS`` (a quoted column name) and
+``$EACH_METRIC`` (each row once per catalogue entry, which Spark generates without a join).
 """
 
 from __future__ import annotations
@@ -61,15 +62,25 @@ SELECT concat('db-', user_id) AS resource_id, 'db.load.avg' AS metric,
   1704067200000000 + CAST(floor(($US_TS - 1704067200000000) / 1440) AS BIGINT) AS ts_us, value, event_id AS pos
 FROM {events}"""
 
-# Every instance has the same five metrics (a fixed list of five rows).
+# The metrics each catalogue lists.
+CATALOGUE = (
+    (1, "os.cpuUtilization.total", "CPU in use", "Percent"),
+    (2, "db.SQL.queries", "Queries", "Count"),
+    (3, "os.memory.free", "Free memory", "KB"),
+    (4, "db.Transactions.active_transactions", "Active transactions", "Transactions"),
+    (5, "os.cpuUtilization.idle", "Idle CPU", "Percent"),
+)
 FX_CATALOGUE = """
 SELECT resource_id, m.ordinal AS ordinal,
   CASE WHEN length(resource_id) % 2 = 0 AND m.ordinal = 2 THEN upper(m.metric) ELSE m.metric END AS metric,
   CASE WHEN resource_id LIKE '%3' THEN concat(m.description, ' (alt)') ELSE m.description END AS description,
   CASE WHEN resource_id LIKE '%9' AND m.ordinal = 4 THEN NULL ELSE m.unit END AS unit
-FROM {fx_instances} CROSS JOIN (VALUES (1, 'os.cpuUtilization.total', 'CPU in use', 'Percent'), (2, 'db.SQL.queries', 'Queries', 'Count'),
-  (3, 'os.memory.free', 'Free memory', 'KB'), (4, 'db.Transactions.active_transactions', 'Active transactions', 'Transactions'),
-  (5, 'os.cpuUtilization.idle', 'Idle CPU', 'Percent')) AS m(ordinal, metric, description, unit)"""
+FROM {fx_instances} $EACH_METRIC"""
+_ENTRIES = ", ".join(f"({o}, '{m}', '{t}', '{u}')" for o, m, t, u in CATALOGUE)
+EACH_METRIC = {
+    "spark": f"LATERAL VIEW inline(array({_ENTRIES.replace('(', 'struct(')})) m AS ordinal, metric, description, unit",
+    "check": f"CROSS JOIN (VALUES {_ENTRIES}) AS m(ordinal, metric, description, unit)",
+}
 
 FX_MYSQL_DIGESTS = """
 SELECT concat('db-', l_suppkey % 100) AS resource_id,
@@ -151,6 +162,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _derive(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
     text = text.replace("$US_TS", "unix_micros(CAST(ts AS TIMESTAMP))").replace("$ROWS", "`rows`")
+    text = text.replace("$EACH_METRIC", EACH_METRIC["spark"])
     for name in TABLES:
         if f"{{{name}}}" in text and name not in frames:
             frames[name] = table(spark, sf_dir, name)

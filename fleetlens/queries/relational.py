@@ -182,9 +182,8 @@ FIVE = {
 @query("jn_8", "SELECT digest, " + ", ".join(f"round({f}(value) FILTER (name = 'dbi_ams_{n}'), 6) AS {k}" for k, (n, f) in FIVE.items())
        + " FROM statement_samples WHERE starts_with(name, 'dbi_ams_') GROUP BY digest", "statement_samples")
 def jn_8(spark, d):
-    samples = X.statement_samples(spark, d)
-    vectors = {k: vector.by_labels(samples.filter(F.col("name") == f"dbi_ams_{n}"), ["digest"], f) for k, (n, f) in FIVE.items()}
-    return X.rounded(vector.outer_by_key(vectors, "digest"), *FIVE)
+    names = {k: (f"dbi_ams_{n}", f) for k, (n, f) in FIVE.items()}
+    return X.rounded(vector.sample_table(X.statement_samples(spark, d), names, ["digest"]), *FIVE)
 
 
 def _requested(spark, d):
@@ -281,7 +280,7 @@ def ag_7(spark, d):
 def ag_8(spark, d):
     rows = cat.with_load_metric(cat.of_instances(I.fx_catalogue(spark, d), X.fleet(spark, d)))
     entries = cat.chosen_entries(rows, "avg", *I.METRIC_RULES)
-    return agg.canonical_descriptions(agg.unique_definitions(entries))
+    return agg.canonical_descriptions(entries)
 
 
 @query("ag_9", f"""SELECT resource_id, count(*) AS requested, count(*) FILTER (f.resource_id IS NOT NULL) AS hits,
@@ -318,7 +317,7 @@ def ag_11(spark, d):
        + " FROM statement_samples WHERE starts_with(name, 'dbi_ams_') GROUP BY statement, digest", "statement_samples")
 def ag_12(spark, d):
     names = {k: (f"dbi_ams_{n}", f) for k, (n, f) in FIVE.items()}
-    return X.rounded(vector.statement_table(X.statement_samples(spark, d), names), *FIVE)
+    return X.rounded(vector.sample_table(X.statement_samples(spark, d), names), *FIVE)
 
 
 @query("ag_13", "SELECT resource_id, dim_group, dim_id, load, rn FROM dim_ranked WHERE rn <= 3", "dim_ranked")
@@ -368,12 +367,8 @@ def _stats(spark, d):
 @query("wn_5", f"""WITH r AS ({RANKS}) SELECT resource_id, family, digest, 'duration' AS ranking, rn_duration AS rank FROM r WHERE rn_duration <= 5
 UNION ALL SELECT resource_id, family, digest, 'calls', rn_calls FROM r WHERE rn_calls <= 5""".replace("WITH r AS", "SELECT * FROM (WITH r AS") + ")", "stats")
 def wn_5(spark, d):
-    stats, group = _stats(spark, d), ["resource_id", "family"]
-    lists = []
-    for ranking, measure in (("duration", "avg_duration_ms"), ("calls", "calls")):
-        order = [F.desc(measure), F.asc("digest"), F.asc("digest_text")]
-        lists.append(top_n_per_group(stats, group, order, 5, "rank").withColumn("ranking", F.lit(ranking)))
-    return X.big(lists[0].unionByName(lists[1]), "rank").select("resource_id", "family", "digest", "ranking", "rank")
+    ranking = F.when(F.col("source") == 0, "duration").otherwise("calls")
+    return X.big(st.ranked_lists(_stats(spark, d), 5), "rank").select("resource_id", "family", "digest", ranking.alias("ranking"), "rank")
 
 
 @query("wn_6", f"""SELECT resource_id, family, digest, calls, CASE WHEN rn_duration <= 5 THEN 'duration' ELSE 'calls' END AS rank_source,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,58 +22,64 @@ STATE_SCHEMA = (
 )
 
 
-def newest_two_per_slot(points: pd.DataFrame) -> pd.DataFrame:
-    ordered = points.sort_values(["slot", "ts_us", "pos"], kind="stable")
-    return ordered.groupby("slot", sort=False).tail(2)
+def newest_two_per_slot(points: np.ndarray) -> np.ndarray:
+    """Points as rows of (slot, ts, pos) with the value last, sorted, the newest two of each slot."""
+    points = points[np.lexsort((points["pos"], points["ts_us"], points["slot"]))]
+    slots = points["slot"]
+    third = np.ones(len(points), dtype=bool)
+    third[:-2] = slots[:-2] != slots[2:]
+    return points[third]
 
 
-def per_slot(points: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Slots, newest value, its time, and the time of the point before it (points sorted, two per slot)."""
-    slots = points["slot"].to_numpy(dtype="int64")
-    times = points["ts_us"].to_numpy(dtype="int64")
+def per_slot(points: np.ndarray) -> tuple[list, list, list, list]:
+    """Slots, newest value, its time, and the time of the point before it."""
+    slots, times = points["slot"], points["ts_us"]
     last = np.append(slots[1:] != slots[:-1], True)[: len(slots)]
     before = np.insert(times[:-1], 0, NO_TIME)[: len(slots)]
-    return slots[last], points["value"].to_numpy()[last], times[last], before[last]
+    return slots[last].tolist(), points["value"][last].tolist(), times[last].tolist(), before[last].tolist()
+
+
+POINT = np.dtype([("slot", "i8"), ("ts_us", "i8"), ("pos", "i8"), ("value", "f8")])
+
+
+def _points(columns: Iterable) -> np.ndarray:
+    columns = [np.asarray(column) for column in columns]
+    points = np.empty(len(columns[0]), dtype=POINT)
+    for name, column in zip(POINT.names, columns):
+        points[name] = column
+    return points
 
 
 def _scrape_series(grid: Grid, lookback_us: int, names: list[str]):
     def scrape(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["slot", "ts_us", "pos", "value"]
-        held, entry, next_slot, ttl = pd.DataFrame(columns=columns), None, None, 0
+        held, entry, next_slot, ttl = np.empty(0, dtype=POINT), None, None, 0
         if state.exists:
-            slots, times, positions, values, stored, stored_ts, expires, next_slot, ttl = state.get
-            held = pd.DataFrame({"slot": slots, "ts_us": times, "pos": positions, "value": values}, columns=columns)
+            *columns, stored, stored_ts, expires, next_slot, ttl = state.get
+            held = _points(columns)
             entry = None if expires == NO_TIME else (stored, stored_ts, expires)
-        parts = [held] if len(held) else []
         for batch in batches:  # folded batch by batch, so only two points per slot are ever held
             if batch.empty:  # a timeout brings no points
                 continue
             ttl = int(batch["pattern_ttl_us"].iloc[0])
-            parts = [newest_two_per_slot(pd.concat([*parts, batch[columns]], ignore_index=True))]
-        held = parts[0] if parts else held
+            held = newest_two_per_slot(np.concatenate([held, _points(batch[name] for name in POINT.names)]))
         if next_slot is None:
-            next_slot = int(held["slot"].min())
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        done = min((watermark_us - grid.start_us) // grid.step_us, grid.last_slot)
-        runs: list[tuple] = []
+            next_slot = int(held["slot"][0])
+        watermark_ms = state.getCurrentWatermarkMs()
+        done = min((watermark_ms * 1000 - grid.start_us) // grid.step_us, grid.last_slot)
         if done >= next_slot:
             runs, entry = serve(*per_slot(held), ttl, grid, lookback_us, next_slot, done, entry)
             next_slot = done + 1
-            reach = grid.start_us + next_slot * grid.step_us - lookback_us
-            held = held[held["ts_us"] >= reach]
+            held = held[held["ts_us"] >= grid.start_us + next_slot * grid.step_us - lookback_us]
+            if runs:
+                yield pd.DataFrame([(*key, *run) for run in runs], columns=names)
         next_us = grid.start_us + next_slot * grid.step_us
         live = entry is not None and next_us <= entry[2]
         if next_slot > grid.last_slot or not (len(held) or live):
             state.remove()
-        else:
-            stored, stored_ts, expires = entry if entry is not None else (0.0, 0, NO_TIME)
-            state.update((
-                [int(x) for x in held["slot"]], [int(x) for x in held["ts_us"]], [int(x) for x in held["pos"]],
-                [float(x) for x in held["value"]], stored, stored_ts, expires, int(next_slot), ttl,
-            ))
-            state.setTimeoutTimestamp(max(next_us // 1000, state.getCurrentWatermarkMs() + 1))
-        if runs:
-            yield pd.DataFrame([(*key, *run) for run in runs], columns=names)
+            return
+        stored, stored_ts, expires = entry if entry is not None else (0.0, 0, NO_TIME)
+        state.update((*(held[name].tolist() for name in POINT.names), stored, stored_ts, expires, int(next_slot), ttl))
+        state.setTimeoutTimestamp(max(next_us // 1000, watermark_ms + 1))
 
     return scrape
 
