@@ -87,10 +87,13 @@ def _scrape_series(grid: Grid, lookback_us: int, names: list[str]):
 def replay(points: DataFrame, grid: Grid, rules: TtlRules, delay: str, lookback_us: int = LOOKBACK_US) -> DataFrame:
     """As ``operators.replay.replay``, for every scrape the watermark has passed."""
     keys = present(points, SERIES_KEY)
+    # In terms of the event time, these filters stay above the watermark: points after the last scrape
+    # are not kept, but they do tell that its time has passed.
+    time_us = F.unix_micros("event_time")
     slotted = (
         with_event_time(points.filter(valid_point()), delay)
-        .filter((F.col("ts_us") >= grid.start_us - lookback_us) & (F.col("ts_us") <= grid.end_us))
-        .withColumn("slot", grid.first_slot_at_or_after(F.col("ts_us")))
+        .filter((time_us >= grid.start_us - lookback_us) & (time_us <= grid.end_us))
+        .withColumn("slot", grid.first_slot_at_or_after(time_us))
         .filter(F.col("slot") <= grid.last_slot)
         .withColumn("pattern_ttl_us", pattern_ttl(F.col("metric"), rules))
     )
