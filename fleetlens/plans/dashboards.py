@@ -149,6 +149,39 @@ def _stat(panel: Stat, samples: DataFrame, at_us: int, instance: str) -> DataFra
     return coloured.withColumn("value", panel_round(F.col("value"), 6 if panel.decimals is None else panel.decimals))
 
 
+def stat_panels(samples: DataFrame, at_us: int, instance: str = ALL) -> DataFrame:
+    """All single numbers of both boards in one scan: what a refresh asks for.
+
+    The newest sample per series is pivoted to one row per label set (``unit`` included) with a column per
+    sample name; each panel is then an aggregate of its columns. A panel without samples has no row.
+    """
+    panels = [(b, n, p) for b, group in BOARDS.items() for n, p in group.items() if isinstance(p, Stat)]
+    names = list(dict.fromkeys(name for _, _, p in panels for name in p.names))
+    labels = label_columns(samples)
+    newest = instant(_select(samples, names, None), ["name", *labels], at_us)
+    column = {name: f"v{i}" for i, name in enumerate(names)}
+    wide = newest.groupBy(*labels).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(c) for name, c in column.items()]
+    )
+    shown = F.lit(True) if instance == ALL else label_matches(F.col("identifier"), instance)
+    results = []
+    for i, (_, _, p) in enumerate(panels):
+        value = F.col(column[p.names[0]])
+        for other in p.names[1:]:
+            value = value + F.col(column[other])
+        if p.function == "count":
+            found = F.nullif(F.count_distinct(F.when(value.isNotNull(), F.col("identifier"))), F.lit(0)).cast("double")
+        else:
+            found = {"sum": F.sum, "avg": F.avg}[p.function](F.when(shown, value))
+        results.append(found.alias(f"p{i}"))
+    rows = []
+    for i, (b, n, p) in enumerate(panels):
+        value = F.col(f"p{i}")
+        rounded = panel_round(value, 6 if p.decimals is None else p.decimals)
+        rows.append(F.struct(F.lit(b).alias("board"), F.lit(n).alias("panel"), rounded.alias("value"), threshold_colour(value, p.steps).alias("colour")))
+    return wide.agg(*results).select(F.inline(F.array(*rows))).filter(F.col("value").isNotNull())
+
+
 def _series(panel: Series, samples: DataFrame, grid: Grid, instance: str) -> DataFrame:
     labels = label_columns(samples)
     rows = over_grid(_select(samples, [n for n, _ in panel.targets], instance), ["name", *labels], grid)

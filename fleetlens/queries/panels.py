@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from fleetlens.operators.asof import INSTANT_LOOKBACK_US
 from fleetlens.plans import catalogue as cat, collection, dimensions, inventory
-from fleetlens.plans.dashboards import ALL, BOARDS, Picker, Series, Stat, Table, Used, dashboard
+from fleetlens.plans.dashboards import ALL, BOARDS, Picker, Series, Stat, Table, Used, dashboard, stat_panels
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
 from fleetlens.queries.relational import INV, WANTED
@@ -155,8 +153,4 @@ STATS = [(b, n, p) for b, panels in BOARDS.items() for n, p in panels.items() if
 @query("pl_10", "\nUNION ALL ".join(f"SELECT '{b}' AS board, '{n}' AS panel, * FROM ({_stat_sql(p, ALL)[0]})" for b, n, p in STATS), "board_now")
 def pl_10(spark, d):
     """All single-number panels of both boards."""
-    rows = [
-        dashboard(b, n, _samples(spark, d, p), NOW, X.HOUR_GRID).select(F.lit(b).alias("board"), F.lit(n).alias("panel"), "value", "colour")
-        for b, n, p in STATS
-    ]
-    return reduce(lambda a, c: a.unionByName(c), rows)
+    return stat_panels(X.board(spark, d, NOW - INSTANT_LOOKBACK_US, NOW), NOW)

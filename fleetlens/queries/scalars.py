@@ -14,7 +14,7 @@ from fleetlens.plans.statements import mysql_statement_stats, pg_statement_stats
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
 from fleetlens.schemas import COUNTER_LABELS, EXPOSITION
-from fleetlens.session import scratch_dir
+from fleetlens.session import materialize, scratch_dir
 from fleetlens.sources import readers, writers
 
 
@@ -106,7 +106,7 @@ UNION ALL SELECT DISTINCT concat('# TYPE ', name, ' gauge') FROM exposition
 UNION ALL SELECT concat(name, {S.label_text(S.LABELS)}, ' ', {S.number('value')},
   CASE WHEN ts_us IS NOT NULL THEN concat(' ', ts_us // 1000) ELSE '' END) FROM exposition""", "exposition")
 def snk_2(spark, d):
-    return writers.to_exposition_text(X.rounded(X.exposition(spark, d), "value"))
+    return writers.to_exposition_text(materialize(X.rounded(X.exposition(spark, d), "value"), "snk-2"))
 
 
 # ---- scalar functions ----------------------------------------------------------------------------------

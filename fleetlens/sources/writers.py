@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.functions.text import go_number
 from fleetlens.operators.keys import label_columns
 from fleetlens.schemas import LABELS
+from fleetlens.session import materialize
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -67,11 +68,13 @@ def to_exposition_text(samples: DataFrame) -> DataFrame:
     """Text lines in exposition order.
 
     Ranges are cut by name and labels together: a name holding a third of the samples spans several
-    partitions, and the files in their order still list each name once.
+    partitions, and the files in their order still list each name once. The samples are read four times
+    (heads and lines, each for finding the ranges and for sorting), so give a stored table.
     """
     keys = ["name", "kind", "labels"]
     return exposition_lines(samples).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value")
 
 
 def write_exposition_text(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    to_exposition_text(samples).write.mode(mode).text(path)
+    """Store the samples once, then write their text."""
+    to_exposition_text(materialize(samples, "exposition")).write.mode(mode).text(path)
