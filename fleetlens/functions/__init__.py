@@ -15,4 +15,4 @@ from fleetlens.functions.metrics import (  # noqa: F401
 from fleetlens.functions.statements import (  # noqa: F401
     io_time_ms, lock_time_ms, lock_time_ms_true, query_digest, statement_text, wait_ms,
 )
-from fleetlens.functions.text import go_number, java_regex  # noqa: F401
+from fleetlens.functions.text import exposition_number, java_regex  # noqa: F401

@@ -31,7 +31,7 @@ def java_regex(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
-def go_number(value: Column) -> Column:
+def exposition_number(value: Column) -> Column:
     """A double in the shortest form the text exposition uses (``1``, ``0.5``, ``1.5e+06``)."""
     text = value.cast("string")
     digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "E.*", ""), r"^-|\.0$", ""), r"\.", "")

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlens.session import materialize
+
 # Up to this many rows a global ORDER BY ... LIMIT is merged in one task.
 ONE_TASK_ROWS = 100_000
-SECOND_US = 1_000_000
+HOUR_US, SECOND_US = 3_600_000_000, 1_000_000
 
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -54,16 +56,18 @@ def earliest_k(df: DataFrame, time_us: str, keys: Sequence[str], k: int) -> Data
     """The ``k`` rows with the smallest time, ties in the order of the md5 of the key.
 
     A small ``k`` is a plain ORDER BY ... LIMIT. A large one must not pass through one task: counts per
-    second, then per microsecond, then per md5 prefix tell which rows fit whole, and only the last,
-    tiny bucket is ranked. Each step is a grouped count and an equi-join.
+    hour, second, microsecond and md5 prefix tell which rows fit whole, each step looking into the one
+    bucket in which the quota ran out, and only the last, tiny bucket is ranked. Each step is a grouped
+    count and an equi-join on the rows, which are stored once for that.
     """
     tie = F.md5(F.concat_ws("\u0001", *keys))
     if k <= ONE_TASK_ROWS:
         return df.orderBy(F.col(time_us), tie).limit(max(k, 0))
-    rows = df.withColumn("_tie", tie).withColumn("_level", F.lit("")).withColumn("quota", F.lit(k).cast("bigint"))
-    rows = rows.withColumn("taken", F.lit(False))
+    rows = materialize(df, "top-k").withColumn("_tie", tie).withColumn("_level", F.lit(""))
+    rows = rows.withColumn("quota", F.lit(k).cast("bigint")).withColumn("taken", F.lit(False))
     settled = None
-    levels = [F.floor(F.col(time_us) / SECOND_US), F.col(time_us), F.substring("_tie", 1, 3), F.substring("_tie", 4, 3)]
+    time = F.col(time_us)
+    levels = [F.floor(time / HOUR_US), F.floor(time / SECOND_US), time, F.substring("_tie", 1, 3), F.substring("_tie", 4, 3)]
     for bucket in levels:
         narrowed = _narrow(rows, "_level", bucket, k)
         whole = narrowed.filter("taken")

@@ -259,6 +259,22 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue responses as the service dumps them: one row per instance with the list of its metrics."""
+    resource = F.col("resource_id")
+
+    def entry(ordinal: int, metric: str, description: str, unit: str):
+        name, text, measure = F.lit(metric), F.lit(description), F.lit(unit)
+        if ordinal == 2:
+            name = F.when(F.length(resource) % 2 == 0, F.upper(name)).otherwise(name)
+        if ordinal == 4:
+            measure = F.when(~resource.endswith("9"), measure)
+        text = F.when(resource.endswith("3"), F.concat(text, F.lit(" (alt)"))).otherwise(text)
+        return F.struct(name.alias("Metric"), text.alias("Description"), measure.alias("Unit"))
+
+    return fx_instances(spark, sf_dir).select("resource_id", F.array(*[entry(*row) for row in CATALOGUE]).alias("Metrics"))
+
+
 @keep_plan
 def flat_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattened inventory, straight from the fixture columns."""

@@ -34,12 +34,7 @@ def src_1(spark, d):
 
 @query("src_2", "SELECT resource_id, ordinal, metric, description, unit FROM fx_catalogue", "fx_catalogue")
 def src_2(spark, d):
-    entry = F.struct(F.col("metric").alias("Metric"), F.col("description").alias("Description"), F.col("unit").alias("Unit"))
-    # a response lists each metric of one instance: as many entries as the catalogue has metrics
-    fx = I.fx_catalogue(spark, d)
-    responses = fx.groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("m")))).alias("l"))
-    raw = responses.select("resource_id", F.transform("l", lambda e: e["m"]).alias("Metrics"))
-    flat = readers.flatten_catalogue(raw)
+    flat = readers.flatten_catalogue(I.raw_catalogue(spark, d))
     return flat.withColumn("ordinal", F.col("ordinal") + 1)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.functions.text import go_number
+from fleetlens.functions.text import exposition_number
 from fleetlens.operators.keys import label_columns
 from fleetlens.schemas import LABELS
 from fleetlens.session import materialize
@@ -49,7 +49,7 @@ def exposition_lines(samples: DataFrame) -> DataFrame:
     labels = label_text(label_columns(samples))
     lines = samples.select(
         "name", F.lit(2).alias("kind"), labels.alias("labels"),
-        F.concat("name", labels, F.lit(" "), go_number(F.col("value")), stamp).alias("value"),
+        F.concat("name", labels, F.lit(" "), exposition_number(F.col("value")), stamp).alias("value"),
     )
     heads = samples.groupBy("name").agg(F.min("help").alias("help"))
     head = heads.select(

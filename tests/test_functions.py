@@ -101,8 +101,8 @@ def test_prefix(column):
 def test_numbers_in_exposition_form(column):
     values = [1.0, 0.0, -2.5, 100000.0, 123456.75, 1e6, 1234567.0, -1.5e10, 1e21, 0.001, 0.00015, 1e-4, 1e-5, 2.5e-7, 999999.0]
     want = ["1", "0", "-2.5", "100000", "123456.75", "1e+06", "1.234567e+06", "-1.5e+10", "1e+21", "0.001", "0.00015", "0.0001", "1e-05", "2.5e-07", "999999"]
-    assert column(fn.go_number, values, "double") == want
-    assert column(fn.go_number, [math.inf, -math.inf, math.nan, None], "double") == ["+Inf", "-Inf", "NaN", None]
+    assert column(fn.exposition_number, values, "double") == want
+    assert column(fn.exposition_number, [math.inf, -math.inf, math.nan, None], "double") == ["+Inf", "-Inf", "NaN", None]
 
 
 def test_regex_dialect(column):
