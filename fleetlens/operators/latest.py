@@ -15,7 +15,7 @@ def latest_n(points: DataFrame, n: int, keys=SERIES_KEY) -> DataFrame:
     all points sends ``n`` rows per input split.
     """
     by = present(points, keys)
-    newest_first = Window.partitionBy(*by).orderBy(F.desc("ts_us"), F.desc("pos"))
+    newest_first = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in present(points, ("ts_us", "pos"))])
     return (
         points.filter(valid_point())
         .withColumn("rn", F.row_number().over(newest_first))
@@ -24,10 +24,17 @@ def latest_n(points: DataFrame, n: int, keys=SERIES_KEY) -> DataFrame:
 
 
 def latest_valid(points: DataFrame, keys=SERIES_KEY) -> DataFrame:
-    """The newest valid point of each series, by partial aggregation."""
+    """The newest valid point of each series, by partial aggregation.
+
+    ``pos`` settles points of one time. A table without it has one point per series and time; then the
+    aggregate keeps plain numbers and needs no sort.
+    """
     by = present(points, keys)
+    valid = points.filter(valid_point())
+    if "pos" not in points.columns:
+        return valid.groupBy(*by).agg(F.max_by("value", "ts_us").alias("value"), F.max("ts_us").alias("ts_us"))
     newest = F.max(F.struct("ts_us", "pos", "value")).alias("newest")
-    return points.filter(valid_point()).groupBy(*by).agg(newest).select(*by, "newest.value", "newest.ts_us")
+    return valid.groupBy(*by).agg(newest).select(*by, "newest.value", "newest.ts_us")
 
 
 def dynamic_ttl(newest_us: Column, previous_us: Column) -> Column:

@@ -88,11 +88,8 @@ def src_6(spark, d):
 @query("snk_1", "SELECT *, CASE WHEN ts_us IS NULL THEN 'undated' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%d') END AS ds FROM exposition", "exposition")
 def snk_1(spark, d):
     path = scratch_dir(spark, "snk-1")
-    samples = X.rounded(X.exposition(spark, d), "value")
-    writers.write_samples(samples, path)
-    # the schema of the written samples is known; folder names are text
-    schema = samples.schema.add("ds", "string")
-    return spark.read.schema(schema).parquet(path).select(*EXPOSITION, "ds")
+    writers.write_samples(X.rounded(X.exposition(spark, d), "value"), path)
+    return readers.read_samples(spark, path).select(*EXPOSITION, "ds")
 
 
 @query("snk_2", f"""

@@ -155,7 +155,7 @@ def _run(spark: SparkSession, name: str, stream: DataFrame, mode: str = "update"
 
 @query("st_4_stream", f"SELECT * FROM served WHERE at_us <= (SELECT max(ts_us) FROM valid_points) // 1000 * 1000 - 1000000", "served", "valid_points")
 def st_4_stream(spark, d):
-    stream = stream_replay.replay(_stream(spark, d), X.SCRAPES, I.TTL_RULES, "1 second")
+    stream = stream_replay.replay(_stream(spark, d), X.SCRAPES, I.TTL_RULES, "1 second", buckets=64)
     return _run(spark, "st-4", stream, "append").drop("batch_id")
 
 

@@ -57,3 +57,7 @@ COUNTER_LABELS = LABELS[:5]
 STATEMENT_LABELS = (*LABELS[:4], "digest", "statement")
 WAIT_LABELS = (*LABELS[:4], "wait_event", "wait_type")
 EXPOSITION = ("name", "help", *LABELS, "value", "ts_us")
+UNDATED = "undated"  # day of samples that carry no time
+STORED_SAMPLES = _fields(
+    *[(name, STRING) for name in ("name", "help", *LABELS)], ("value", DOUBLE), ("ts_us", LONG), ("ds", STRING),
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -95,3 +96,22 @@ def read_mysql_digests(spark: SparkSession, source: str | Mapping[str, str], fmt
 
 def read_pg_statements(spark: SparkSession, source: str | Mapping[str, str], fmt: str = "parquet") -> DataFrame:
     return _snapshot(spark, source, schemas.PG_STATEMENTS, fmt)
+
+
+def read_samples(spark: SparkSession, path: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
+    """Samples stored by ``writers.write_samples``, with their day in ``ds``.
+
+    A time range prunes the folders of other days before any file is opened. Samples without a time of
+    their own hold at any time.
+    """
+
+    def day(us: int) -> str:
+        return datetime.fromtimestamp(us // 1_000_000, timezone.utc).strftime("%Y-%m-%d")
+
+    rows = spark.read.schema(schemas.STORED_SAMPLES).parquet(path)
+    undated = F.col("ds") == schemas.UNDATED
+    if since_us is not None:
+        rows = rows.filter(undated | ((F.col("ds") >= day(since_us)) & (F.col("ts_us") >= since_us)))
+    if until_us is not None:
+        rows = rows.filter(undated | ((F.col("ds") <= day(until_us)) & (F.col("ts_us") <= until_us)))
+    return rows

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.text import exposition_number
 from fleetlens.operators.keys import label_columns
-from fleetlens.schemas import LABELS
+from fleetlens.schemas import LABELS, UNDATED
 from fleetlens.session import materialize
 
 
@@ -19,7 +19,7 @@ def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> Non
     """
     day = F.to_date(F.timestamp_micros("ts_us"))
     (
-        samples.withColumn("ds", F.coalesce(day.cast("string"), F.lit("undated")))
+        samples.withColumn("ds", F.coalesce(day.cast("string"), F.lit(UNDATED)))
         .hint("rebalance", "region", "ds")
         .write.mode(mode).partitionBy("region", "ds").parquet(path)
     )

@@ -1,8 +1,12 @@
-"""Scrapes over a stream of points: the stored value lives in the state of the series."""
+"""Scrapes over a stream of points: the stored values live in the streaming state.
+
+The state is grouped by a hash bucket of the series, not by series: a call into Python then serves many
+series, and the series of a busy instance spread over all buckets.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,75 +20,124 @@ from fleetlens.operators.replay import NO_TIME, RUN_COLUMNS, RUN_SCHEMA, serve
 from fleetlens.operators.rules import TtlRules, pattern_ttl
 from fleetlens.streaming.aggregates import with_event_time
 
-STATE_SCHEMA = (
-    "slots array<bigint>, times array<bigint>, positions array<bigint>, vals array<double>, "
-    "stored double, stored_ts bigint, expires bigint, next_slot bigint, ttl bigint"
-)
+# Several per shuffle partition. Part of the state's layout: a checkpoint must go on with its number.
+BUCKETS = 4096
+POINT = np.dtype([("owner", "i8"), ("slot", "i8"), ("ts_us", "i8"), ("pos", "i8"), ("value", "f8")])
+SERIES = np.dtype([("ttl", "i8"), ("next_slot", "i8"), ("stored", "f8"), ("stored_ts", "i8"), ("expires", "i8")])
+
+
+def _state_schema(keys: Sequence[str]) -> str:
+    sql = {"i8": "array<bigint>", "f8": "array<double>"}
+    fields = [(f"key_{k}", "array<string>") for k in keys]
+    for prefix, dtype in (("series", SERIES), ("point", POINT)):
+        fields += [(f"{prefix}_{name}", sql[dtype[name].str[1:]]) for name in dtype.names]
+    return ", ".join(f"{name} {kind}" for name, kind in fields)
+
+
+def _records(dtype: np.dtype, columns: Sequence) -> np.ndarray:
+    columns = [np.asarray(column) for column in columns]
+    out = np.empty(len(columns[0]), dtype=dtype)
+    for name, column in zip(dtype.names, columns):
+        out[name] = column
+    return out
 
 
 def newest_two_per_slot(points: np.ndarray) -> np.ndarray:
-    """Points as rows of (slot, ts, pos) with the value last, sorted, the newest two of each slot."""
-    points = points[np.lexsort((points["pos"], points["ts_us"], points["slot"]))]
-    slots = points["slot"]
-    third = np.ones(len(points), dtype=bool)
-    third[:-2] = slots[:-2] != slots[2:]
-    return points[third]
+    """The newest two points of each series and slot, sorted by series, slot, time and position."""
+    points = points[np.lexsort((points["pos"], points["ts_us"], points["slot"], points["owner"]))]
+    keep = np.ones(len(points), dtype=bool)
+    keep[:-2] = (points["slot"][:-2] != points["slot"][2:]) | (points["owner"][:-2] != points["owner"][2:])
+    return points[keep]
 
 
 def per_slot(points: np.ndarray) -> tuple[list, list, list, list]:
-    """Slots, newest value, its time, and the time of the point before it."""
+    """Slots of one series, newest value, its time, and the time of the point before it."""
     slots, times = points["slot"], points["ts_us"]
     last = np.append(slots[1:] != slots[:-1], True)[: len(slots)]
     before = np.insert(times[:-1], 0, NO_TIME)[: len(slots)]
     return slots[last].tolist(), points["value"][last].tolist(), times[last].tolist(), before[last].tolist()
 
 
-POINT = np.dtype([("slot", "i8"), ("ts_us", "i8"), ("pos", "i8"), ("value", "f8")])
-
-
-def _points(columns: Iterable) -> np.ndarray:
-    columns = [np.asarray(column) for column in columns]
-    points = np.empty(len(columns[0]), dtype=POINT)
-    for name, column in zip(POINT.names, columns):
-        points[name] = column
-    return points
-
-
-def _scrape_series(grid: Grid, lookback_us: int, names: list[str]):
-    def scrape(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, entry, next_slot, ttl = np.empty(0, dtype=POINT), None, None, 0
-        if state.exists:
-            *columns, stored, stored_ts, expires, next_slot, ttl = state.get
-            held = _points(columns)
+class _Bucket:
+    """The series of one bucket, their stored entries and the points still within reach of a scrape."""
+
+    def __init__(self, keys: Sequence[str], state: tuple | None):
+        self.keys = list(keys)
+        columns = list(state) if state else [[]] * (len(self.keys) + len(SERIES) + len(POINT))
+        self.names = list(zip(*columns[: len(self.keys)]))
+        rest = columns[len(self.keys):]
+        self.series = _records(SERIES, rest[: len(SERIES)])
+        self.points = _records(POINT, rest[len(SERIES):])
+
+    def add(self, batch: pd.DataFrame) -> None:
+        """Fold a batch in; only two points per series and slot are ever held."""
+        known = {name: number for number, name in enumerate(self.names)}
+        codes = batch.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(codes, return_index=True)[1]
+        owners, added = np.empty(len(first), dtype="i8"), []
+        ids = list(zip(*(batch[k].to_numpy()[first] for k in self.keys)))
+        ttls = batch["pattern_ttl_us"].to_numpy()[first]
+        for code, name in enumerate(ids):
+            if name not in known:
+                known[name] = len(self.names)
+                self.names.append(name)
+                added.append((ttls[code], -1, 0.0, 0, NO_TIME))
+            owners[code] = known[name]
+        self.series = np.concatenate([self.series, np.array(added, dtype=SERIES)])
+        fresh = _records(POINT, [owners[codes], *(batch[n].to_numpy() for n in POINT.names[1:])])
+        self.points = newest_two_per_slot(np.concatenate([self.points, fresh]))
+        start = np.searchsorted(self.points["owner"], np.arange(len(self.names)))
+        unset = np.flatnonzero(self.series["next_slot"] < 0)
+        self.series["next_slot"][unset] = self.points["slot"][start[unset]]
+
+    def scrape(self, grid: Grid, lookback_us: int, done: int) -> Iterator[tuple]:
+        """Serve every series up to the scrape ``done`` and forget what no later scrape can use."""
+        edges = np.searchsorted(self.points["owner"], np.arange(len(self.names) + 1))
+        for number in np.flatnonzero(self.series["next_slot"] <= done).tolist():
+            ttl, slot, stored, stored_ts, expires = self.series[number].item()
             entry = None if expires == NO_TIME else (stored, stored_ts, expires)
-        for batch in batches:  # folded batch by batch, so only two points per slot are ever held
-            if batch.empty:  # a timeout brings no points
-                continue
-            ttl = int(batch["pattern_ttl_us"].iloc[0])
-            held = newest_two_per_slot(np.concatenate([held, _points(batch[name] for name in POINT.names)]))
-        if next_slot is None:
-            next_slot = int(held["slot"][0])
+            own = per_slot(self.points[edges[number]:edges[number + 1]])
+            runs, entry = serve(*own, ttl, grid, lookback_us, slot, done, entry)
+            self.series[number] = (ttl, done + 1, *(entry or (0.0, 0, NO_TIME)))
+            yield from ((*self.names[number], *run) for run in runs)
+        reach = grid.start_us + self.series["next_slot"] * grid.step_us
+        self.points = self.points[self.points["ts_us"] >= reach[self.points["owner"]] - lookback_us]
+        alive = (self.series["expires"] >= reach) & (self.series["next_slot"] <= grid.last_slot)
+        alive[self.points["owner"]] = True
+        renumbered = np.cumsum(alive) - 1
+        self.points["owner"] = renumbered[self.points["owner"]]
+        self.names = [name for name, lives in zip(self.names, alive) if lives]
+        self.series = self.series[alive]
+
+    def as_state(self) -> tuple:
+        names = [list(column) for column in zip(*self.names)]
+        return (*names, *(self.series[n].tolist() for n in SERIES.names), *(self.points[n].tolist() for n in POINT.names))
+
+
+def _scrape_bucket(keys: list[str], grid: Grid, lookback_us: int):
+    def scrape(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bucket = _Bucket(keys, state.get if state.exists else None)
+        for batch in batches:
+            if not batch.empty:  # a timeout brings no points
+                bucket.add(batch)
         watermark_ms = state.getCurrentWatermarkMs()
         done = min((watermark_ms * 1000 - grid.start_us) // grid.step_us, grid.last_slot)
-        if done >= next_slot:
-            runs, entry = serve(*per_slot(held), ttl, grid, lookback_us, next_slot, done, entry)
-            next_slot = done + 1
-            held = held[held["ts_us"] >= grid.start_us + next_slot * grid.step_us - lookback_us]
-            if runs:
-                yield pd.DataFrame([(*key, *run) for run in runs], columns=names)
-        next_us = grid.start_us + next_slot * grid.step_us
-        live = entry is not None and next_us <= entry[2]
-        if next_slot > grid.last_slot or not (len(held) or live):
+        runs = list(bucket.scrape(grid, lookback_us, done))
+        if runs:
+            yield pd.DataFrame(runs, columns=[*keys, *RUN_COLUMNS])
+        if not bucket.names or done >= grid.last_slot:
             state.remove()
             return
-        stored, stored_ts, expires = entry if entry is not None else (0.0, 0, NO_TIME)
-        state.update((*(held[name].tolist() for name in POINT.names), stored, stored_ts, expires, int(next_slot), ttl))
+        state.update(bucket.as_state())
+        next_us = grid.start_us + int(bucket.series["next_slot"].min()) * grid.step_us
         state.setTimeoutTimestamp(max(next_us // 1000, watermark_ms + 1))
 
     return scrape
 
 
-def replay(points: DataFrame, grid: Grid, rules: TtlRules, delay: str, lookback_us: int = LOOKBACK_US) -> DataFrame:
+def replay(
+    points: DataFrame, grid: Grid, rules: TtlRules, delay: str, lookback_us: int = LOOKBACK_US, buckets: int = BUCKETS,
+) -> DataFrame:
     """As ``operators.replay.replay``, for every scrape the watermark has passed."""
     keys = present(points, SERIES_KEY)
     # In terms of the event time, these filters stay above the watermark: points after the last scrape
@@ -96,10 +149,11 @@ def replay(points: DataFrame, grid: Grid, rules: TtlRules, delay: str, lookback_
         .withColumn("slot", grid.first_slot_at_or_after(time_us))
         .filter(F.col("slot") <= grid.last_slot)
         .withColumn("pattern_ttl_us", pattern_ttl(F.col("metric"), rules))
+        .withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     )
     key_schema = ", ".join(f"{k} string" for k in keys)
-    runs = slotted.groupBy(*keys).applyInPandasWithState(
-        _scrape_series(grid, lookback_us, [*keys, *RUN_COLUMNS]), f"{key_schema}, {RUN_SCHEMA}", STATE_SCHEMA,
+    runs = slotted.groupBy("bucket").applyInPandasWithState(
+        _scrape_bucket(keys, grid, lookback_us), f"{key_schema}, {RUN_SCHEMA}", _state_schema(keys),
         "append", GroupStateTimeout.EventTimeTimeout,
     )
     return (

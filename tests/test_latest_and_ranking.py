@@ -19,6 +19,14 @@ def test_newest_valid_point_skips_nulls_and_settles_ties(spark):
     assert [tuple(r) for r in latest_valid(points(spark, rows)).collect()] == [("a", "m", 3.0, 20)]
 
 
+def test_without_positions_the_aggregate_needs_no_sort(spark):
+    rows = points(spark, [("a", "m", 10, 1.0, 0), ("a", "m", 20, 2.0, 1), ("a", "m", 30, None, 2)]).drop("pos")
+    newest = latest_valid(rows)
+    assert [tuple(r) for r in newest.collect()] == [("a", "m", 2.0, 20)]
+    assert "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
+    assert latest_with_interval(rows).first().dynamic_ttl_us == 10
+
+
 def test_latest_n(spark):
     rows = points(spark, [("a", "m", t, float(t), t) for t in (3, 1, 2)])
     assert [(r.rn, r.value) for r in latest_n(rows, 2).orderBy("rn").collect()] == [(1, 3.0), (2, 2.0)]

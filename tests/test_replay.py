@@ -79,7 +79,7 @@ def test_stream_serves_what_the_batch_serves(spark, tmp_path, files):
     for i in range(files):  # in the order of time, one file per micro-batch
         spark.createDataFrame(rows[i * size:(i + 1) * size], POINTS).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(str(source))
-    served = stream_replay.replay(stream, grid, rules, "0 seconds", lookback_us=6_000_000)
+    served = stream_replay.replay(stream, grid, rules, "0 seconds", lookback_us=6_000_000, buckets=3)
     changes.run_to_end(served, str(tmp_path / "out"), "append")
     got = sorted(tuple(r)[:6] for r in changes.read_changes(spark, str(tmp_path / "out"), served.schema).collect())
     watermark = max(r[2] for r in rows) // 1000 * 1000

@@ -216,9 +216,14 @@ def test_exposition_text(spark, tmp_path):
 
 def test_samples_are_partitioned(spark, tmp_path):
     path = str(tmp_path / "samples")
-    writers.write_samples(samples(spark, [("n", "a", 1.0, NOW), ("n", "b", 2.0, None)]), path)
-    assert {p.name for p in (tmp_path / "samples" / "region=eu").iterdir() if p.is_dir()} == {"ds=2023-11-14", "ds=undated"}
-    assert spark.read.parquet(path).count() == 2
+    day = 86_400 * SECOND
+    writers.write_samples(union_families(samples(spark, [("n", "a", 1.0, NOW), ("n", "b", 2.0, None), ("n", "c", 3.0, NOW - day)])), path)
+    assert {p.name for p in (tmp_path / "samples" / "region=eu").iterdir() if p.is_dir()} == {"ds=2023-11-14", "ds=2023-11-13", "ds=undated"}
+    assert readers.read_samples(spark, path).count() == 3
+    recent = readers.read_samples(spark, path, NOW - SECOND, NOW)
+    assert {r.identifier for r in recent.collect()} == {"a", "b"}
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(" in plan and "2023-11-14" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
 def test_quality_findings(spark):
