@@ -44,15 +44,30 @@ class Grid:
         return (F.lit(self.start_us) + slot * F.lit(self.step_us)).cast("bigint")
 
 
-def instant(samples: DataFrame, keys: Sequence[str], at_us: int, lookback_us: int = INSTANT_LOOKBACK_US) -> DataFrame:
-    """Newest sample of each series with ``at - lookback < ts <= at``; of two at one time, the larger."""
-    newest = F.max(F.struct("ts_us", "value")).alias("newest")
-    return (
-        samples.filter((F.col("ts_us") <= at_us) & (F.col("ts_us") > at_us - lookback_us))
-        .groupBy(*keys)
-        .agg(newest)
-        .select(*keys, "newest.value", "newest.ts_us")
-    )
+def _newest(order: Sequence[str], payload: Sequence[str]) -> list[Column]:
+    """Aggregates that keep the newest row's columns.
+
+    One ordering column needs plain numbers only, and Spark hashes; several need a struct, and it sorts.
+    """
+    if len(order) == 1:
+        return [F.max(order[0]).alias(order[0]), *[F.max_by(c, order[0]).alias(c) for c in payload]]
+    return [F.max(F.struct(*order, *[c for c in payload if c not in order])).alias("newest")]
+
+
+def _unpacked(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return folded.select(*keys, "newest.*") if "newest" in folded.columns else folded
+
+
+def instant(
+    samples: DataFrame, keys: Sequence[str], at_us: int, lookback_us: int = INSTANT_LOOKBACK_US, order: Sequence[str] = ("ts_us",),
+) -> DataFrame:
+    """Newest sample of each series with ``at - lookback < ts <= at``.
+
+    A measurement published by several scrapes repeats with the same value, so the time alone decides. Where
+    samples of one time may disagree (see ``quality.duplicate_series``), order by ``("ts_us", "value")``.
+    """
+    seen = samples.filter((F.col("ts_us") <= at_us) & (F.col("ts_us") > at_us - lookback_us))
+    return _unpacked(seen.groupBy(*keys).agg(*_newest(order, ["value"])), keys).select(*keys, "value", "ts_us")
 
 
 def newest_per_slot(rows: DataFrame, keys: Sequence[str], grid: Grid, order: Sequence[str], lookback_us: int) -> DataFrame:
@@ -62,22 +77,20 @@ def newest_per_slot(rows: DataFrame, keys: Sequence[str], grid: Grid, order: Seq
     at most one row per slot, however many rows it had.
     """
     payload = [c for c in rows.columns if c not in (*keys, *order)]
-    newest = F.max(F.struct(*order, *payload)).alias("newest")
-    return (
+    slotted = (
         rows.filter((F.col("ts_us") > grid.start_us - lookback_us) & (F.col("ts_us") <= grid.end_us))
         .withColumn("slot", grid.first_slot_at_or_after(F.col("ts_us")))
         .filter(F.col("slot") <= grid.last_slot)
-        .groupBy(*keys, "slot")
-        .agg(newest)
-        .select(*keys, "slot", "newest.*")
     )
+    # the number first: a sort for the aggregate then compares it before any text
+    return _unpacked(slotted.groupBy("slot", *keys).agg(*_newest(order, payload)), ["slot", *keys])
 
 
 def over_grid(
     samples: DataFrame, keys: Sequence[str], grid: Grid, lookback_us: int = INSTANT_LOOKBACK_US,
-    order: Sequence[str] = ("ts_us", "value"), inclusive: bool = False,
+    order: Sequence[str] = ("ts_us",), inclusive: bool = False,
 ) -> DataFrame:
-    """The as-of row of each key at every grid time (``at_us``).
+    """The as-of row of each key at every grid time (``at_us``); for ``order`` see ``instant``.
 
     A slot's row stays current until the key's next non-empty slot or until the lookback ends, so it is
     repeated for just those slots. Nothing is joined with the grid.
@@ -102,7 +115,7 @@ def usable_snapshots(snapshots: DataFrame, keys: Sequence[str], grid: Grid, ttl_
     rows = snapshots.select(*keys, F.col("fetched_at_us").alias("ts_us"))
     forever = 2 * 10**17  # longer than any two times lie apart
     return (
-        over_grid(rows, keys, grid, forever, order=("ts_us",), inclusive=True)
+        over_grid(rows, keys, grid, forever, inclusive=True)
         .withColumnRenamed("ts_us", "fetched_at_us")
         .withColumn("is_stale", F.col("at_us") > F.col("fetched_at_us") + F.lit(ttl_us))
     )

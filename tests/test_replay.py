@@ -3,6 +3,7 @@ import random
 import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from fleetlens.operators import replay as replay_module
 from fleetlens.operators.asof import Grid, over_grid, usable_snapshots
@@ -93,7 +94,9 @@ def test_grid_equals_instant_selection_at_each_step(spark, seed):
     rows = [(rng.choice(["hot", "hot", "a", None]), rng.randrange(-200, 1000), float(rng.randrange(9))) for _ in range(300)]
     grid = Grid(0, 900, 25)
     frame = spark.createDataFrame(rows, "k string, ts_us bigint, value double")
-    got = sorted(((r.k or "", r.at_us, r.value, r.ts_us) for r in over_grid(frame, ["k"], grid, lookback_us=60).collect()))
+    got = sorted(((r.k or "", r.at_us, r.value, r.ts_us) for r in over_grid(frame, ["k"], grid, 60, ("ts_us", "value")).collect()))
+    same_time = frame.groupBy("k", "ts_us").agg(F.max("value").alias("value"))
+    assert sorted((r.k or "", r.at_us, r.value, r.ts_us) for r in over_grid(same_time, ["k"], grid, 60).collect()) == got
     want = []
     for at in range(0, 901, 25):
         for key in {r[0] for r in rows}:
