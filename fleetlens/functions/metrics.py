@@ -36,7 +36,7 @@ def metric_category(metric: Column) -> Column:
 
 
 def sanitize(metric: Column) -> Column:
-    return F.lower(F.regexp_replace(F.replace(metric, F.lit("."), F.lit("_")), "[^a-zA-Z0-9_:]", ""))
+    return F.lower(F.regexp_replace(F.replace(metric, F.lit("."), F.lit("_")), "[^a-zA-Z0-9_:]+", ""))
 
 
 def emitted_name(prefix: str, engine: Column, metric: Column) -> Column:
