@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, mixing, sharding
+from fleetlens.llm import cleaning, jaccard_join, mixing, sharding
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -36,6 +40,7 @@ def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op5_histogram_sort": op5_histogram_sort,
     "op8_line_first": op8_line_first,
     "op10_pareto": op10_pareto,
