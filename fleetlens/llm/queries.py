@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, jaccard_join, mixing, sharding
+from fleetlens.llm import cleaning, jaccard_join, mixing, packing, sharding
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ def op8_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), window=1024).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_by_cycle(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -43,6 +49,7 @@ QUERIES: dict[str, Run] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op5_histogram_sort": op5_histogram_sort,
     "op8_line_first": op8_line_first,
+    "op9_minimum_slack": op9_minimum_slack,
     "op10_pareto": op10_pareto,
 }
 
