@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, jaccard_join, mixing, packing, sharding
+from fleetlens.llm import cleaning, fingerprints, jaccard_join, mixing, packing, sharding, training_order
+from fleetlens.llm.scratch import Scratch
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,15 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(read(spark, sf_dir, "documents"))
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = f"{Scratch(spark, 'training-order').base}/shards"
+    return training_order.materialise(read(spark, sf_dir, "documents"), shards, key=20240229)
+
+
 def op8_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.with_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -48,6 +58,8 @@ def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op5_histogram_sort": op5_histogram_sort,
+    "op6_one_permutation": op6_one_permutation,
+    "op7_training_order": op7_training_order,
     "op8_line_first": op8_line_first,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_pareto": op10_pareto,
