@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, fingerprints, jaccard_join, mixing, packing, sharding, training_order
+from fleetlens.llm import cleaning, fingerprints, jaccard_join, line_crf, mixing, packing, sharding, training_order
 from fleetlens.llm.scratch import Scratch
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.train(docs, read(spark, sf_dir, "labels"))
+    return line_crf.scored(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -57,6 +63,7 @@ def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_line_crf": op3_line_crf,
     "op5_histogram_sort": op5_histogram_sort,
     "op6_one_permutation": op6_one_permutation,
     "op7_training_order": op7_training_order,
