@@ -25,6 +25,8 @@ BOILERPLATE = (
     r"|cookie (policy|settings)|accept (all )?cookies|privacy policy|terms of (use|service)|enable javascript"
     r"|subscribe to our|sign up for|click here|share (this|on)|lorem ipsum)"
 )
+BOILERPLATE_WORDS = 40  # such lines are short
+SEPARATOR = r"[\x20\x09][|>»·•/][\x20\x09]"
 SYMBOLS_A_WORD = (3, 10)  # a line fails with more symbols than 3 for 10 words
 MANY_WORDS = 12
 DISTINCT_SHARE = (1, 4)  # of many words a quarter at least must differ
@@ -36,18 +38,21 @@ def words_in(text: Column) -> Column:
 
 
 def symbols_in(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    # Most texts have none: a look for the first is cheaper than a copy without them.
+    return F.when(text.rlike(f"[{SYMBOLS}]"), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(F.lit(0))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails a rule."""
-    n_words = F.regexp_count(line, F.lit(A_WORD + "+"))
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether a line that has a word fails a rule; cheap rules come first."""
+    n_words = F.size(words)
+    long = n_words >= MANY_WORDS
+    shouting = (n_words > 2) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}")
+    endless = long & ~F.endswith(line, F.lit(".")) & ~line.rlike(SENTENCE_END)
+    boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
     symbols = symbols_in(line) * SYMBOLS_A_WORD[1] > n_words * SYMBOLS_A_WORD[0]
-    shouting = line.rlike(r"\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}") & ~line.rlike(r"\p{Ll}") & (n_words > 2)
-    navigation = F.regexp_count(line, F.lit(r"[\x20\x09][|>»·•/][\x20\x09]")) * 5 > n_words
-    repeated = (n_words >= MANY_WORDS) & (F.size(F.array_distinct(words_in(line))) * DISTINCT_SHARE[1] < n_words * DISTINCT_SHARE[0])
-    endless = (n_words >= MANY_WORDS) & ~line.rlike(SENTENCE_END)
-    return symbols | shouting | navigation | line.rlike(BOILERPLATE) | repeated | endless
+    navigation = line.rlike(SEPARATOR) & (F.regexp_count(line, F.lit(SEPARATOR)) * 5 > n_words)
+    repeated = long & (F.size(F.array_distinct(words)) * DISTINCT_SHARE[1] < n_words * DISTINCT_SHARE[0])
+    return shouting | endless | boilerplate | symbols | navigation | repeated
 
 
 def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -80,21 +85,19 @@ def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     starts = F.col("_starts")
     covered = F.transform(starts, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(starts, j + 1) - x, F.lit(3))))
     rows = rows.withColumn("_lines", F.filter(F.split(text, "\n"), lambda line: line.rlike(A_WORD)))
-    rows = rows.withColumn("_kept_lines", F.filter("_lines", lambda line: ~line_fails(line)))
+    judged = F.transform("_lines", lambda line: F.struct(line.alias("line"), words_in(line).alias("words")))
+    passed = F.filter(judged, lambda x: ~line_fails(x["line"], x["words"]))
+    rows = rows.withColumn("_kept_lines", F.transform(passed, lambda x: x["line"]))
     lines, kept_lines = F.col("_lines"), F.col("_kept_lines")
-
-    def chars(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
-
     rows = rows.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": symbols_in(text).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.aggregate(covered, F.lit(0), lambda total, n: total + n).cast("long"),
         "clean_text": F.array_join(kept_lines, "\n"),
-        "_kept_chars": chars(kept_lines),
-        "_chars": chars(lines),
+        "_kept_chars": F.length(F.array_join(kept_lines, "")),
+        "_chars": F.length(F.array_join(lines, "")),
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     lost = F.col("_chars") - F.col("_kept_chars")
