@@ -21,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fleetlens.llm.scratch import Scratch, slices
+from fleetlens.llm.scratch import Scratch, arrow_map, slices
 from fleetlens.llm.tokens import VOCABULARY, encode
 
 END_ID = 0
-ROWS_A_RUN = 50_000
+ROWS_A_RUN = 500  # pieces numbered together at least
+RUNS = 20_000  # and runs at most, besides one a length
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt int"
 
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, window: int, vocabulary: str = VOCABULARY, end_id: i
                 kinds = {"salt": pa.int32(), "ids": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_pydict({name: pa.array(values, kinds.get(name, pa.int64())) for name, values in out.items()})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -124,11 +125,15 @@ def places(uses: list[Use]) -> dict[int, list[tuple[int, int, int, int]]]:
     return out
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Adds ``rank``: the number of a piece among those of its length, from 0, counted in runs of bounded size."""
-    most = rows.groupBy("length").count().agg(F.max("count")).first()[0] or 0
-    runs = max(1, 2 * -(-most // ROWS_A_RUN)) if most > ROWS_A_RUN else 1
-    split = rows.withColumn("run", F.pmod("salt", F.lit(runs)))
+def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Adds ``rank``: the number of a piece among those of its length, from 0.
+
+    Pieces of a length are numbered in runs that then move up; a frequent length has more runs, so that no task holds a
+    share of the rows that one length has.
+    """
+    a_run = max(ROWS_A_RUN, sum(histogram.values()) // RUNS)
+    runs = F.array(*[F.lit(-(-histogram.get(length, 0) // a_run) or 1) for length in range(max(histogram, default=0) + 1)])
+    split = rows.withColumn("run", F.pmod("salt", F.get(runs, F.col("length").cast("int"))))
     counts = split.groupBy("length", "run").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -161,6 +166,6 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str = VOCABULARY, end_
                 names=[*kept, "sequence_id", "offset"],
             )
 
-    numbered = ranked(rows)
+    numbered = ranked(rows, histogram)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "rank")
-    return numbered.mapInArrow(put, schema + ", sequence_id long, `offset` long")
+    return arrow_map(numbered, put, schema + ", sequence_id long, `offset` long")
