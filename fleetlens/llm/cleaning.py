@@ -104,3 +104,15 @@ def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     kept = ~F.col("base_failed") & (lost * MOST_LOST[1] <= F.col("_chars") * MOST_LOST[0])
     rows = rows.withColumn("kept", kept)
     return rows.drop(*[name for name in rows.columns if name.startswith("_") and name not in docs.columns])
+
+
+def cleaned(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The documents that are kept, with their columns; the text is without the lines that failed.
+
+    The choice is an exploded array of none or one: a filter would be pushed below the counts and repeat them all.
+    """
+    judged = with_counts(docs.select(F.col(text_column).alias("text"), F.struct("*").alias("document")))
+    chosen = F.explode(F.when(F.col("kept"), F.array(F.struct("document", "clean_text"))))
+    rows = judged.select(chosen.alias("r")).select("r.document", "r.clean_text")
+    columns = [F.col("clean_text").alias(c) if c == text_column else F.col(f"document.`{c}`") for c in docs.columns]
+    return rows.select(*columns)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlens.llm.scratch import arrow_map
 from fleetlens.llm.shingles import shingle_sets
 
 BINS = 256
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, fingerprint string")
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, fingerprint string")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number(batch.column("key").to_numpy()))], names=["key", "hash", "range"])
 
-    first = keyed.select("key", "hash").mapInArrow(heads, "key long, hash long, range int").groupBy("range").agg(F.max(F.struct("key", "hash")).alias("head"))
+    first = arrow_map(keyed.select("key", "hash"), heads, "key long, hash long, range int").groupBy("range").agg(F.max(F.struct("key", "hash")).alias("head"))
     found = sorted((r.range, r["head"]["key"], r["head"]["hash"]) for r in first.collect())
     # The head of each range is the tail of the one before; that of the first range, of the last one.
     tails = {(key, hash_): found[i - 1][0] for i, (_, key, hash_) in enumerate(found)}
@@ -124,7 +125,7 @@ def in_order(docs: DataFrame) -> DataFrame:
                     one = [c.slice(int(row), 1) for c in columns]
                     yield pa.RecordBatch.from_arrays([*one, pa.array([to], pa.int32()), pa.array([True])], names=names)
 
-    routed = keyed.mapInArrow(route, "doc_id long, text string, key long, hash long, range int, tail boolean")
+    routed = arrow_map(keyed, route, "doc_id long, text string, key long, hash long, range int, tail boolean")
     return routed.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "tail", F.desc("key"), F.desc("hash"))
 
 
@@ -161,4 +162,4 @@ def with_next(docs: DataFrame, shingle: int = SHINGLE, slice_bytes: int = 1_500_
         if len(rows) > 1:
             yield answer(rows)
 
-    return in_order(docs).select("doc_id", "text", "range", "tail").mapInArrow(run, schema)
+    return arrow_map(in_order(docs).select("doc_id", "text", "range", "tail"), run, schema)

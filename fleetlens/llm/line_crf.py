@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.scratch import slices
+from fleetlens.llm.scratch import arrow_map, slices
 
 SAMPLE_A_CLASS = 1500
 SAMPLE_LINES = 48
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id"
     )
-    rows = joined.select("doc_id", "quality", "text").mapInArrow(gather, "doc_id long, quality int, n int, features binary, chars binary").collect()
+    rows = arrow_map(joined.select("doc_id", "quality", "text"), gather, "doc_id long, quality int, n int, features binary, chars binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
     labels_of = np.array([r.quality for r in rows], np.int64)
     if len(set(labels_of.tolist())) < 2:
@@ -227,4 +227,4 @@ def scored(docs: DataFrame, model: Model | None, text_column: str = "text") -> D
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, schema + ", score double, predicted int")
+    return arrow_map(kept, run, schema + ", score double, predicted int")

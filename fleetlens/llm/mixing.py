@@ -5,8 +5,8 @@ to the documents of smallest rank, the random odds u / (1 - u) over the inclusio
 target is met. u is a hash of seed and id, so reruns agree.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a null id is hashed as
-the word ``null``; rows of one rank (repeated rows) are taken in order of size, which one does not matter; documents
-without words take nothing. An empty table gives an empty result.
+the word ``null``; rows of one rank (repeated rows) are taken together or not at all; documents without words take
+nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,40 +54,53 @@ def targets(sources: DataFrame, most_copies: int = MOST_COPIES) -> DataFrame:
     return leveled.withColumn("target", F.when(capped, F.col("cap")).otherwise(F.col("weight") * level)).drop("cap", "level")
 
 
-def mix(docs: DataFrame, sources: DataFrame, seed: int = 17, odds: Column | None = None) -> DataFrame:
-    """Copies of each document. ``docs``: doc_id, source, size; ``sources``: source, source_size, target.
+def _ranked(docs: DataFrame, sources: DataFrame, seed: int, odds: Column | None) -> DataFrame:
+    """``docs`` with the columns of their source and ``rank``: null where no uncertain copy is to be had."""
+    plan = F.broadcast(sources) if _few(sources) else sources
+    joined = docs.alias("d").join(plan.withColumnRenamed("source", "_source").alias("s"), F.col("d.source").eqNullSafe(F.col("s._source")), "left").drop("_source")
+    u = uniform(seed, F.col("doc_id"))
+    wanted = F.col("_rest") / (1 - F.col("_rest")) * (F.lit(1.0) if odds is None else odds)
+    rank = F.when(F.col("_rest") > 0, u / (1 - u) / wanted)
+    return joined.withColumn("_rank", rank).withColumn("_cell", F.floor(F.col("_rank") / (1 + F.col("_rank")) * CELLS).cast("int"))
+
+
+def plan(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seed: int = 17, odds: Column | None = None) -> DataFrame:
+    """One row per source: _certain copies, _rest (the chance of one more), and where the ranks are cut.
 
-    ``odds`` is a positive relative weight for the uncertain copy of a document (1 where not given): its inclusion odds
-    are those of the source's remainder times it.
+    ``sizes``: doc_id, source, size; ``sources``: source, source_size, target. Ranks are summed in cells first; only the
+    one cell of a source in which its target falls is gone through row by row. Rows of one rank are taken together.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    same_source = docs["source"].eqNullSafe(sources["source"])
-    joined = docs.join(F.broadcast(sources) if _few(sources) else sources, same_source, "left").select(
-        docs["*"], "source_size", "target", F.floor(ratio).cast("long").alias("certain"), (ratio - F.floor(ratio)).alias("rest"),
+    shares = sources.select("source", "source_size", "target", F.floor(ratio).cast("long").alias("_certain"), (ratio - F.floor(ratio)).alias("_rest"))
+    ranked = scratch.table(_ranked(sizes, shares, seed, odds).where("_rank is not null").select("source", "size", "_rank", "_cell"), "ranked")
+    cells = ranked.groupBy("source", "_cell").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("source", F.col("_cell").alias("cell"), "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    room = F.col("_rest") * F.col("source_size")
+    a, b = starts.alias("a"), shares.alias("b")
+    edges = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).where((F.col("start") <= room) & (F.col("start") + F.col("words") > room))
+    # Cells without words may begin where the target falls: the first that passes it is the edge.
+    edges = edges.groupBy("a.source").agg(F.min(F.struct("cell", "start", room.alias("room"))).alias("e")).select("source", "e.*")
+    c, d = ranked.alias("c"), edges.alias("d")
+    inside = c.join(d, F.col("c.source").eqNullSafe(F.col("d.source")) & (F.col("c._cell") == F.col("d.cell"))).select("d.source", "_rank", "size", "cell", "start", "room")
+    ranks = inside.groupBy("source", "_rank").agg(F.sum("size").alias("words"), F.min("start").alias("start"), F.min("room").alias("room"))
+    upto = Window.partitionBy("source").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranks.withColumn("sum", F.col("start") + F.sum("words").over(upto))
+    # The rank that crosses the target is taken if that ends nearer to it.
+    cut = sums.where(2 * F.col("sum") - F.col("words") <= 2 * F.col("room")).groupBy("source").agg(F.max("_rank").alias("_cut"))
+    out = shares.alias("s").join(edges.select("source", "cell").alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
+    out = out.join(cut.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source")), "left")
+    return scratch.table(out.select("s.*", F.col("e.cell").alias("_edge"), F.col("k._cut").alias("_cut")), "plan")
+
+
+def copies(docs: DataFrame, planned: DataFrame, seed: int = 17, odds: Column | None = None) -> DataFrame:
+    """``docs`` (doc_id, source and any others) with ``copies``, source_size and target; documents are not exchanged."""
+    rows = _ranked(docs, planned, seed, odds)
+    picked = F.col("_rank").isNotNull() & (
+        F.col("_edge").isNull() | (F.col("_cell") < F.col("_edge")) | ((F.col("_cell") == F.col("_edge")) & F.coalesce(F.col("_rank") <= F.col("_cut"), F.lit(False)))
     )
-    u = uniform(seed, F.col("doc_id"))
-    wanted = F.col("rest") / (1 - F.col("rest")) * (F.lit(1.0) if odds is None else odds)
-    rank = F.when(F.col("rest") > 0, u / (1 - u) / wanted)
-    ranked = scratch.table(
-        joined.withColumn("rank", rank).withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS).cast("int")), "ranked"
-    )
-    # Words of all smaller ranks: by cells first, then within the one cell where the target falls.
-    cells = ranked.where("rank is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "cell", "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    a, b = ranked.alias("a"), starts.alias("b")
-    placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.cell") == F.col("b.cell")), "left").select("a.*", "words", "start")
-    room = F.col("rest") * F.col("source_size")
-    whole = F.col("start") + F.col("words") <= room
-    cut = placed.withColumn("on_edge", F.col("rank").isNotNull() & ~whole & (F.col("start") < room))
-    upto = Window.partitionBy("source", "cell").orderBy("rank", "size", "doc_id")
-    edge = cut.where("on_edge").withColumn("sum", F.col("start") + F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    # The row that crosses the target is taken if that ends nearer to it.
-    edge = edge.withColumn("picked", 2 * F.col("sum") - F.col("size") <= 2 * room).drop("sum")
-    rest = cut.where(~F.col("on_edge")).withColumn("picked", F.col("rank").isNotNull() & F.coalesce(whole, F.lit(False)))
-    return rest.unionByName(edge).select(
-        *docs.columns, "source_size", "target", (F.col("certain") + F.col("picked").cast("long")).alias("copies")
+    return rows.withColumn("copies", F.coalesce(F.col("_certain"), F.lit(0)) + F.coalesce(picked, F.lit(False)).cast("long")).drop(
+        "_certain", "_rest", "_rank", "_cell", "_edge", "_cut"
     )
 
 
@@ -100,10 +113,18 @@ def sized(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return docs.select("doc_id", "source", word_count(text_or_empty(text_column)).alias("size"))
 
 
-def mix_by_cycle(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for documents of (doc_id, source, text)."""
-    scratch = Scratch(docs.sparkSession, "mixing-sizes")
-    rows = scratch.table(sized(docs), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+def plan_by_cycle(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
+    """The plan for documents of (doc_id, source, text) whose sources weigh as the cycle says; and doc_id, source, size."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.table(sized(docs), "sizes")
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = scratch.table(targets(cyclic_weights(totals, cycle)), "targets")
-    return mix(rows, goals, seed)
+    return plan(sizes, goals, scratch, seed), sizes
+
+
+def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix itself: each document as often as its copies, with the columns of ``docs``."""
+    planned, _ = plan_by_cycle(docs, seed)
+    many = copies(docs.select(F.struct("*").alias("_row"), "doc_id", "source"), planned, seed).where("copies > 0")
+    once_each = many.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return once_each.select("_row.*").select(*[F.col(f"`{c}`") for c in docs.columns])

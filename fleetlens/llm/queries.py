@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, fingerprints, jaccard_join, line_crf, mixing, packing, sharding, training_order
+from fleetlens.llm import cleaning, fingerprints, jaccard_join, line_crf, mixing, packing, quotations, sharding, tag_paths, training_order
 from fleetlens.llm.scratch import Scratch
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,26 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.with_main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = line_crf.train(docs, read(spark, sf_dir, "labels"))
     return line_crf.scored(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's turns quote nothing, so they are first put as mails that quote the two turns before them."""
+    mails = quotations.as_mail(read(spark, sf_dir, "conversations"))
+    threads = quotations.conversations(mails, scope="conv_id", position="turn")
+    return threads.select(
+        F.col("scope").alias("conv_id"), F.col("position").alias("turn"), F.col("parent").alias("parent_turn"),
+        F.col("root").alias("root_turn"), "depth", "place", "text",
+    )
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -57,13 +71,16 @@ def op9_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_by_cycle(read(spark, sf_dir, "documents"))
+    planned, sizes = mixing.plan_by_cycle(read(spark, sf_dir, "documents"))
+    mixed = mixing.copies(sizes, planned)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES: dict[str, Run] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_tag_paths": op2_tag_paths,
     "op3_line_crf": op3_line_crf,
+    "op4_quotations": op4_quotations,
     "op5_histogram_sort": op5_histogram_sort,
     "op6_one_permutation": op6_one_permutation,
     "op7_training_order": op7_training_order,

@@ -7,7 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetlens.session import scratch_dir
+from fleetlens.session import scratch_dir, ship_library
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_BATCH_ROWS = 1000
 
 
 class Scratch:
@@ -32,6 +35,10 @@ class Scratch:
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with the library shipped to the workers and batches that stay small however long the texts are."""
+    ship_library(df.sparkSession)
+    if int(df.sparkSession.conf.get(BATCH_ROWS)) > MOST_BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH_ROWS, str(MOST_BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 

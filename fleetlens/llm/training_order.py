@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.scratch import slices
+from fleetlens.llm.scratch import arrow_map, slices
 from fleetlens.llm.tokens import VOCABULARY, encode
 
 END_ID = 50256  # the end-of-text id of the vocabulary
@@ -138,7 +138,7 @@ def materialise(
         n = -(-total // length)
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
-    counts = {r.part: r.n for r in rows.mapInArrow(count, "part int, n long").collect()}  # one row per input partition
+    counts = {r.part: r.n for r in arrow_map(rows, count, "part int, n long").collect()}  # one row per input partition
     starts, total = {}, 0
     for part in sorted(counts):
         starts[part], total = total, total + counts[part]
@@ -207,9 +207,9 @@ def materialise(
             })
         close()
 
-    placed = rows.mapInArrow(place, "slot long, shard int, n_tokens int, first_doc_id long, first_start long, ids binary")
+    placed = arrow_map(rows, place, "slot long, shard int, n_tokens int, first_doc_id long, first_start long, ids binary")
     ranged = placed.repartition(max(1, -(-total // a_shard)), "shard").sortWithinPartitions("shard", "slot")
-    return ranged.mapInArrow(write, "slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long, first_doc_id long, first_start long")
+    return arrow_map(ranged, write, "slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long, first_doc_id long, first_start long")
 
 
 def read_from(uri: str, slot: int, length: int, a_shard: int, width: int = 2) -> Iterator[np.ndarray]:
