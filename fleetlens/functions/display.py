@@ -36,8 +36,9 @@ def display_name(label: Column, suffix: str = "") -> Column:
     return F.concat_ws(" ", label, F.lit(suffix)) if suffix else label
 
 
-def panel_round(value: Column, decimals: int) -> Column:
-    return F.round(value, decimals)
+def panel_round(value: Column, decimals: int | None) -> Column:
+    """The value with the decimals a panel sets; as it is where the panel sets none."""
+    return value if decimals is None else F.round(value, decimals)
 
 
 def is_valid_prefix(name: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.metrics import split_metric
-from fleetlens.operators.keys import INSTANCE_KEY, SERIES_KEY, present, shared
+from fleetlens.operators.keys import INSTANCE_KEY, SERIES_KEY, present
 from fleetlens.operators.predicates import valid_point
 
 COUNTER_PERIOD_US = 1_000_000
@@ -42,12 +42,36 @@ def resample_by_statistic(points: DataFrame, period_us: int) -> DataFrame:
     return sampled.withColumn("value", chosen).drop("avg", "min", "max", "sum")
 
 
+FIRST_SEEN = ("seen_at_us", "ordinal", "resource_id", "description")
+
+
 def unique_definitions(catalogue: DataFrame) -> DataFrame:
     """One row per instance and metric: the last definition wins."""
+    return _definitions(catalogue).drop("first_seen")
+
+
+def _definitions(catalogue: DataFrame) -> DataFrame:
+    """The last definition of each instance and metric, with where its description was first seen.
+
+    The filter keeps both aggregates alive in whatever is built on this, so that all of it shares one exchange.
+    """
     keys = present(catalogue, SERIES_KEY)
     rest = [c for c in catalogue.columns if c not in (*keys, "ordinal")]
-    last = F.max(F.struct("ordinal", *rest)).alias("last")
-    return catalogue.groupBy(*keys).agg(last).select(*keys, "last.*")
+    folded = catalogue.groupBy(*keys).agg(
+        F.max(F.struct("ordinal", *rest)).alias("last"), F.min(F.struct(*FIRST_SEEN)).alias("first_seen")
+    )
+    return folded.where("last IS NOT NULL AND first_seen IS NOT NULL").select(*keys, "last.*", "first_seen")
+
+
+def canonical_definitions(catalogue: DataFrame) -> DataFrame:
+    """``unique_definitions`` with the canonical description of region, engine and metric, from one scan."""
+    unique = _definitions(catalogue)
+    first = F.min("first_seen").alias("first")
+    canonical = (
+        unique.groupBy("region", "engine", F.lower("metric").alias("metric_lower")).agg(first)
+        .select("region", "engine", "metric_lower", F.col("first.description").alias("canonical_description"))
+    )
+    return with_canonical_description(unique.drop("first_seen"), canonical)
 
 
 def canonical_descriptions(catalogue: DataFrame) -> DataFrame:
@@ -55,7 +79,7 @@ def canonical_descriptions(catalogue: DataFrame) -> DataFrame:
 
     There are few such groups, so nearly all rows fold together before the shuffle.
     """
-    first = F.min(F.struct("seen_at_us", "ordinal", "resource_id", "description")).alias("first")
+    first = F.min(F.struct(*FIRST_SEEN)).alias("first")
     return (
         catalogue.groupBy("region", "engine", F.lower("metric").alias("metric_lower")).agg(first)
         .select("region", "engine", "metric_lower", F.col("first.description").alias("canonical_description"))
@@ -88,11 +112,3 @@ def point_statistics(points: DataFrame) -> DataFrame:
     return per_series.groupBy(*present(points, INSTANCE_KEY)).agg(
         F.count(F.lit(1)).alias("series"), F.sum("points").alias("points"), F.sum("valid_points").alias("valid_points")
     )
-
-
-def discovered_and_kept(discovered: DataFrame, kept: DataFrame) -> DataFrame:
-    """Instances per region before and after the cap."""
-    keys = shared(discovered, kept, ("region",))
-    before = discovered.groupBy(*keys).agg(F.count(F.lit(1)).alias("discovered"))
-    after = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
-    return before.join(after, keys, "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("bigint")))

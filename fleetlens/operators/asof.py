@@ -54,6 +54,11 @@ def _newest(order: Sequence[str], payload: Sequence[str]) -> list[Column]:
     return [F.max(F.struct(*order, *[c for c in payload if c not in order])).alias("newest")]
 
 
+def _one_value_a_time(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of values of one series and time the largest: what is newest is then settled, and stays a hash aggregate."""
+    return samples.groupBy(*keys, "ts_us").agg(F.max("value").alias("value"))
+
+
 def _unpacked(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
     return folded.select(*keys, "newest.*") if "newest" in folded.columns else folded
 
@@ -63,10 +68,11 @@ def instant(
 ) -> DataFrame:
     """Newest sample of each series with ``at - lookback < ts <= at``.
 
-    A measurement published by several scrapes repeats with the same value, so the time alone decides. Where
-    samples of one time may disagree (see ``quality.duplicate_series``), order by ``("ts_us", "value")``.
+    Of values that disagree at one time (see ``quality.duplicate_series``) the largest counts.
     """
     seen = samples.filter((F.col("ts_us") <= at_us) & (F.col("ts_us") > at_us - lookback_us))
+    if order == ("ts_us",):
+        seen = _one_value_a_time(seen, keys)
     return _unpacked(seen.groupBy(*keys).agg(*_newest(order, ["value"])), keys).select(*keys, "value", "ts_us")
 
 
@@ -95,7 +101,10 @@ def over_grid(
     A slot's row stays current until the key's next non-empty slot or until the lookback ends, so it is
     repeated for just those slots. Nothing is joined with the grid.
     """
-    folded = newest_per_slot(samples, keys, grid, order, lookback_us + (1 if inclusive else 0))
+    reach_us = lookback_us + (1 if inclusive else 0)
+    if order == ("ts_us",) and set(samples.columns) == {*keys, "ts_us", "value"}:
+        samples = _one_value_a_time(samples.filter((F.col("ts_us") > grid.start_us - reach_us) & (F.col("ts_us") <= grid.end_us)), keys)
+    folded = newest_per_slot(samples, keys, grid, order, reach_us)
     following = F.lead("slot").over(Window.partitionBy(*keys).orderBy("slot"))
     reach = F.col("ts_us") + F.lit(lookback_us if inclusive else lookback_us - 1)
     until = F.least(F.coalesce(following - 1, F.lit(grid.last_slot)), grid.last_slot_at_or_before(reach))
@@ -119,3 +128,18 @@ def usable_snapshots(snapshots: DataFrame, keys: Sequence[str], grid: Grid, ttl_
         .withColumnRenamed("ts_us", "fetched_at_us")
         .withColumn("is_stale", F.col("at_us") > F.col("fetched_at_us") + F.lit(ttl_us))
     )
+
+
+def snapshot_at(rows: DataFrame, keys: Sequence[str], at_us: int, ttl_us: int | None = None) -> DataFrame:
+    """The rows of each key's newest snapshot at one time, and ``is_stale`` where a TTL is given.
+
+    ``rows`` carry ``fetched_at_us``, the time of the snapshot they belong to; a null time belongs to none. What is
+    joined back is one row per key.
+    """
+    newest = rows.filter(F.col("fetched_at_us") <= at_us).groupBy(*keys).agg(F.max("fetched_at_us").alias("_newest_us"))
+    a, b = rows.alias("a"), newest.alias("b")
+    same = F.col("a.fetched_at_us") == F.col("b._newest_us")
+    for key in keys:
+        same = same & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    found = a.join(b, same).select("a.*")
+    return found if ttl_us is None else found.withColumn("is_stale", F.lit(at_us) > F.col("fetched_at_us") + F.lit(ttl_us))

@@ -57,8 +57,3 @@ def latest_with_interval(points: DataFrame, keys=SERIES_KEY) -> DataFrame:
         .drop("previous_us")
     )
 
-
-def latest_n_nested(points: Column, n: int) -> Column:
-    """The newest ``n`` valid entries of an ``array<struct<ts_us, value>>``, newest first."""
-    valid = F.filter(points, lambda p: p["value"].isNotNull() & p["ts_us"].isNotNull())
-    return F.slice(F.reverse(valid), 1, max(n, 0))

@@ -6,10 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetlens.session import materialize
-
-# Up to this many rows a global ORDER BY ... LIMIT is merged in one task.
-ONE_TASK_ROWS = 100_000
+NO_TIME_US = 4 * 10**18  # after every time there is
 HOUR_US, SECOND_US = 3_600_000_000, 1_000_000
 
 
@@ -29,47 +26,45 @@ def oldest_instances(instances: DataFrame, n: int) -> DataFrame:
     return top_n_per_group(instances, ["region"], order, n, "age_rank")
 
 
-def _cut(rows: DataFrame, bucket: Column, quota: int) -> tuple[object, int, bool]:
-    """The bucket in which the quota runs out, what is left of the quota in it, and whether it fits whole.
+def _edge(sizes: DataFrame, within: Sequence[str], bucket: str) -> DataFrame:
+    """The buckets, one per group of ``within``, in which the quota ``left`` runs out, with what is left of it there.
 
-    Only counts per bucket are ordered in one task; callers choose levels with a bounded number of buckets.
+    Only counts are ordered; callers choose levels with a bounded number of buckets in a group.
     """
-    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    reached = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).filter(F.col("ahead") < quota)
-    last = reached.orderBy(F.desc("bucket")).first()
-    return last.bucket, quota - last.ahead, last.n <= quota - last.ahead
+    ahead = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    reached = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    found = reached.filter((F.col("ahead") < F.col("left")) & (F.col("ahead") + F.col("n") >= F.col("left")))
+    return found.select(*within, bucket, (F.col("left") - F.col("ahead")).alias("left"))
 
 
 def earliest_k(df: DataFrame, time_us: str, keys: Sequence[str], k: int) -> DataFrame:
-    """The ``k`` rows with the smallest time, ties in the order of the md5 of the key.
+    """The ``k`` rows with the smallest time, ties in the order of the md5 of the key; rows without a time come last.
 
-    A small ``k`` is a plain ORDER BY ... LIMIT. A large one must not pass through one task: counts per
-    hour, then per second, microsecond and md5 prefix inside the bucket in which the quota runs out, give
-    the exact cut, and the result is a filter on the rows, which are stored once for these passes. Only
-    the last bucket, a 1/16,777,216th of the rows of one microsecond, is ordered.
+    However large ``k`` is, its rows never meet in one task: counts per hour and second, then per microsecond and
+    prefix of the md5 within the one second in which the quota runs out, give the exact cut, a single row. All rows
+    before it are a filter. Only the rows of that prefix and microsecond, a 4,096th of those of one time, are ordered.
+    The rows are read four times, so give a stored table. Fewer than ``k`` rows are all returned.
     """
-    tie = F.md5(F.concat_ws("\u0001", *keys))
-    time = F.col(time_us)
     if k <= 0:
         return df.limit(0)
-    if k <= ONE_TASK_ROWS:
-        return df.orderBy(time, tie).limit(k)
-    rows = materialize(df, "top-k")
-    inside, before, left = rows, F.lit(False), k
-    if rows.limit(1).count() == 0:
-        return rows
-    for width in (HOUR_US, SECOND_US, 1):
-        start, left, whole = _cut(inside, time - F.pmod(time, F.lit(width)), left)
-        before, within = time < start, (time >= start) & (time < start + width)
-        if whole:
-            return rows.filter(before | within)
-        inside = rows.filter(within)
-    for length in (3, 6):
-        prefix = F.substring(tie, 1, length)
-        found, left, whole = _cut(inside, prefix, left)
-        before, inside = before | (within & (prefix < found)), inside.filter(prefix == found)
-        if whole:
-            return rows.filter(before | (within & (prefix == found)))
-        within = within & (prefix == found)
-    return rows.filter(before).unionByName(inside.orderBy(tie).limit(left))
+    tie = F.md5(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys]))
+    time = F.coalesce(F.col(time_us), F.lit(NO_TIME_US))
+    second = time - F.pmod(time, F.lit(SECOND_US))
+    rows = df.withColumns({"_hour": second - F.pmod(second, F.lit(HOUR_US)), "_second": second, "_time": time, "_prefix": F.substring(tie, 1, 3)})
+
+    seconds = rows.groupBy("_hour", "_second").agg(F.count(F.lit(1)).alias("n"))
+    hours = seconds.groupBy("_hour").agg(F.sum("n").alias("n")).withColumn("left", F.lit(k).cast("bigint"))
+    hour = _edge(hours, [], "_hour")
+    at = _edge(seconds.join(hour, "_hour"), ["_hour"], "_second")
+    cells = rows.join(at, ["_hour", "_second"]).groupBy("_time", "_prefix").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
+    times = cells.groupBy("_time").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    moment = _edge(times, [], "_time")
+    cut = _edge(cells.drop("left").join(moment, "_time"), ["_time"], "_prefix")
+
+    edge = cut.select(F.lit(1).alias("_one"), F.col("_time").alias("_cut_time"), F.col("_prefix").alias("_cut_prefix"), "left")
+    marked = rows.withColumn("_one", F.lit(1)).join(F.broadcast(edge), "_one", "left")  # one row, or none
+    same_time = F.col("_time") == F.col("_cut_time")
+    before = F.col("_cut_time").isNull() | (F.col("_time") < F.col("_cut_time")) | (same_time & (F.col("_prefix") < F.col("_cut_prefix")))
+    number = F.row_number().over(Window.partitionBy("_time", "_prefix").orderBy(tie))
+    last = marked.filter(same_time & (F.col("_prefix") == F.col("_cut_prefix"))).withColumn("_number", number).filter("_number <= left")
+    return marked.filter(before).select(*df.columns).unionByName(last.select(*df.columns))

@@ -21,6 +21,7 @@ from fleetlens.operators.keys import INSTANCE_KEY, SERIES_KEY, present
 from fleetlens.operators.predicates import LOOKBACK_US, valid_point
 from fleetlens.operators.ranking import top_n_per_group
 from fleetlens.operators.rules import TtlRules, pattern_ttl
+from fleetlens.session import ship_library
 
 RUN_COLUMNS = ("from_slot", "to_slot", "value", "ts_us", "from_store")
 RUN_SCHEMA = "from_slot bigint, to_slot bigint, value double, ts_us bigint, from_store boolean"
@@ -79,38 +80,57 @@ def serve(
 
 
 def _runs_of_partition(keys: Sequence[str], grid: Grid, lookback_us: int):
-    """Walk a partition sorted by series and slot, holding one batch and the series it ends in."""
+    """Walk a partition sorted by series and slot, batch by batch.
+
+    Of a series that goes on in the next batch only its last row, its stored entry and the next slot are carried, so
+    memory does not grow with the length of a series.
+    """
     columns = ("slot", "value", "ts_us", "previous_us", "pattern_ttl_us")
 
-    def runs_between(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        slot, value, ts, previous, ttl = (rows[c].to_numpy() for c in columns)
-        owners: list[int] = []
-        out: list[tuple] = []
-        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            own = slot[start:end].tolist()
-            runs, _ = serve(
-                own, value[start:end].tolist(), ts[start:end].tolist(), previous[start:end].tolist(), int(ttl[start]),
-                grid, lookback_us, own[0], grid.last_slot,
-            )
-            owners += [start] * len(runs)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried: tuple | None = None  # key, last row, ttl, next slot, entry
+
+        def finish(owners: list, out: list) -> None:
+            key, row, ttl, next_slot, entry = carried
+            runs, _ = serve(*([v] for v in row), ttl, grid, lookback_us, next_slot, grid.last_slot, entry)
+            owners += [key] * len(runs)
             out += runs
-        result = rows[list(keys)].iloc[owners].reset_index(drop=True)
-        return result.join(pd.DataFrame(out, columns=list(RUN_COLUMNS)))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        def frame(owners: list, out: list) -> pd.DataFrame:
+            named = pd.DataFrame(owners, columns=list(keys))
+            return named.join(pd.DataFrame(out, columns=list(RUN_COLUMNS)))
+
+        for rows in batches:
             if rows.empty:
                 continue
+            owners: list[tuple] = []
+            out: list[tuple] = []
             ids = [rows[k].to_numpy() for k in keys]
             changed = np.logical_or.reduce([i[1:] != i[:-1] for i in ids])
-            starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
-            held = rows.iloc[starts[-1]:]  # may go on in the next batch
-            if len(starts) > 1:
-                yield runs_between(rows, starts)
-        if held is not None:
-            yield runs_between(held, np.array([0, len(held)]))
+            starts = np.concatenate([[0], np.flatnonzero(changed) + 1, [len(rows)]]).tolist()
+            slot, value, ts, previous, ttl = (rows[c].to_numpy() for c in columns)
+            for start, end in zip(starts[:-1], starts[1:]):
+                key = tuple(i[start] for i in ids)
+                own = [a[start:end].tolist() for a in (slot, value, ts, previous)]
+                first, own_ttl, entry = own[0][0], int(ttl[start]), None
+                if carried is not None:
+                    if carried[0] == key:
+                        own = [[v, *a] for v, a in zip(carried[1], own)]
+                        own_ttl, first, entry = carried[2:]
+                    else:
+                        finish(owners, out)
+                last = own[0][-1]
+                runs, entry = serve(*own, own_ttl, grid, lookback_us, first, last, entry)
+                owners += [key] * len(runs)
+                out += runs
+                carried = (key, [a[-1] for a in own], own_ttl, last + 1, entry)
+            if out:
+                yield frame(owners, out)
+        if carried is not None:
+            owners, out = [], []
+            finish(owners, out)
+            if out:
+                yield frame(owners, out)
 
     return walk
 
@@ -124,6 +144,7 @@ def replay(points: DataFrame, grid: Grid, rules: TtlRules = (), lookback_us: int
         .sortWithinPartitions(*keys, "slot")
     )
     key_schema = ", ".join(f"{k} string" for k in keys)
+    ship_library(points.sparkSession)
     runs = rows.mapInPandas(_runs_of_partition(keys, grid, lookback_us), f"{key_schema}, {RUN_SCHEMA}")
     return (
         runs.withColumn("slot", F.explode(F.sequence("from_slot", "to_slot")))

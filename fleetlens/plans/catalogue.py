@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.aggregates import canonical_descriptions, unique_definitions, with_canonical_description
-from fleetlens.operators.keys import shared
+from fleetlens.operators.aggregates import canonical_definitions
+from fleetlens.operators.asof import snapshot_at
+from fleetlens.operators.keys import INSTANCE_KEY, present, shared
 from fleetlens.operators.predicates import requested_type, valid_catalogue_row
 from fleetlens.operators.rules import Rules, metric_fields, pattern_filter, select_statistics
 
@@ -47,12 +48,17 @@ def chosen_entries(catalogue: DataFrame, default: str, include: Rules | None, ex
 
 def build_catalogue(
     raw: DataFrame, instances: DataFrame, default: str = "avg",
-    include: Rules | None = None, exclude: Rules | None = None,
+    include: Rules | None = None, exclude: Rules | None = None, at_us: int | None = None,
 ) -> DataFrame:
-    """One row per instance and requested metric: canonical description, unit, statistics, instance labels."""
+    """One row per instance and requested metric: canonical description, unit, statistics, instance labels.
+
+    Of a catalogue with several snapshots (``fetched_at_us``) the one usable at ``at_us`` counts, per instance.
+    """
+    if at_us is not None:
+        raw = snapshot_at(raw, present(raw, INSTANCE_KEY), at_us)
     requested = raw.filter(F.col("metric").isNull() | requested_type(F.col("metric")))
     entries = chosen_entries(with_load_metric(of_instances(requested, instances)), default, include, exclude)
-    unique = with_canonical_description(unique_definitions(entries), canonical_descriptions(entries))
+    unique = canonical_definitions(entries)
     wanted = pattern_filter(metric_fields(F.col("metric"), F.col("unit")), None, include, exclude)
     return unique.filter(wanted).select(
         "region", "resource_id", "engine", "identifier", "cluster_identifier", "metric", "description", "unit", "statistics"

@@ -46,9 +46,8 @@ def collect_metrics_for(
 ) -> DataFrame:
     """Counters of at most five named instances; only their points are read into the aggregate."""
     chosen = instances.filter(identifier_in(identifiers))
-    # identifiers are unique per region, so the broadcast holds five rows per region at most
-    wanted = F.broadcast(chosen.select(*shared(points, chosen)))
-    mine = points.join(wanted, shared(points, chosen), "left_semi")
+    keys = shared(points, chosen)
+    mine = points.join(chosen.select(*keys), keys, "left_semi")
     return collect_metrics(mine, catalogue, chosen, now_us, prefix)
 
 

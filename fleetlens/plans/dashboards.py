@@ -146,7 +146,7 @@ def _stat(panel: Stat, samples: DataFrame, at_us: int, instance: str) -> DataFra
     else:
         result = vector.total(rows, panel.function)
     coloured = result.withColumn("colour", threshold_colour(F.col("value"), panel.steps))
-    return coloured.withColumn("value", panel_round(F.col("value"), 6 if panel.decimals is None else panel.decimals))
+    return coloured.withColumn("value", panel_round(F.col("value"), panel.decimals))
 
 
 def stat_panels(samples: DataFrame, at_us: int, instance: str = ALL) -> DataFrame:
@@ -164,22 +164,25 @@ def stat_panels(samples: DataFrame, at_us: int, instance: str = ALL) -> DataFram
         *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(c) for name, c in column.items()]
     )
     shown = F.lit(True) if instance == ALL else label_matches(F.col("identifier"), instance)
-    results = []
+    # Sums and counts per identifier first: a distinct count is then a count of rows, and no row is repeated for it.
+    partial, results = [], []
     for i, (_, _, p) in enumerate(panels):
         value = F.col(column[p.names[0]])
         for other in p.names[1:]:
             value = value + F.col(column[other])
         if p.function == "count":
-            found = F.nullif(F.count_distinct(F.when(value.isNotNull(), F.col("identifier"))), F.lit(0)).cast("double")
+            partial.append(F.max(value.isNotNull() & F.col("identifier").isNotNull()).alias(f"n{i}"))
+            found = F.nullif(F.count_if(f"n{i}"), F.lit(0)).cast("double")
         else:
-            found = {"sum": F.sum, "avg": F.avg}[p.function](F.when(shown, value))
+            partial += [F.sum(F.when(shown, value)).alias(f"s{i}"), F.count(F.when(shown, value)).alias(f"n{i}")]
+            found = F.sum(f"s{i}") if p.function == "sum" else F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}"))
         results.append(found.alias(f"p{i}"))
     rows = []
     for i, (b, n, p) in enumerate(panels):
         value = F.col(f"p{i}")
-        rounded = panel_round(value, 6 if p.decimals is None else p.decimals)
+        rounded = panel_round(value, p.decimals)
         rows.append(F.struct(F.lit(b).alias("board"), F.lit(n).alias("panel"), rounded.alias("value"), threshold_colour(value, p.steps).alias("colour")))
-    return wide.agg(*results).select(F.inline(F.array(*rows))).filter(F.col("value").isNotNull())
+    return wide.groupBy("identifier").agg(*partial).agg(*results).select(F.inline(F.array(*rows))).filter(F.col("value").isNotNull())
 
 
 def _series(panel: Series, samples: DataFrame, grid: Grid, instance: str) -> DataFrame:
@@ -195,7 +198,7 @@ def _used(panel: Used, samples: DataFrame, grid: Grid, instance: str) -> DataFra
     labels = label_columns(samples)
     rows = over_grid(_select(samples, [panel.free, panel.total], instance), ["name", *labels], grid)
     pairs = vector.pair_by_name(rows, ["at_us", *labels], panel.free, panel.total)
-    value = panel_round(percent_used(F.col("left_value"), F.col("right_value")), 6)
+    value = percent_used(F.col("left_value"), F.col("right_value"))
     return pairs.select(F.col("identifier").alias("series"), "region", "at_us", value.alias("value"))
 
 

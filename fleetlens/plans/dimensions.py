@@ -33,7 +33,7 @@ def load_by_dimension(points: DataFrame, now_us: int, groups: Sequence[str] = GR
         .agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     )
     newest = F.max_by(F.col("total") / F.col("n"), "period_us").alias("value")
-    loads = minutes.groupBy(*by).agg(F.round(F.sum("total") / F.sum("n"), 6).alias("load"), newest, F.max("period_us").alias("ts_us"))
+    loads = minutes.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("load"), newest, F.max("period_us").alias("ts_us"))
     return loads.withColumn("dims", F.map_from_entries("dims_key")).drop("dims_key")
 
 
@@ -60,6 +60,6 @@ def publish_dimensions(ranked: DataFrame, instances: DataFrame, prefix: str = PR
 
 
 def top_load_by_dimension(
-    points: DataFrame, instances: DataFrame, now_us: int, n: int = 10, groups: Sequence[str] = GROUPS, prefix: str = PREFIX,
+    points: DataFrame, instances: DataFrame, now_us: int, n: int, groups: Sequence[str] = GROUPS, prefix: str = PREFIX,
 ) -> DataFrame:
     return publish_dimensions(top_load(load_by_dimension(points, now_us, groups), n), instances, prefix)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.engines import normalize_engine
+from fleetlens.operators.asof import snapshot_at
 from fleetlens.operators.predicates import instance_defect
 from fleetlens.operators.ranking import oldest_instances
 from fleetlens.operators.rules import Rules, pattern_filter
@@ -26,9 +27,15 @@ def discovered_instances(flat: DataFrame, include: Rules | None = None, exclude:
 
 
 def discover_instances(
-    flat: DataFrame, include: Rules | None = None, exclude: Rules | None = None, max_instances: int | None = 25,
+    flat: DataFrame, include: Rules | None = None, exclude: Rules | None = None, max_instances: int | None = None,
+    at_us: int | None = None,
 ) -> DataFrame:
-    """The oldest ``max_instances`` of each region among the usable ones that pass the rules; None keeps all."""
+    """The oldest ``max_instances`` of each region among the usable ones that pass the rules; None keeps all.
+
+    Of an inventory with several snapshots (``fetched_at_us``) the one usable at ``at_us`` counts, per region.
+    """
+    if at_us is not None:
+        flat = snapshot_at(flat, ["region"], at_us)
     found = discovered_instances(flat, include, exclude)
     if max_instances is None:
         return found

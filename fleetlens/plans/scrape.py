@@ -21,7 +21,7 @@ def union_families(*families: DataFrame) -> DataFrame:
 
 def scrape_all(
     points: DataFrame, dim_points: DataFrame, digests: DataFrame, statements: DataFrame,
-    catalogue: DataFrame, instances: DataFrame, policy: DataFrame, now_us: int, dimensions: int = 10, prefix: str = PREFIX,
+    catalogue: DataFrame, instances: DataFrame, policy: DataFrame, now_us: int, dimensions: int, prefix: str = PREFIX,
 ) -> DataFrame:
     return union_families(
         collect_metrics(points, catalogue, instances, now_us, prefix),

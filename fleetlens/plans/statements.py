@@ -22,9 +22,6 @@ STATEMENT_SAMPLES = (
     ("query_rows_sent_total", "rows_sent", "Total rows sent to client"),
     ("query_errors_total", "errors", "Total errors"),
 )
-# Statements per instance and ranking, at most and by default.
-MOST_STATEMENTS = 50
-DEFAULT_STATEMENTS = 20
 STATS = ("digest", "digest_text", "calls", "avg_duration_ms", "sum_lock_time_ms", "rows_examined", "rows_sent", "errors")
 
 
@@ -55,9 +52,9 @@ def statement_stats(digests: DataFrame, statements: DataFrame) -> DataFrame:
     return mysql_statement_stats(digests).unionByName(pg_statement_stats(statements))
 
 
-def allowed_top_n(n: Column) -> Column:
-    """A policy's number of statements: 1 to MOST_STATEMENTS, anything else means the default."""
-    return F.when(n.between(1, MOST_STATEMENTS), n).otherwise(F.lit(DEFAULT_STATEMENTS))
+def checked_top_n(n: Column) -> Column:
+    """A policy's number of statements, as it is; below 1 it is an error."""
+    return F.when(n >= 1, n).when(n.isNotNull(), F.raise_error(F.concat(F.lit("top_n must be at least 1, not "), n.cast("string"))))
 
 
 def ranked_lists(stats: DataFrame, n: int) -> DataFrame:
@@ -113,15 +110,17 @@ def top_statements(
 ) -> DataFrame:
     """Instances with a usable endpoint and a policy row; the policy says how many statements to keep.
 
-    Ranking comes before the join: what is joined is at most ``2 * MOST_STATEMENTS`` rows per instance.
+    Ranking comes before the join: what is joined is at most twice the policy's largest number per instance. That
+    number is read when the plan is built; a policy is a small rule table.
     """
+    most = policy.agg(F.max("top_n")).first()[0]
     sources = policy_for_clusters(instances.filter(statement_source_usable()), policy, ["top_n"])
     sources = (
         sources.filter(F.col("top_n").isNotNull())
-        .withColumn("top_n", allowed_top_n(F.col("top_n")))
+        .withColumn("top_n", checked_top_n(F.col("top_n")))
         .withColumn("family", statement_family(F.col("engine")))
     )
-    lists = ranked_lists(statement_stats(digests, statements), MOST_STATEMENTS)
+    lists = ranked_lists(statement_stats(digests, statements), most or 0)
     keys = [*shared(lists, sources), "family"]
     labels = [n for n in ("region", "identifier", "cluster_identifier", "engine", "top_n") if n not in keys]
     wanted = lists.join(sources.select(*keys, *labels), keys).filter(F.col("rank") <= F.col("top_n"))

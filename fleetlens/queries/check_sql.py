@@ -171,7 +171,7 @@ SELECT resource_id, dim_group, dim_id, dim_text, ts_us // 60000000 * 60000000 AS
 FROM fx_dim_datapoints WHERE ts_us BETWEEN {NOW - LOOKBACK} AND {NOW} AND dim_id IS NOT NULL AND value IS NOT NULL
   AND dim_group IN ('db.sql_tokenized', 'db.wait_event') GROUP BY ALL"""),
     "dim_loads": (("dim_minutes",), """
-SELECT resource_id, dim_group, dim_id, dim_text, round(sum(total) / sum(n), 6) AS load, arg_max(total / n, period_us) AS value,
+SELECT resource_id, dim_group, dim_id, dim_text, sum(total) / sum(n) AS load, arg_max(total / n, period_us) AS value,
   max(period_us) AS ts_us FROM dim_minutes GROUP BY ALL"""),
     "dim_ranked": (("dim_loads",), f"""
 SELECT *, row_number() OVER (PARTITION BY resource_id, dim_group ORDER BY load DESC, concat_ws({SEP}, dim_id, dim_text)) AS rn
@@ -193,7 +193,7 @@ UNION ALL
 SELECT resource_id, 'postgres', CAST(queryid AS VARCHAR), coalesce(left(query, 200), ''), calls, mean_exec_time,
   coalesce(blk_read_time, 0) + coalesce(blk_write_time, 0), "rows", "rows", CAST(0 AS BIGINT)
 FROM fx_pg_statements WHERE queryid IS NOT NULL"""),
-    "policy": ((), "SELECT * FROM (VALUES (0, 'nation_1', 3), (1, 'nation_2', 10), (2, '', 5), (3, '', 7)) AS p(ordinal, cluster, top_n)"),
+    "policy": ((), "SELECT * FROM (VALUES (0, 'nation_1', 3), (1, 'nation_2', 10), (2, 'nation_3', 60), (3, '', 5), (4, '', 7)) AS p(ordinal, cluster, top_n)"),
     "policied": (("fleet", "policy"), """
 SELECT f.*, coalesce((SELECT arg_min(top_n, ordinal) FROM policy WHERE cluster = f.cluster_identifier),
   (SELECT arg_max(top_n, ordinal) FROM policy WHERE cluster = '')) AS top_n FROM fleet f"""),

@@ -19,60 +19,49 @@ HOUR_GRID = Grid(NOW - 3_600_000_000, NOW, 60_000_000)
 SCRAPES = Grid(I.START_US, NOW, 60_000_000)
 
 
-@I.keep_plan
 def eligible(spark: SparkSession, d: str) -> DataFrame:
     return discovered_instances(I.flat_instances(spark, d))
 
 
-@I.keep_plan
 def fleet(spark: SparkSession, d: str) -> DataFrame:
     return discover_instances(I.flat_instances(spark, d), max_instances=None)
 
 
-@I.keep_plan
 def recent_points(spark: SparkSession, d: str) -> DataFrame:
     return recent(I.fx_datapoints(spark, d, NOW - LOOKBACK_US, NOW), NOW)
 
 
-@I.keep_plan
 def recent_dims(spark: SparkSession, d: str) -> DataFrame:
     return I.dim_points(spark, d, NOW - LOOKBACK_US, NOW)
 
 
-@I.keep_plan
 def latest(spark: SparkSession, d: str) -> DataFrame:
     return latest_valid(recent_points(spark, d))
 
 
-@I.keep_plan
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
     return build_catalogue(I.fx_catalogue(spark, d), fleet(spark, d), "avg", *I.METRIC_RULES)
 
 
-@I.keep_plan
 def counters(spark: SparkSession, d: str) -> DataFrame:
     return collect_metrics(recent_points(spark, d), catalogue(spark, d), fleet(spark, d), NOW)
 
 
-@I.keep_plan
 def statement_samples(spark: SparkSession, d: str) -> DataFrame:
     return top_statements(I.fx_mysql_digests(spark, d), I.fx_pg_statements(spark, d), fleet(spark, d), I.policy(spark))
 
 
-@I.keep_plan
 def exposition(spark: SparkSession, d: str) -> DataFrame:
     return scrape_all(
         recent_points(spark, d), recent_dims(spark, d), I.fx_mysql_digests(spark, d), I.fx_pg_statements(spark, d),
-        catalogue(spark, d), fleet(spark, d), I.policy(spark), NOW,
+        catalogue(spark, d), fleet(spark, d), I.policy(spark), NOW, dimensions=10,
     )
 
 
-@I.keep_plan
 def board(spark: SparkSession, d: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     return I.fx_board(spark, d, since_us, until_us)
 
 
-@I.keep_plan
 def published(spark: SparkSession, d: str) -> DataFrame:
     return union_families(board(spark, d), statement_samples(spark, d))
 

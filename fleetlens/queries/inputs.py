@@ -7,7 +7,6 @@ Only three tokens differ: ``$US_TS`` (microseconds of ``ts``), ``$ROWS`` (a quot
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -147,15 +146,11 @@ METRIC_RULES = (
     {"name": [r"\.idle$"]},
 )
 TTL_RULES = ((1, r"^db\.load\..*", 30_000_000), (2, r"^os\.memory\..*", 300_000_000), (3, r".*\.max$", 120_000_000), (4, r"^os\.", 0))
-CLUSTER_POLICY = (("nation_1", 3), ("nation_2", 10), ("", 5), ("", 7))
+CLUSTER_POLICY = (("nation_1", 3), ("nation_2", 10), ("nation_3", 60), ("", 5), ("", 7))
 GREEN_TO_RED = ((None, "green"), (60, "yellow"), (85, "red"))
 RED_TO_GREEN = ((None, "red"), (95, "yellow"), (99, "green"))
 
 
-# Plans (not data) are kept per session and folder, so a query built on another need not be analysed again.
-keep_plan = lru_cache(maxsize=256)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -184,12 +179,10 @@ def _events(spark: SparkSession, sf_dir: str, since_us: int | None, until_us: in
     return rows
 
 
-@keep_plan
 def fx_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_INSTANCES)
 
 
-@keep_plan
 def fx_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     return _derive(spark, sf_dir, FX_DATAPOINTS, events=_events(spark, sf_dir, since_us, until_us))
 
@@ -210,27 +203,22 @@ def datapoints_of(spark: SparkSession, events: DataFrame) -> DataFrame:
     )
 
 
-@keep_plan
 def fx_dim_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     return _derive(spark, sf_dir, FX_DIM_DATAPOINTS, events=_events(spark, sf_dir, since_us, until_us))
 
 
-@keep_plan
 def fx_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_CATALOGUE, fx_instances=fx_instances(spark, sf_dir))
 
 
-@keep_plan
 def fx_mysql_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_MYSQL_DIGESTS)
 
 
-@keep_plan
 def fx_pg_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, FX_PG_STATEMENTS)
 
 
-@keep_plan
 def fx_board(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     events = _events(spark, sf_dir, since_us, until_us)
     return _derive(spark, sf_dir, FX_BOARD, events=events, fx_instances=fx_instances(spark, sf_dir))
@@ -275,7 +263,6 @@ def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_instances(spark, sf_dir).select("resource_id", F.array(*[entry(*row) for row in CATALOGUE]).alias("Metrics"))
 
 
-@keep_plan
 def flat_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattened inventory, straight from the fixture columns."""
     tags = F.map_from_arrays(F.array(F.lit("Environment"), F.lit("Team")), F.array("tag_environment", "tag_team"))
@@ -287,7 +274,6 @@ def flat_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@keep_plan
 def dim_points(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     """Dimensional datapoints with the dimensions as a map; null for the aggregate row."""
     rows = fx_dim_datapoints(spark, sf_dir, since_us, until_us)
@@ -299,7 +285,6 @@ def dim_points(spark: SparkSession, sf_dir: str, since_us: int | None = None, un
     return rows.select("resource_id", "metric", "dim_group", dims.alias("dims"), "ts_us", "value", "pos")
 
 
-@keep_plan
 def policy(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"({number}, '{cluster}', {top_n})" for number, (cluster, top_n) in enumerate(CLUSTER_POLICY))
     return spark.sql(f"SELECT * FROM VALUES {rows} AS p(ordinal, cluster, top_n)")

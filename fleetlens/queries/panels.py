@@ -41,7 +41,7 @@ def pl_4(spark, d):
 
 @query("pl_5", "SELECT * FROM dim_samples", "dim_samples")
 def pl_5(spark, d):
-    rows = dimensions.top_load_by_dimension(X.recent_dims(spark, d), X.fleet(spark, d), NOW)
+    rows = dimensions.top_load_by_dimension(X.recent_dims(spark, d), X.fleet(spark, d), NOW, 10)
     return X.rounded(rows, "value")
 
 
@@ -135,7 +135,9 @@ def _register(board: str, name: str, instance: str = ALL, suffix: str = "") -> N
 
     @query(f"dash_{board}_{name}{suffix}", *_panel_sql(panel, instance))
     def run(spark, d):
-        return dashboard(board, name, _samples(spark, d, panel), NOW, X.HOUR_GRID, instance)
+        rows = dashboard(board, name, _samples(spark, d, panel), NOW, X.HOUR_GRID, instance)
+        # sums in another order differ in the last digits
+        return X.rounded(rows, "value") if isinstance(panel, (Stat, Used)) else rows
 
 
 for _board, _panels in BOARDS.items():
@@ -153,4 +155,4 @@ STATS = [(b, n, p) for b, panels in BOARDS.items() for n, p in panels.items() if
 @query("pl_10", "\nUNION ALL ".join(f"SELECT '{b}' AS board, '{n}' AS panel, * FROM ({_stat_sql(p, ALL)[0]})" for b, n, p in STATS), "board_now")
 def pl_10(spark, d):
     """All single-number panels of both boards."""
-    return stat_panels(X.board(spark, d, NOW - INSTANT_LOOKBACK_US, NOW), NOW)
+    return X.rounded(stat_panels(X.board(spark, d, NOW - INSTANT_LOOKBACK_US, NOW), NOW), "value")

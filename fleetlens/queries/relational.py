@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.engines import normalize_engine, statement_family
 from fleetlens.operators import aggregates as agg, lookups, predicates as pred, vector
-from fleetlens.operators.asof import Grid, instant, over_grid, usable_snapshots
+from fleetlens.operators.asof import Grid, instant, over_grid, snapshot_at, usable_snapshots
 from fleetlens.operators.latest import latest_n, latest_valid, latest_with_interval
 from fleetlens.operators.ranking import oldest_instances, top_n_per_group
 from fleetlens.operators.rules import pattern_filter, pattern_ttl, select_statistics
@@ -182,8 +182,9 @@ FIVE = {
 @query("jn_8", "SELECT digest, " + ", ".join(f"round({f}(value) FILTER (name = 'dbi_ams_{n}'), 6) AS {k}" for k, (n, f) in FIVE.items())
        + " FROM statement_samples WHERE starts_with(name, 'dbi_ams_') GROUP BY digest", "statement_samples")
 def jn_8(spark, d):
-    names = {k: (f"dbi_ams_{n}", f) for k, (n, f) in FIVE.items()}
-    return X.rounded(vector.sample_table(X.statement_samples(spark, d), names, ["digest"]), *FIVE)
+    samples = X.statement_samples(spark, d)
+    vectors = {k: vector.by_labels(samples.filter(F.col("name") == f"dbi_ams_{n}"), ["digest"], f) for k, (n, f) in FIVE.items()}
+    return X.rounded(vector.outer_by_key(vectors, "digest"), *FIVE)
 
 
 def _requested(spark, d):
@@ -227,6 +228,20 @@ def jn_12(spark, d):
     return usable_snapshots(snapshots, ["region"], SNAPSHOT_GRID, 2 * DAY)
 
 
+FETCHES = (NOW - 7_200_000_000, NOW - 3_600_000_000, NOW + 3_600_000_000)  # the last one is still to come
+
+
+@query("jn_12_rows", f"""SELECT region, resource_id, fetched_at_us, {NOW} > fetched_at_us + 1800000000 AS is_stale FROM (
+  SELECT region, resource_id, unnest([{", ".join(map(str, FETCHES))}]) AS fetched_at_us FROM flat) s
+WHERE resource_id NOT LIKE '%7' AND fetched_at_us = CASE WHEN region = 'ASIA' THEN {FETCHES[0]} ELSE {FETCHES[1]} END""", "flat")
+def jn_12_rows(spark, d):
+    """Three snapshots an hour apart; those of one region lack the second one."""
+    times = F.explode(F.array(*[F.lit(t) for t in FETCHES]))
+    rows = I.fx_instances(spark, d).select("region", "resource_id", times.alias("fetched_at_us")).filter("NOT resource_id LIKE '%7'")
+    rows = rows.filter((F.col("region") != "ASIA") | (F.col("fetched_at_us") != FETCHES[1]))
+    return snapshot_at(rows, ["region"], NOW, 1_800_000_000)
+
+
 # ---- aggregations --------------------------------------------------------------------------------------
 
 CPU = "dbi_os_cpuutilization_total_avg"
@@ -320,11 +335,11 @@ def ag_12(spark, d):
     return X.rounded(vector.sample_table(X.statement_samples(spark, d), names), *FIVE)
 
 
-@query("ag_13", "SELECT resource_id, dim_group, dim_id, load, rn FROM dim_ranked WHERE rn <= 3", "dim_ranked")
+@query("ag_13", "SELECT resource_id, dim_group, dim_id, round(load, 6) AS load, rn FROM dim_ranked WHERE rn <= 3", "dim_ranked")
 def ag_13(spark, d):
     ranked = dimensions.top_load(dimensions.load_by_dimension(X.recent_dims(spark, d), NOW), 3)
     ident = F.coalesce(F.try_element_at("dims", F.lit("db.sql_tokenized.id")), F.try_element_at("dims", F.lit("db.wait_event.name")))
-    return X.big(ranked, "rn").select("resource_id", "dim_group", ident.alias("dim_id"), "load", "rn")
+    return X.rounded(X.big(ranked, "rn"), "load").select("resource_id", "dim_group", ident.alias("dim_id"), "load", "rn")
 
 
 # ---- windows -------------------------------------------------------------------------------------------

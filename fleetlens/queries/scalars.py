@@ -14,7 +14,7 @@ from fleetlens.plans.statements import mysql_statement_stats, pg_statement_stats
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
 from fleetlens.schemas import COUNTER_LABELS, EXPOSITION
-from fleetlens.session import materialize, scratch_dir
+from fleetlens.session import scratch_dir
 from fleetlens.sources import readers, writers
 
 
@@ -92,13 +92,22 @@ def snk_1(spark, d):
     return readers.read_samples(spark, path).select(*EXPOSITION, "ds")
 
 
+S.PARTS["bare"] = (("exposition",), """
+SELECT * REPLACE (CASE WHEN ends_with(name, '_query_errors_total') THEN NULL ELSE help END AS help) FROM exposition
+WHERE digest IS NULL OR digest NOT LIKE '%7'""")
+
+
 @query("snk_2", f"""
-SELECT concat('# HELP ', name, ' ', replace(min(help), chr(92), chr(92) || chr(92))) AS value FROM exposition GROUP BY name
-UNION ALL SELECT DISTINCT concat('# TYPE ', name, ' gauge') FROM exposition
+SELECT concat('# HELP ', name, ' ', coalesce(replace(min(help), chr(92), chr(92) || chr(92)), '')) AS value FROM bare GROUP BY name
+UNION ALL SELECT DISTINCT concat('# TYPE ', name, ' gauge') FROM bare
 UNION ALL SELECT concat(name, {S.label_text(S.LABELS)}, ' ', {S.number('value')},
-  CASE WHEN ts_us IS NOT NULL THEN concat(' ', ts_us // 1000) ELSE '' END) FROM exposition""", "exposition")
+  CASE WHEN ts_us IS NOT NULL THEN concat(' ', ts_us // 1000) ELSE '' END) FROM bare""", "bare")
 def snk_2(spark, d):
-    return writers.to_exposition_text(materialize(X.rounded(X.exposition(spark, d), "value"), "snk-2"))
+    """One name without help, and samples without a value."""
+    samples = X.rounded(X.exposition(spark, d), "value")
+    no_value, no_help = F.coalesce(F.col("digest").endswith("7"), F.lit(False)), F.col("name").endswith("_query_errors_total")
+    return writers.to_exposition_text(
+        samples.withColumn("help", F.when(~no_help, F.col("help"))).withColumn("value", F.when(~no_value, F.col("value"))))
 
 
 # ---- scalar functions ----------------------------------------------------------------------------------

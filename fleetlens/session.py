@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,13 @@ def configure(builder: SparkSession.Builder, **extra: str) -> SparkSession.Build
     return builder
 
 
+def _own_folder() -> str:
+    """A folder of this process, for local mode alone; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="fleetlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -36,7 +47,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="fleetlens-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -50,13 +61,31 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written for one run."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+
+
+@contextlib.contextmanager
+def stored(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """``materialize`` for the length of a block: the copy is removed at its end."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        discard(spark, path)
+
+
 def ship_library(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a Spark context: functions that run there import it by name."""
     context = spark.sparkContext
     if getattr(context, "_fleetlens_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="fleetlens-")) / "fleetlens.zip"  # the driver serves it from here
+    archive = Path(_own_folder()) / "fleetlens.zip"  # the driver serves it from here
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.functions.text import exposition_number
 from fleetlens.operators.keys import label_columns
 from fleetlens.schemas import LABELS, UNDATED
-from fleetlens.session import materialize
+from fleetlens.session import materialize, stored
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -40,18 +40,28 @@ def label_text(labels: Sequence[str] = LABELS) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
 
 
-def exposition_lines(samples: DataFrame) -> DataFrame:
-    """Lines with the columns they are sorted by: name, kind (0 help, 1 type, 2 sample), label text."""
+def sample_lines(samples: DataFrame) -> DataFrame:
+    """Rendered sample lines (name, help, kind 2, label text, value); samples without a name or a value have none."""
     stamp = F.when(
         F.col("ts_us").isNotNull(),
         F.concat(F.lit(" "), ((F.col("ts_us") - F.pmod("ts_us", F.lit(1000))) / 1000).cast("bigint").cast("string")),
     ).otherwise(F.lit(""))
     labels = label_text(label_columns(samples))
-    lines = samples.select(
-        "name", F.lit(2).alias("kind"), labels.alias("labels"),
+    return samples.filter("name IS NOT NULL AND value IS NOT NULL").select(
+        "name", "help", F.lit(2).alias("kind"), labels.alias("labels"),
         F.concat("name", labels, F.lit(" "), exposition_number(F.col("value")), stamp).alias("value"),
     )
-    heads = samples.groupBy("name").agg(F.min("help").alias("help"))
+
+
+def in_exposition_order(lines: DataFrame) -> DataFrame:
+    """Text lines in order, with the two head lines of each name; a name without help has an empty one.
+
+    Ranges are cut by name and labels together: a name holding a third of the samples spans several partitions, and the
+    files in their order still list each name once. The lines are read three times, for the heads (two columns), the
+    ranges and the sort, so give a stored table.
+    """
+    keys = ["name", "kind", "labels"]
+    heads = lines.groupBy("name").agg(F.coalesce(F.min("help"), F.lit("")).alias("help"))
     head = heads.select(
         "name",
         F.inline(
@@ -61,20 +71,15 @@ def exposition_lines(samples: DataFrame) -> DataFrame:
             )
         ),
     )
-    return head.unionByName(lines)
+    return head.unionByName(lines.drop("help")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value")
 
 
 def to_exposition_text(samples: DataFrame) -> DataFrame:
-    """Text lines in exposition order.
-
-    Ranges are cut by name and labels together: a name holding a third of the samples spans several
-    partitions, and the files in their order still list each name once. The samples are read four times
-    (heads and lines, each for finding the ranges and for sorting), so give a stored table.
-    """
-    keys = ["name", "kind", "labels"]
-    return exposition_lines(samples).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value")
+    """The text of samples, whose lines are rendered once and kept below the shared folder while they are ordered."""
+    return in_exposition_order(materialize(sample_lines(samples), "exposition"))
 
 
 def write_exposition_text(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store the samples once, then write their text."""
-    to_exposition_text(materialize(samples, "exposition")).write.mode(mode).text(path)
+    """The same into files; the rendered lines are removed afterwards."""
+    with stored(sample_lines(samples), "exposition") as lines:
+        in_exposition_order(lines).write.mode(mode).text(path)

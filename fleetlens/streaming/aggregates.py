@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetlens.operators.freshness import latest_arrival  # noqa: F401  the same aggregate, over a stream
 from fleetlens.operators.keys import SERIES_KEY, present
 from fleetlens.operators.predicates import valid_point
 
@@ -44,9 +45,3 @@ def latest(points: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
     newest = F.max(F.struct("ts_us", "pos", "value")).alias("newest")
     return points.filter(valid_point()).groupBy(*by).agg(newest).select(*by, "newest.value", "newest.ts_us")
 
-
-def latest_arrival(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: the latest arrival per key replaces the earlier ones, whatever its time of measurement."""
-    rest = [c for c in rows.columns if c not in (*keys, "arrival_seq")]
-    last = F.max(F.struct("arrival_seq", *rest)).alias("last")
-    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")

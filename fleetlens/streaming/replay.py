@@ -18,6 +18,7 @@ from fleetlens.operators.keys import SERIES_KEY, present
 from fleetlens.operators.predicates import LOOKBACK_US, valid_point
 from fleetlens.operators.replay import NO_TIME, RUN_COLUMNS, RUN_SCHEMA, serve
 from fleetlens.operators.rules import TtlRules, pattern_ttl
+from fleetlens.session import ship_library
 from fleetlens.streaming.aggregates import with_event_time
 
 # Several per shuffle partition. Part of the state's layout: a checkpoint must go on with its number.
@@ -139,6 +140,7 @@ def replay(
     points: DataFrame, grid: Grid, rules: TtlRules, delay: str, lookback_us: int = LOOKBACK_US, buckets: int = BUCKETS,
 ) -> DataFrame:
     """As ``operators.replay.replay``, for every scrape the watermark has passed."""
+    ship_library(points.sparkSession)
     keys = present(points, SERIES_KEY)
     # In terms of the event time, these filters stay above the watermark: points after the last scrape
     # are not kept, but they do tell that its time has passed.

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from fleetlens.functions.text import java_regex
 from fleetlens.operators import rules
 from fleetlens.operators.predicates import clean_identifiers, identifier_in, label_matches
 
@@ -101,3 +102,23 @@ def test_identifier_list(column, spark):
 
 def test_label_matcher_is_anchored(column):
     assert column(lambda c: label_matches(c, "db-1|db-2"), ["db-1", "db-12", "xdb-2", None]) == [True, False, False, False]
+
+
+@pytest.mark.parametrize("pattern, yes, no", [
+    ("^[[:word:]]+$", ["a_1"], ["a-1", "a\n"]), ("^[[:xdigit:]]+$", ["0aF"], ["g"]), ("^[[:^alpha:]]+$", ["12-"], ["a"]),
+    (r"^\Qa$\E$", ["a$"], ["a"]), (r"\Qa.b", ["xa.by"], ["axb"]), ("^[]$]+$", ["]$"], ["x"]), ("^[a&&b]+$", ["a&b"], ["c"]),
+    ("^[[a]+$", ["[a"], ["b"]), ("^[^]]$", ["x"], ["]"]), ("(?P<n_1>a)b$", ["ab"], ["ab\n"]), ("(?m)^b$", ["a\nb\nc"], ["ab"]),
+    ("(?m:^b$)|z$", ["a\nb\nc", "z"], ["z\n"]), (r"^\pL\p{Greek}$", ["a\u03b1"], ["ab"]), (r"^\s$", ["\t"], ["\x0b"]), ("a{,2}", ["a{,2}"], ["aa"]),
+    ("(?i)^ABC$", ["abc"], ["abd"]), (r"^\x41\x{42}\103$", ["ABC"], ["abc"]), ("a.c", ["a\rc"], ["a\nc"]), (r"^[\Qa-\E]+$", ["a-"], ["b"]),
+])
+def test_patterns_mean_what_they_mean_in_re2(column, pattern, yes, no):
+    values = [*yes, *no]
+    assert column(lambda c: c.rlike(java_regex(pattern)), values) == [True] * len(yes) + [False] * len(no)
+
+
+@pytest.mark.parametrize("pattern", [
+    "(?=a)", "(?!a)", "(?<=a)b", r"(a)\1", "a*+", "(?>a)", "[[:nope:]]", "[a", "(a", "a)", "a\\", r"\h", "a{1001}", "(?U)a", "a**",
+])
+def test_what_re2_has_not_is_an_error(pattern):
+    with pytest.raises(ValueError):
+        java_regex(pattern)

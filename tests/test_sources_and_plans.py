@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.display import is_valid_prefix
 from fleetlens.operators import lookups, quality, vector
-from fleetlens.operators.asof import Grid
-from fleetlens.plans import catalogue as cat, collection, dashboards, inventory
+from fleetlens.operators.asof import Grid, instant, over_grid, snapshot_at
+from fleetlens.plans import catalogue as cat, collection, dashboards, dimensions, inventory
+from fleetlens.plans.catalogue import build_catalogue
 from fleetlens.plans.dimensions import top_load_by_dimension
 from fleetlens.plans.scrape import union_families
-from fleetlens.plans.statements import allowed_top_n
+from fleetlens.plans.statements import checked_top_n
 from fleetlens.schemas import COUNTER_LABELS
 from fleetlens.session import scratch_dir
 from fleetlens.sources import readers, writers
@@ -165,8 +166,10 @@ def test_policy(spark):
     specific = policy.filter("cluster <> ''")
     assert [r.resource_id for r in lookups.with_policy_only(instances, specific).collect()] == ["i1"]
     assert lookups.with_policy_only(instances, policy).count() == 3
-    top = spark.createDataFrame([(0,), (1,), (50,), (51,)], "n int").select(allowed_top_n(F.col("n")).alias("n"))
-    assert [r.n for r in top.collect()] == [20, 1, 50, 20]
+    top = spark.createDataFrame([(1,), (50,), (51,), (600,)], "n int")
+    assert [r.n for r in top.select(checked_top_n(F.col("n")).alias("n")).collect()] == [1, 50, 51, 600]
+    with pytest.raises(Exception, match="top_n must be at least 1"):
+        spark.createDataFrame([(0,)], "n int").select(checked_top_n(F.col("n"))).collect()
 
 
 def samples(spark, rows):
@@ -243,3 +246,61 @@ def test_scratch_folder_follows_the_cluster(spark):
 def test_prefix_is_checked_before_publishing(spark):
     names = spark.createDataFrame([("dbi_pg",), ("1dbi",)], "n string").select(is_valid_prefix(F.col("n")).alias("v"))
     assert [r.v for r in names.collect()] == [True, False]
+
+
+def test_close_loads_are_ranked_raw(spark):
+    rows = [("a", 1e-7), ("b", 4e-7)]
+    loads = spark.createDataFrame(
+        [("i", "db.sql_tokenized", {"db.sql_tokenized.id": k}, v) for k, v in rows],
+        "resource_id string, dim_group string, dims map<string,string>, load double")
+    assert [r.dims["db.sql_tokenized.id"] for r in dimensions.top_load(loads, 1).collect()] == ["b"]
+
+
+def test_small_panel_values_stay(spark):
+    rows = union_families(samples(spark, [("dbi_ams_db_sql_queries_avg", "a", 4e-7, NOW)]))
+    panels = {n: p for n, p in dashboards.BOARDS["mysql"].items() if isinstance(p, dashboards.Stat) and p.decimals is None and p.function != "count"}
+    name, panel = next(iter(panels.items()))
+    rows = union_families(samples(spark, [(n, "a", 4e-7, NOW) for n in panel.names]))
+    value = dashboards.dashboard("mysql", name, rows, NOW, Grid(NOW, NOW, 1)).first().value
+    assert 0 < value < 1e-6
+    assert {r.panel: r.value for r in dashboards.stat_panels(rows, NOW).collect()}[name] == value
+
+
+def test_tied_times_do_not_depend_on_the_order(spark):
+    rows = samples(spark, [("n", "a", float(v), NOW) for v in (5, 7, 2, 0, 6, 1)])
+    keys = ["name", *COUNTER_LABELS]
+    for parts in (1, 6):
+        assert instant(rows.repartition(parts), keys, NOW).first().value == 7.0
+        grid = Grid(NOW, NOW + 60 * SECOND, 60 * SECOND)
+        assert {r.value for r in over_grid(rows.repartition(parts).select(*keys, "value", "ts_us"), keys, grid).collect()} == {7.0}
+    plan = instant(rows, keys, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_no_blank_exposition_lines(spark):
+    rows = samples(spark, [("n", "a", None, NOW), ("n", "b", 1.0, NOW)]).withColumn("help", F.lit(None).cast("string"))
+    lines = [r.value for r in writers.to_exposition_text(rows).collect()]
+    assert len(lines) == 3 and None not in lines and lines[0] == "# HELP n "
+
+
+def test_the_catalogue_is_scanned_once(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("eu", "i1", 0, "db.a", "d1", "u"), ("eu", "i2", 0, "DB.a", "d2", "u")],
+        "region string, resource_id string, ordinal int, metric string, description string, unit string")
+    path = str(tmp_path / "catalogue")
+    raw.write.parquet(path)
+    fleet_rows = spark.createDataFrame(
+        [("eu", i, i, "", "postgres") for i in ("i1", "i2")],
+        "region string, resource_id string, identifier string, cluster_identifier string, engine string")
+    built = build_catalogue(spark.read.parquet(path), fleet_rows)
+    assert {r.description for r in built.collect() if r.metric != "db.load"} == {"d1"}
+    built.collect()
+    final = built._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan parquet") - final.count("ReusedExchange") <= 1
+
+
+def test_snapshot_at(spark):
+    rows = spark.createDataFrame([("eu", "a", 1), ("eu", "b", 2), ("us", "c", 1), ("us", "d", None), (None, "e", 1), ("eu", "f", 9)],
+                                 "region string, resource_id string, fetched_at_us bigint")
+    got = snapshot_at(rows, ["region"], 5, 3).collect()
+    assert {(r.resource_id, r.is_stale) for r in got} == {("b", False), ("c", True), ("e", True)}
