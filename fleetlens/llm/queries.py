@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm import cleaning, fingerprints, jaccard_join, line_crf, mixing, packing, quotations, sharding, tag_paths, training_order
+from fleetlens.llm.check_sql import SQL  # noqa: F401  registered with the queries
 from fleetlens.llm.scratch import Scratch
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -89,4 +90,3 @@ QUERIES: dict[str, Run] = {
     "op10_pareto": op10_pareto,
 }
 
-SQL: dict[str, str] = {}
