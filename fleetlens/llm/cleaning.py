@@ -55,13 +55,13 @@ def line_fails(line: Column, words: Column) -> Column:
     return shouting | endless | boilerplate | symbols | navigation | repeated
 
 
-def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text and kept.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept")
 
-    Columns of the input with these names are replaced.
-    """
+
+def _counted(docs: DataFrame, text_column: str) -> DataFrame:
+    """(_document, the row as it came; and ``COUNTS``)."""
     text = F.col("_text")
-    rows = docs.withColumn("_text", text_or_empty(text_column)).withColumn("_words", words_in(text))
+    rows = docs.select(F.struct("*").alias("_document"), text_or_empty(text_column).alias("_text")).withColumn("_words", words_in(text))
     # Hashes of words, then of windows of three words.
     rows = rows.withColumn("_word_hashes", F.transform("_words", lambda word: F.xxhash64(word)))
     hashes = F.col("_word_hashes")
@@ -102,8 +102,16 @@ def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     lost = F.col("_chars") - F.col("_kept_chars")
     kept = ~F.col("base_failed") & (lost * MOST_LOST[1] <= F.col("_chars") * MOST_LOST[0])
-    rows = rows.withColumn("kept", kept)
-    return rows.drop(*[name for name in rows.columns if name.startswith("_") and name not in docs.columns])
+    return rows.withColumn("kept", kept).select("_document", *COUNTS)
+
+
+def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text and kept.
+
+    Columns of the input with these names are replaced.
+    """
+    others = [F.col(f"_document.`{c}`") for c in docs.columns if c.lower() not in COUNTS]
+    return _counted(docs, text_column).select(*others, *COUNTS)
 
 
 def cleaned(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -111,8 +119,6 @@ def cleaned(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     The choice is an exploded array of none or one: a filter would be pushed below the counts and repeat them all.
     """
-    judged = with_counts(docs.select(F.col(text_column).alias("text"), F.struct("*").alias("document")))
-    chosen = F.explode(F.when(F.col("kept"), F.array(F.struct("document", "clean_text"))))
-    rows = judged.select(chosen.alias("r")).select("r.document", "r.clean_text")
-    columns = [F.col("clean_text").alias(c) if c == text_column else F.col(f"document.`{c}`") for c in docs.columns]
-    return rows.select(*columns)
+    chosen = F.explode(F.when(F.col("kept"), F.array(F.struct("_document", "clean_text"))))
+    rows = _counted(docs, text_column).select(chosen.alias("r")).select("r._document", "r.clean_text")
+    return rows.select(*[F.col("clean_text").alias(c) if c == text_column else F.col(f"_document.`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.scratch import arrow_map, slices
+from fleetlens.llm.scratch import arrow_map, extended, slices
 
 SAMPLE_A_CLASS = 1500
 SAMPLE_LINES = 48
@@ -226,5 +226,4 @@ def scored(docs: DataFrame, model: Model | None, text_column: str = "text") -> D
                     names=[*piece.schema.names, "score", "predicted"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return arrow_map(kept, run, schema + ", score double, predicted int")
+    return arrow_map(kept, run, extended(kept.schema.fields, "score double, predicted int"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fleetlens.llm.scratch import Scratch, arrow_map, slices
+from fleetlens.llm.scratch import Scratch, arrow_map, extended, slices
 from fleetlens.llm.tokens import VOCABULARY, encode
 
 END_ID = 0
@@ -167,5 +167,4 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str = VOCABULARY, end_
             )
 
     numbered = ranked(rows, histogram)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "rank")
-    return arrow_map(numbered, put, schema + ", sequence_id long, `offset` long")
+    return arrow_map(numbered, put, extended([f for f in numbered.schema.fields if f.name != "rank"], "sequence_id long, `offset` long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetlens.session import scratch_dir, ship_library
 
@@ -34,7 +34,7 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with the library shipped to the workers and batches that stay small however long the texts are."""
     ship_library(df.sparkSession)
     if int(df.sparkSession.conf.get(BATCH_ROWS)) > MOST_BATCH_ROWS:
@@ -42,6 +42,11 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def extended(fields: list[T.StructField], added: str) -> T.StructType:
+    """Fields as they are, whatever their names, and new ones written as DDL."""
+    return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``max_bytes`` of text, one row at least: memory does not follow the batch's size."""
     begin, held = 0, 0

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.scratch import arrow_map, slices
+from fleetlens.llm.scratch import arrow_map, extended, slices
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)", re.S
@@ -233,5 +233,4 @@ def with_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
                     names=[*others, "text", "n_chars"],
                 )
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "html"] + ["`text` string", "n_chars long"])
-    return arrow_map(kept, run, schema)
+    return arrow_map(kept, run, extended([f for f in kept.schema.fields if f.name != "html"], "text string, n_chars long"))
