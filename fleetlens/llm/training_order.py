@@ -6,9 +6,9 @@ without a sort or a table. Slots are cut into ranges; one task writes a range as
 the same number of bytes. So a reader finds slot s at byte (s mod slots a shard) * stride, reads on sequentially, and
 can stop and go on anywhere.
 
-The first pass counts the sequences of each input partition; the second places them, and fails if its counts differ.
-A task writes under a name of its own attempt and renames the file when it is whole, so lost executors leave no half
-shard. With ``resume`` shards that are whole are not written again.
+Texts are tokenised once, into a table of compressed blocks in the shared folder. Its counts give N and the number of
+every sequence; the blocks are then dealt to the shards. A task writes under a name of its own attempt and renames the
+file when it is whole, so lost executors leave no half shard. With ``resume`` shards that are whole are not written again.
 
 Defined cases: a null or empty text is its end id alone; null ids and repeated rows are kept; the last sequence of a
 partition is filled up with ``pad_id``; an empty table gives no shard and no row; other columns are not read.
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.scratch import arrow_map, slices
+from fleetlens.llm.scratch import Scratch, arrow_map, slices
 from fleetlens.llm.tokens import VOCABULARY, encode
 
 END_ID = 50256  # the end-of-text id of the vocabulary
 ROUNDS = 6
+BLOCK = 64  # sequences compressed together in the table of blocks
+DEALT = 4096  # sequences a task deals to shards at a time
 
 
 @dataclass(frozen=True)
@@ -115,6 +117,33 @@ def whole_shards(uri: str, total: int, a_shard: int, stride: int) -> set[int]:
     return {k for k in range(-(-total // a_shard)) if sizes.get(shard_name(k)) == min(a_shard, total - k * a_shard) * stride}
 
 
+def stored_blocks(docs: DataFrame, length: int, kind: np.dtype, vocabulary: str, end_id: int, pad_id: int) -> DataFrame:
+    """Rows (part, number, n_tokens, doc_ids, starts, ids): ``BLOCK`` sequences in a row, by input partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        part, number, squeeze, held = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3), []
+
+        def block() -> pa.RecordBatch:
+            ids, counts, doc_ids, starts = zip(*held)
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int64()), "n_tokens": pa.array([list(counts)], pa.list_(pa.int32())),
+                "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "starts": pa.array([list(starts)], pa.list_(pa.int64())),
+                "ids": pa.array([squeeze.compress(np.concatenate(ids).astype(kind).tobytes())], pa.binary()),
+            })
+
+        for sequence in sequences(batches, length, vocabulary, end_id, pad_id):
+            held.append(sequence)
+            if len(held) == BLOCK:
+                yield block()
+                number, held = number + BLOCK, []
+        if held:
+            yield block()
+
+    return arrow_map(docs, run, "part int, number long, n_tokens array<int>, doc_ids array<long>, starts array<long>, ids binary")
+
+
 def materialise(
     docs: DataFrame, uri: str, key: int, length: int = 2048, shard_bytes: int = 32 << 20, vocabulary: str = VOCABULARY,
     end_id: int = END_ID, pad_id: int = 0, resume: bool = False,
@@ -122,93 +151,104 @@ def materialise(
     """Writes the shards when an action runs on the result, and gives a row per sequence.
 
     slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (of its bytes), first_doc_id, first_start (ids of that
-    document before the sequence). Ids are little-endian, of two bytes if the vocabulary allows. ``docs`` must come from
-    a stored table: both passes have to see the same partitions.
+    document before the sequence). Ids are little-endian, of two bytes if the vocabulary allows.
     """
     kind = np.dtype("<u2") if vocabulary == VOCABULARY else np.dtype("<u4")
     stride = length * kind.itemsize
     a_shard = max(1, shard_bytes // stride)
+    scratch = Scratch(docs.sparkSession, "training-blocks")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = scratch.table(stored_blocks(rows, length, kind, vocabulary, end_id, pad_id), "blocks")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = total = 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                total += sum(len(encode(text, vocabulary)) + 1 for text in piece.column("text").to_pylist())
-        n = -(-total // length)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    counts = {r.part: r.n for r in arrow_map(rows, count, "part int, n long").collect()}  # one row per input partition
-    starts, total = {}, 0
+    counts = {r.part: int(r.n) for r in blocks.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n")).collect()}  # a row per input partition
+    firsts, total = {}, 0
     for part in sorted(counts):
-        starts[part], total = total, total + counts[part]
+        firsts[part], total = total, total + counts[part]
     order = Permutation(max(1, total), key)
     done = whole_shards(uri, total, a_shard, stride) if resume else set()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        part, number, squeeze = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        out: list[tuple] = []
-
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            slots = order.slots(np.array([f[0] for f in found], np.uint64))
-            keep = [i for i, slot in enumerate(slots.tolist()) if slot // a_shard not in done]
-            columns = {"slot": pa.array(slots[keep], pa.int64()), "shard": pa.array((slots[keep] // a_shard).astype(np.int32), pa.int32())}
-            for k, (name, dtype) in enumerate((("n_tokens", pa.int32()), ("first_doc_id", pa.int64()), ("first_start", pa.int64()), ("ids", pa.binary())), 1):
-                columns[name] = pa.array([found[i][k] for i in keep], dtype)
-            return pa.RecordBatch.from_pydict(columns)
-
-        for ids, n, doc_id, start in sequences(batches, length, vocabulary, end_id, pad_id):
-            # High and low bytes apart: the exchange and its files shrink.
-            apart = ids.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
-            out.append((starts[part] + number, n, doc_id, start, squeeze.compress(apart)))
-            number += 1
-            if len(out) == 512:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
-        if number != counts.get(part, 0):
-            raise RuntimeError(f"input partition {part} had {counts.get(part, 0)} sequences and now has {number}")
+        squeeze, expand, held, waiting = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), [], 0
+
+        def dealt() -> pa.RecordBatch:
+            numbers, n_tokens, doc_ids, starts, ids = (np.concatenate([h[k] for h in held]) for k in range(5))
+            slots = order.slots(numbers)
+            shards = slots // a_shard
+            out = {name: [] for name in ("shard", "slots", "n_tokens", "doc_ids", "starts", "ids")}
+            by_slot = np.argsort(slots, kind="stable")
+            for rows_of in np.split(by_slot, np.flatnonzero(np.diff(shards[by_slot])) + 1):
+                shard = int(shards[rows_of[0]])
+                if shard in done:
+                    continue
+                out["shard"].append(shard)
+                out["slots"].append(slots[rows_of])
+                out["n_tokens"].append(n_tokens[rows_of].astype(np.int32))
+                out["doc_ids"].append([doc_ids[i] for i in rows_of])
+                out["starts"].append(starts[rows_of])
+                out["ids"].append(squeeze.compress(ids[rows_of].tobytes()))
+            kinds = {"shard": pa.int32(), "n_tokens": pa.list_(pa.int32()), "ids": pa.binary()}
+            return pa.RecordBatch.from_pydict({name: pa.array(values, kinds.get(name, pa.list_(pa.int64()))) for name, values in out.items()})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = len(row["n_tokens"])
+                first = firsts[row["part"]] + row["number"]
+                held.append((
+                    np.arange(first, first + n, dtype=np.uint64), np.array(row["n_tokens"]), np.array(row["doc_ids"], dtype=object), np.array(row["starts"], np.int64),
+                    np.frombuffer(expand.decompress(row["ids"]), kind).reshape(n, length),
+                ))
+                waiting += n
+                if waiting >= DEALT:
+                    yield dealt()
+                    held, waiting = [], 0
+        if held:
+            yield dealt()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         (system, path), expand = _filesystem(uri), zstandard.ZstdDecompressor()
         system.create_dir(path, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        stream, now, temporary, written = None, None, "", 0
-
-        def close() -> None:
-            if stream is not None:
-                stream.close()
-                if written != min(a_shard, total - now * a_shard):
-                    raise RuntimeError(f"shard {now} has {written} sequences")
-                system.move(temporary, f"{path}/{shard_name(now)}")
-
-        for batch in batches:
-            crcs = []
-            for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
-                if shard != now:
-                    close()
-                    now, written, temporary = shard, 0, f"{path}/_writing-{shard}-{attempt}"
-                    stream = system.open_output_stream(temporary)
-                apart = np.frombuffer(expand.decompress(packed), np.uint8).reshape(kind.itemsize, -1)
-                record = apart.T.tobytes()
-                stream.write(record)
-                crcs.append(zlib.crc32(record))
-                written += 1
-            slots = batch.column("slot").to_numpy()
-            yield pa.RecordBatch.from_pydict({
-                "slot": batch.column("slot"), "shard": batch.column("shard"), "byte_offset": pa.array(slots % a_shard * stride, pa.int64()),
-                "n_tokens": batch.column("n_tokens"), "ids_crc32": pa.array(crcs, pa.int64()),
-                "first_doc_id": batch.column("first_doc_id"), "first_start": batch.column("first_start"),
+        attempt, now, held = TaskContext.get().taskAttemptId(), None, []
+
+        def whole() -> pa.RecordBatch:
+            # One shard at a time: ``shard_bytes`` of ids.
+            slots = np.concatenate([np.array(row["slots"], np.int64) for row in held])
+            expected = min(a_shard, total - now * a_shard)
+            if len(slots) != expected:
+                raise RuntimeError(f"shard {now} has {len(slots)} of {expected} sequences")
+            place = np.argsort(slots, kind="stable")
+            records = np.empty((expected, length), kind)
+            for row in held:
+                n = len(row["slots"])
+                records[np.array(row["slots"], np.int64) - now * a_shard] = np.frombuffer(expand.decompress(row["ids"]), kind).reshape(n, length)
+            temporary = f"{path}/_writing-{now}-{attempt}"
+            with system.open_output_stream(temporary) as stream:
+                stream.write(records.tobytes())
+            system.move(temporary, f"{path}/{shard_name(now)}")
+            gathered = {name: [v for row in held for v in row[name]] for name in ("n_tokens", "doc_ids", "starts")}
+            return pa.RecordBatch.from_pydict({
+                "slot": pa.array(slots[place]), "shard": pa.array(np.full(expected, now, np.int32)),
+                "byte_offset": pa.array(np.arange(expected, dtype=np.int64) * stride), "n_tokens": pa.array([gathered["n_tokens"][i] for i in place], pa.int32()),
+                "ids_crc32": pa.array([zlib.crc32(record.tobytes()) for record in records], pa.int64()),
+                "first_doc_id": pa.array([gathered["doc_ids"][i] for i in place], pa.int64()),
+                "first_start": pa.array([gathered["starts"][i] for i in place], pa.int64()),
             })
-        close()
 
-    placed = arrow_map(rows, place, "slot long, shard int, n_tokens int, first_doc_id long, first_start long, ids binary")
-    ranged = placed.repartition(max(1, -(-total // a_shard)), "shard").sortWithinPartitions("shard", "slot")
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != now:
+                    if held:
+                        yield whole()
+                    now, held = row["shard"], []
+                held.append(row)
+        if held:
+            yield whole()
+
+    placed = arrow_map(blocks, deal, "shard int, slots array<long>, n_tokens array<int>, doc_ids array<long>, starts array<long>, ids binary")
+    ranged = placed.repartition(max(1, -(-total // a_shard)), "shard").sortWithinPartitions("shard")
     return arrow_map(ranged, write, "slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long, first_doc_id long, first_start long")
 
 
