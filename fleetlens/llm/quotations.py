@@ -90,23 +90,22 @@ def parents(rows: DataFrame) -> DataFrame:
 
 
 def roots(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(scope, position, root, depth) from (scope, position, parent), by doubling the pointers until none moves.
+    """(scope, position, root, depth) from (scope, position, parent), by doubling the pointers that are still open.
 
-    A chain of n replies takes log2(n) rounds. A parent is earlier than its replies, so there are no circles.
+    A chain of n replies takes log2(n) rounds; a message whose pointer has reached a root takes no further part. A
+    parent is earlier than its replies, so there are no circles.
     """
-    first = F.coalesce("parent", "position")
-    state = scratch.table(rows.select("scope", "position", first.alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "roots-0")
-    step = 0
-    while True:
-        a, b = state.alias("a"), state.alias("b")
+    has_parent = F.col("parent").isNotNull()
+    first = rows.select("scope", "position", F.coalesce("parent", "position").alias("root"), has_parent.cast("long").alias("depth"), has_parent.alias("open"))
+    state, step = scratch.table(first, "roots-0"), 0
+    while not state.where("open").isEmpty():
+        a, b = state.where("open").alias("a"), state.alias("b")
         same = F.col("a.scope").eqNullSafe(F.col("b.scope")) & (F.col("a.root") == F.col("b.position"))
-        onward = a.join(b, same).select("a.scope", "a.position", F.col("b.root").alias("root"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("b.depth") > 0).alias("moved"))
+        onward = a.join(b, same).select("a.scope", "a.position", "b.root", (F.col("a.depth") + F.col("b.depth")).alias("depth"), "b.open")
         step += 1
-        moved = scratch.table(onward, f"roots-{step}")
+        state = scratch.table(state.where("NOT open").unionByName(onward), f"roots-{step}")
         scratch.drop(f"roots-{step - 1}")
-        state = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return state
+    return state.drop("open")
 
 
 def conversations(messages: DataFrame, scope: str | None, position: str, text: str = "text") -> DataFrame:
