@@ -13,6 +13,7 @@ from fleetlens.plans.inventory import discover_instances, discovered_instances
 from fleetlens.plans.scrape import scrape_all, union_families
 from fleetlens.plans.statements import top_statements
 from fleetlens.queries import inputs as I
+from fleetlens.session import materialize
 
 NOW = I.NOW_US
 HOUR_GRID = Grid(NOW - 3_600_000_000, NOW, 60_000_000)
@@ -52,9 +53,12 @@ def statement_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exposition(spark: SparkSession, d: str) -> DataFrame:
+    """Inventory and catalogue are small tables that every family needs: they are discovered once and stored."""
+    known = materialize(fleet(spark, d), "inventory")
+    metrics = materialize(build_catalogue(I.fx_catalogue(spark, d), known, "avg", *I.METRIC_RULES), "catalogue")
     return scrape_all(
         recent_points(spark, d), recent_dims(spark, d), I.fx_mysql_digests(spark, d), I.fx_pg_statements(spark, d),
-        catalogue(spark, d), fleet(spark, d), I.policy(spark), NOW, dimensions=10,
+        metrics, known, I.policy(spark), NOW, dimensions=10,
     )
 
 

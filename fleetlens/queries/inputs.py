@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetlens.session import scratch_dir
 from fleetlens.plans.dashboards import BOARDS, Series, Stat, Used
 
 START_US = 1_704_067_200_000_000
@@ -224,6 +225,14 @@ def fx_board(spark: SparkSession, sf_dir: str, since_us: int | None = None, unti
     return _derive(spark, sf_dir, FX_BOARD, events=events, fx_instances=fx_instances(spark, sf_dir))
 
 
+def dumped(df: DataFrame, purpose: str, fmt: str, *folders: str) -> str:
+    """Write raw records as a dump, with folders by the columns named; the path."""
+    path = scratch_dir(df.sparkSession, purpose)
+    writer = df.write.format(fmt).partitionBy(*folders) if folders else df.write.format(fmt)
+    writer.options(**({"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"} if fmt == "json" else {})).save(path)
+    return path
+
+
 def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory as the service dumps it. Some tag lists repeat a key or hold an incomplete tag."""
     fx = fx_instances(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from fleetlens.functions.engines import normalize_engine, statement_family
@@ -14,6 +16,7 @@ from fleetlens.plans import catalogue as cat, collection, dimensions, inventory,
 from fleetlens.plans.dashboards import BOARDS, dashboard
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
+from fleetlens.sources import readers
 from fleetlens.schemas import COUNTER_LABELS, EXPOSITION, STATEMENT_LABELS
 
 NOW = I.NOW_US
@@ -291,11 +294,21 @@ def ag_7(spark, d):
     return vector.label_values(X.board(spark, d).filter(F.col("name") == CPU), "identifier")
 
 
-@query("ag_8", "SELECT * FROM canonical", "canonical")
+SEEN = "CASE WHEN resource_id LIKE '%5' THEN 1 ELSE 2 END"
+
+
+@query("ag_8", f"""SELECT region, engine, lower(metric) AS metric_lower, first(description ORDER BY seen, ordinal, resource_id) AS canonical_description FROM (
+  SELECT region, engine, resource_id, ordinal, metric, description, {SEEN} AS seen FROM cat_chosen
+  UNION ALL SELECT 'TWIN', engine, resource_id, ordinal, metric, concat(description, CASE WHEN ordinal >= 0 THEN ' (twin)' ELSE '' END), 3 - {SEEN} FROM cat_chosen)
+GROUP BY ALL""", "cat_chosen")
 def ag_8(spark, d):
-    rows = cat.with_load_metric(cat.of_instances(I.fx_catalogue(spark, d), X.fleet(spark, d)))
-    entries = cat.chosen_entries(rows, "avg", *I.METRIC_RULES)
-    return agg.canonical_descriptions(entries)
+    """Two regions that share all resource ids, and two times of fetching in each."""
+    fleet = X.fleet(spark, d)
+    raw = I.fx_catalogue(spark, d).join(fleet.select("resource_id", "region"), "resource_id").withColumn("seen_at_us", F.expr(f"CAST({SEEN} AS BIGINT)"))
+    twin = raw.withColumns({"region": F.lit("TWIN"), "description": F.concat("description", F.lit(" (twin)")), "seen_at_us": 3 - F.col("seen_at_us")})
+    both = fleet.unionByName(fleet.withColumn("region", F.lit("TWIN")))
+    rows = cat.with_load_metric(cat.of_instances(raw.unionByName(twin), both))
+    return agg.canonical_descriptions(cat.chosen_entries(rows, "avg", *I.METRIC_RULES))
 
 
 @query("ag_9", f"""SELECT resource_id, count(*) AS requested, count(*) FILTER (f.resource_id IS NOT NULL) AS hits,
@@ -424,9 +437,16 @@ def so_4(spark, d):
 
 # ---- set operations ------------------------------------------------------------------------------------
 
-@query("set_1", "SELECT region, resource_id, identifier FROM eligible", "eligible")
+@query("set_1", "SELECT region, resource_id, identifier, 'folders' AS origin FROM eligible UNION ALL SELECT region, resource_id, identifier, 'union' FROM eligible", "eligible")
 def set_1(spark, d):
-    return X.eligible(spark, d).select("region", "resource_id", "identifier")
+    """All regions: their folders in one scan, and dumps of single regions united."""
+    path = I.dumped(I.raw_instances(spark, d), "set-1", "json", "region")
+    whole = readers.read_instances(spark, path)
+    regions = [r.region for r in I.table(spark, d, "region").select(F.col("r_name").alias("region")).collect()]
+    single = [readers.read_instances(spark, f"{path}/region={region}", region=region) for region in regions]
+    united = reduce(lambda a, b: a.unionByName(b), single)
+    rows = [inventory.discovered_instances(f).withColumn("origin", F.lit(o)) for f, o in ((whole, "folders"), (united, "union"))]
+    return rows[0].unionByName(rows[1]).select("region", "resource_id", "identifier", "origin")
 
 
 @query("set_2", "SELECT * FROM exposition", "exposition")

@@ -29,13 +29,30 @@ def _tags():
 SELECT region, resource_id, identifier, cluster_identifier, endpoint, port, engine_raw, status, insights_enabled, creation_us,
   CASE WHEN resource_id LIKE '%0' THEN 'renamed' ELSE tag_environment END AS environment, tag_team AS team FROM flat""", "flat")
 def src_1(spark, d):
-    return readers.flatten_instances(I.raw_instances(spark, d)).select("*", *_tags()).drop("tags")
+    """A folder of JSON dumps per region, read in one scan."""
+    path = I.dumped(I.raw_instances(spark, d), "src-1", "json", "region")
+    return readers.read_instances(spark, path).select("*", *_tags()).drop("tags")
 
 
-@query("src_2", "SELECT resource_id, ordinal, metric, description, unit FROM fx_catalogue", "fx_catalogue")
+# Regions and times of fetching for fixtures that have none: resource ids repeat in both regions.
+REGIONS = ("east", "west")
+
+
+def _twice(df, fetched=False):
+    """Each record once per region, fetched an hour later in the second one."""
+    rows = df.withColumn("region", F.explode(F.array(*[F.lit(r) for r in REGIONS])))
+    later = F.when(F.col("region") == REGIONS[1], F.lit(I.START_US + 3_600_000_000)).otherwise(F.lit(I.START_US))
+    return rows.withColumn("fetched_at_us", later.cast("bigint")) if fetched else rows
+
+
+TWICE = "(VALUES ('east', CAST({0} AS BIGINT)), ('west', CAST({0} + 3600000000 AS BIGINT))) AS o(region, seen_at_us)".format(I.START_US)
+
+
+@query("src_2", f"SELECT region, seen_at_us, resource_id, ordinal, metric, description, unit FROM fx_catalogue CROSS JOIN {TWICE}", "fx_catalogue")
 def src_2(spark, d):
-    flat = readers.flatten_catalogue(I.raw_catalogue(spark, d))
-    return flat.withColumn("ordinal", F.col("ordinal") + 1)
+    """JSON records that name their region and time of fetching."""
+    path = I.dumped(_twice(I.raw_catalogue(spark, d), fetched=True), "src-2", "json")
+    return readers.read_catalogue(spark, path).withColumn("ordinal", F.col("ordinal") + 1)
 
 
 def _responses(df, *keep):
@@ -54,15 +71,18 @@ POINT = """CASE WHEN pos % 23 <> 0 THEN metric END AS metric, CAST(i AS BIGINT)
   CASE i WHEN 0 THEN ts_us WHEN 1 THEN ts_us + 1000000 END AS ts_us, CASE i WHEN 0 THEN value END AS value"""
 
 
-@query("src_3", f"SELECT resource_id, {POINT}" + RESPONSES.format(fx="fx_datapoints"), "fx_datapoints")
+@query("src_3", f"SELECT region, resource_id, {POINT}" + RESPONSES.format(fx="fx_datapoints") + f" CROSS JOIN {TWICE}", "fx_datapoints")
 def src_3(spark, d):
-    return readers.flatten_datapoints(_responses(I.fx_datapoints(spark, d), "resource_id"))
+    """JSON in region folders, both read in one scan."""
+    path = I.dumped(_twice(_responses(I.fx_datapoints(spark, d), "resource_id")), "src-3", "json", "region")
+    return readers.read_datapoints(spark, path)
 
 
-@query("src_4", f"""SELECT resource_id, dim_group, {POINT}, CASE WHEN pos % 23 <> 0 THEN dim_id END AS dim_id,
+@query("src_4", f"""SELECT 'north' AS region, resource_id, dim_group, {POINT}, CASE WHEN pos % 23 <> 0 THEN dim_id END AS dim_id,
   CASE WHEN pos % 23 <> 0 THEN dim_text END AS dim_text""" + RESPONSES.format(fx="fx_dim_datapoints"), "fx_dim_datapoints")
 def src_4(spark, d):
-    flat = readers.flatten_datapoints(_responses(I.dim_points(spark, d), "resource_id", "dim_group"))
+    path = I.dumped(_responses(I.dim_points(spark, d), "resource_id", "dim_group"), "src-4", "parquet")
+    flat = readers.read_dim_datapoints(spark, path, "parquet", region="north")
 
     def either(a, b):
         return F.coalesce(F.try_element_at("dims", F.lit(a)), F.try_element_at("dims", F.lit(b)))
@@ -71,18 +91,16 @@ def src_4(spark, d):
         "dim_text", either("db.sql_tokenized.statement", "db.wait_event.type")).drop("dims")
 
 
-@query("src_5", "SELECT * FROM fx_mysql_digests", "fx_mysql_digests")
+@query("src_5", "SELECT region, f.* FROM fx_mysql_digests f CROSS JOIN " + TWICE, "fx_mysql_digests")
 def src_5(spark, d):
-    path = scratch_dir(spark, "src-5")
-    I.fx_mysql_digests(spark, d).write.parquet(path)
-    return readers.read_mysql_digests(spark, path)
+    return readers.read_mysql_digests(spark, I.dumped(_twice(I.fx_mysql_digests(spark, d)), "src-5", "parquet", "region"))
 
 
-@query("src_6", 'SELECT resource_id, queryid, query, calls, mean_exec_time, blk_read_time, blk_write_time, "rows" FROM fx_pg_statements', "fx_pg_statements")
+@query("src_6", 'SELECT \'south\' AS region, \'db-1\' AS resource_id, queryid, query, calls, mean_exec_time, blk_read_time, blk_write_time, "rows" FROM fx_pg_statements WHERE resource_id = \'db-1\'', "fx_pg_statements")
 def src_6(spark, d):
-    path = scratch_dir(spark, "src-6")
-    I.fx_pg_statements(spark, d).write.parquet(path)
-    return readers.read_pg_statements(spark, path)
+    """What a system view gives: the instance is named by the caller."""
+    one = I.fx_pg_statements(spark, d).filter("resource_id = 'db-1'").drop("resource_id")
+    return readers.read_pg_statements(spark, I.dumped(one, "src-6", "parquet"), region="south", resource_id="db-1")
 
 
 @query("snk_1", "SELECT *, CASE WHEN ts_us IS NULL THEN 'undated' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%d') END AS ds FROM exposition", "exposition")

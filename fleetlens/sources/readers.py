@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,12 +13,41 @@ from fleetlens.functions.labels import tag_map
 from fleetlens.operators.predicates import requested_type
 
 
-def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str) -> DataFrame:
+# What a dump's records may carry besides the service's own fields: where and when they were fetched.
+ORIGIN = T.StructType([T.StructField("region", T.StringType()), T.StructField("fetched_at_us", T.LongType())])
+# Where statements are read from in a database, and their longest text.
+MYSQL_VIEW, PG_VIEW, STATEMENT_LENGTH = "performance_schema.events_statements_summary_by_digest", "pg_stat_statements", 200
+
+Paths = str | list[str]
+
+
+def _read(spark: SparkSession, path: Paths, schema: T.StructType, fmt: str) -> DataFrame:
     if fmt not in ("parquet", "json", "orc"):
         raise ValueError(f"unsupported format: {fmt}")
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def _carried(spark: SparkSession, path: Paths, fmt: str) -> set[str]:
+    """Names of the fields of a dump: of its files' schema, or of the first JSON record."""
+    if fmt != "json":
+        return set(spark.read.format(fmt).load(path).columns)
+    first = spark.read.text(path).select("value").limit(1).collect()
+    return set(json.loads(first[0].value)) if first and first[0].value else set()
+
+
+def _dump(spark: SparkSession, path: Paths, schema: T.StructType, fmt: str, region: str | None) -> DataFrame:
+    """Records with their region and time of fetching, if the dump has them.
+
+    The region is given, or a partition folder (one scan may then cover several regions), or a field of the records.
+    """
+    if fmt not in ("parquet", "json", "orc"):
+        raise ValueError(f"unsupported format: {fmt}")
+    carried = _carried(spark, path, fmt)
+    origin = [f for f in ORIGIN.fields if f.name in carried]
+    raw = _read(spark, path, T.StructType([*origin, *schema.fields]), fmt)
+    return raw if region is None else raw.withColumn("region", F.lit(region))
+
+
 def flatten_instances(raw: DataFrame) -> DataFrame:
     """Nested inventory records to columns; absent endpoint and cluster become empty, never null."""
     c = F.col
@@ -33,17 +63,14 @@ def flatten_instances(raw: DataFrame) -> DataFrame:
         F.coalesce("PerformanceInsightsEnabled", F.lit(False)).alias("insights_enabled"),
         F.unix_micros("InstanceCreateTime").alias("creation_us"),
         tag_map(c("TagList")).alias("tags"),
+        *[c(n) for n in ("fetched_at_us",) if n in raw.columns],
     )
 
 
-def read_instances(spark: SparkSession, path: str, region: str | None = None, fmt: str = "json") -> DataFrame:
-    """Inventory dumps. One scan may cover all regions: then ``region`` is a partition folder or column."""
-    if region is not None:
-        raw = _read(spark, path, schemas.RAW_INSTANCE, fmt).withColumn("region", F.lit(region))
-    else:
-        with_region = T.StructType([T.StructField("region", T.StringType()), *schemas.RAW_INSTANCE.fields])
-        raw = _read(spark, path, with_region, fmt)
-    return flatten_instances(raw)
+def read_instances(spark: SparkSession, path: Paths, region: str | None = None, fmt: str = "json") -> DataFrame:
+    """Inventory dumps, of one region or of several in one scan; for the region see ``_dump``."""
+    raw = _dump(spark, path, schemas.RAW_INSTANCE, fmt, region)
+    return flatten_instances(raw if "region" in raw.columns else raw.withColumn("region", F.lit(None).cast("string")))
 
 
 def flatten_catalogue(raw: DataFrame) -> DataFrame:
@@ -60,8 +87,8 @@ def flatten_catalogue(raw: DataFrame) -> DataFrame:
     return flat.filter(F.col("metric").isNull() | requested_type(F.col("metric")))
 
 
-def read_catalogue(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return flatten_catalogue(_read(spark, path, schemas.RAW_CATALOGUE, fmt))
+def read_catalogue(spark: SparkSession, path: Paths, fmt: str = "json", region: str | None = None) -> DataFrame:
+    return flatten_catalogue(_dump(spark, path, schemas.RAW_CATALOGUE, fmt, region))
 
 
 def flatten_datapoints(raw: DataFrame) -> DataFrame:
@@ -75,27 +102,52 @@ def flatten_datapoints(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_datapoints(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return flatten_datapoints(_read(spark, path, schemas.RAW_DATAPOINTS, fmt))
+def read_datapoints(spark: SparkSession, path: Paths, fmt: str = "json", region: str | None = None) -> DataFrame:
+    return flatten_datapoints(_dump(spark, path, schemas.RAW_DATAPOINTS, fmt, region))
 
 
-def read_dim_datapoints(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return flatten_datapoints(_read(spark, path, schemas.RAW_DIM_DATAPOINTS, fmt))
+def read_dim_datapoints(spark: SparkSession, path: Paths, fmt: str = "json", region: str | None = None) -> DataFrame:
+    return flatten_datapoints(_dump(spark, path, schemas.RAW_DIM_DATAPOINTS, fmt, region))
 
 
-def _snapshot(spark: SparkSession, source: str | Mapping[str, str], schema: T.StructType, fmt: str) -> DataFrame:
-    if isinstance(source, str):
-        return _read(spark, source, schema, fmt)
-    return spark.read.format("jdbc").options(**source).load()
+def view_query(schema: T.StructType, view: str, needed: Sequence[str], text: str) -> str:
+    """What to ask a database for: the schema's columns, the text cut, rows without a needed column left out."""
+    columns = [
+        f"LEFT({n}, {STATEMENT_LENGTH}) AS {n}" if n == text else n for n in schema.fieldNames() if n not in ("region", "resource_id")
+    ]
+    return f"SELECT {', '.join(columns)} FROM {view} WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in needed)
+
+
+def _snapshot(
+    spark: SparkSession, source: Paths | Mapping[str, str], schema: T.StructType, fmt: str, query: str, region: str | None, resource_id: str | None,
+) -> DataFrame:
+    """A statement snapshot, with the instance it belongs to: a system view does not name it, so it is given."""
+    if isinstance(source, Mapping):
+        options = dict(source) if {"query", "dbtable"} & source.keys() else {**source, "query": query}
+        rows = spark.read.format("jdbc").options(**options).load()
+    else:
+        own = T.StructType([f for f in schema.fields if f.name != "resource_id" or resource_id is None])
+        rows = _dump(spark, source, own, fmt, region)
+    for name, value in (("region", region), ("resource_id", resource_id)):
+        rows = rows if value is None else rows.withColumn(name, F.lit(value))
+    if "resource_id" not in rows.columns:
+        raise ValueError("the snapshot does not name its instance: pass resource_id")
+    return rows
 
 
-def read_mysql_digests(spark: SparkSession, source: str | Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """Statement digests from a dump, or from a system view by JDBC options (filters are pushed down)."""
-    return _snapshot(spark, source, schemas.MYSQL_DIGESTS, fmt)
+def read_mysql_digests(
+    spark: SparkSession, source: Paths | Mapping[str, str], fmt: str = "parquet", region: str | None = None, resource_id: str | None = None,
+) -> DataFrame:
+    """Statement digests from a dump, or from the system view by JDBC options; ``resource_id`` names the instance."""
+    query = view_query(schemas.MYSQL_DIGESTS, MYSQL_VIEW, ("digest", "schema_name"), "digest_text")
+    return _snapshot(spark, source, schemas.MYSQL_DIGESTS, fmt, query, region, resource_id)
 
 
-def read_pg_statements(spark: SparkSession, source: str | Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    return _snapshot(spark, source, schemas.PG_STATEMENTS, fmt)
+def read_pg_statements(
+    spark: SparkSession, source: Paths | Mapping[str, str], fmt: str = "parquet", region: str | None = None, resource_id: str | None = None,
+) -> DataFrame:
+    query = view_query(schemas.PG_STATEMENTS, PG_VIEW, ("queryid",), "query")
+    return _snapshot(spark, source, schemas.PG_STATEMENTS, fmt, query, region, resource_id)
 
 
 def read_samples(spark: SparkSession, path: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:

@@ -70,8 +70,12 @@ class _Bucket:
         self.series = _records(SERIES, rest[: len(SERIES)])
         self.points = _records(POINT, rest[len(SERIES):])
 
-    def add(self, batch: pd.DataFrame) -> None:
-        """Fold a batch in; only two points per series and slot are ever held."""
+    def add(self, batch: pd.DataFrame, unserved: int) -> None:
+        """Fold a batch in; only two points per series and slot are ever held.
+
+        A point that comes late brings the next scrape of its series forward, to ``unserved`` at the earliest, the
+        first slot that no scrape has served.
+        """
         known = {name: number for number, name in enumerate(self.names)}
         codes = batch.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
         first = np.unique(codes, return_index=True)[1]
@@ -87,9 +91,10 @@ class _Bucket:
         self.series = np.concatenate([self.series, np.array(added, dtype=SERIES)])
         fresh = _records(POINT, [owners[codes], *(batch[n].to_numpy() for n in POINT.names[1:])])
         self.points = newest_two_per_slot(np.concatenate([self.points, fresh]))
-        start = np.searchsorted(self.points["owner"], np.arange(len(self.names)))
-        unset = np.flatnonzero(self.series["next_slot"] < 0)
-        self.series["next_slot"][unset] = self.points["slot"][start[unset]]
+        edges = np.searchsorted(self.points["owner"], np.arange(len(self.names) + 1))
+        held = np.flatnonzero(edges[1:] > edges[:-1])
+        first, following = self.points["slot"][edges[held]], self.series["next_slot"][held]
+        self.series["next_slot"][held] = np.where(following < 0, first, np.minimum(following, np.maximum(first, unserved)))
 
     def scrape(self, grid: Grid, lookback_us: int, done: int) -> Iterator[tuple]:
         """Serve every series up to the scrape ``done`` and forget what no later scrape can use."""
@@ -118,11 +123,11 @@ class _Bucket:
 def _scrape_bucket(keys: list[str], grid: Grid, lookback_us: int):
     def scrape(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bucket = _Bucket(keys, state.get if state.exists else None)
-        for batch in batches:
-            if not batch.empty:  # a timeout brings no points
-                bucket.add(batch)
         watermark_ms = state.getCurrentWatermarkMs()
         done = min((watermark_ms * 1000 - grid.start_us) // grid.step_us, grid.last_slot)
+        for batch in batches:
+            if not batch.empty:  # a timeout brings no points
+                bucket.add(batch, done + 1)
         runs = list(bucket.scrape(grid, lookback_us, done))
         if runs:
             yield pd.DataFrame(runs, columns=[*keys, *RUN_COLUMNS])

@@ -2,7 +2,7 @@ import json
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from fleetlens.functions.display import is_valid_prefix
 from fleetlens.operators import lookups, quality, vector
@@ -12,7 +12,7 @@ from fleetlens.plans.catalogue import build_catalogue
 from fleetlens.plans.dimensions import top_load_by_dimension
 from fleetlens.plans.scrape import union_families
 from fleetlens.plans.statements import checked_top_n
-from fleetlens.schemas import COUNTER_LABELS
+from fleetlens.schemas import COUNTER_LABELS, PG_STATEMENTS
 from fleetlens.session import scratch_dir
 from fleetlens.sources import readers, writers
 
@@ -304,3 +304,40 @@ def test_snapshot_at(spark):
                                  "region string, resource_id string, fetched_at_us bigint")
     got = snapshot_at(rows, ["region"], 5, 3).collect()
     assert {(r.resource_id, r.is_stale) for r in got} == {("b", False), ("c", True), ("e", True)}
+
+
+def test_region_and_time_of_fetching_survive_the_readers(spark, tmp_path):
+    def entry(region, fetched, description):
+        return {"region": region, "fetched_at_us": fetched, "resource_id": "db-1", "Metrics": metrics(("db.Q", description, "N"))}
+
+    raw = readers.read_catalogue(spark, dump(tmp_path / "c", [entry("eu", 20, "late"), entry("eu", 10, "early"), entry("us", 5, "other")]))
+    assert {(r.region, r.seen_at_us, r.description) for r in raw.collect()} == {("eu", 20, "late"), ("eu", 10, "early"), ("us", 5, "other")}
+    points = readers.read_datapoints(spark, dump(tmp_path / "p", [{"region": "eu", **series("db-1", "db.Q.avg", [(NOW, 1.0)])}]))
+    assert [(r.region, r.resource_id, r.value) for r in points.collect()] == [("eu", "db-1", 1.0)]
+    given = readers.read_datapoints(spark, dump(tmp_path / "q", [series("db-1", "db.Q.avg", [(NOW, 1.0)])]), region="us")
+    assert given.first().region == "us" and "region" not in readers.read_datapoints(spark, str(tmp_path / "q")).columns
+    folders = tmp_path / "r"
+    folders.mkdir()
+    for region in ("eu", "us"):
+        dump(folders / f"region={region}", [instance(region + "1")])
+    assert {(r.region, r.identifier) for r in readers.read_instances(spark, str(folders)).collect()} == {("eu", "eu1"), ("us", "us1")}
+
+
+def test_statement_snapshots_of_one_instance(spark, tmp_path):
+    path = str(tmp_path / "view")
+    spark.sql("SELECT 1L AS queryid, 'SELECT 1' AS query, 2L AS calls, 3.0D AS mean_exec_time, 0.0D AS blk_read_time, 0.0D AS blk_write_time, 4L AS rows").write.parquet(path)
+    with pytest.raises(ValueError, match="resource_id"):
+        readers._snapshot(
+            spark, path, T.StructType([f for f in PG_STATEMENTS.fields if f.name != "resource_id"]), "parquet", "", "eu", None)
+    got = readers.read_pg_statements(spark, path, region="eu", resource_id="db-9").first()
+    assert (got.region, got.resource_id, got.calls) == ("eu", "db-9", 2)
+    query = readers.view_query(PG_STATEMENTS, readers.PG_VIEW, ("queryid",), "query")
+    assert query.startswith("SELECT queryid, LEFT(query, 200) AS query, calls") and query.endswith("FROM pg_stat_statements WHERE queryid IS NOT NULL")
+
+
+def test_one_inventory_and_one_catalogue_in_a_scrape(spark):
+    from fleetlens.queries import frames
+
+    rows = frames.exposition(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" not in plan  # what the instances are derived from is not read again
