@@ -30,7 +30,10 @@ def uniform(seed: int, id_column: Column) -> Column:
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Adds ``weight``: the cycle repeated over the sources by code point, null last. One row per source comes in."""
+    """Adds ``weight``: the cycle repeated over the sources by code point, null last.
+
+    One row per source comes in; sources, unlike documents, are few enough to be put in order by one task.
+    """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (place % len(cycle) + 1).cast("int")))
 
@@ -90,7 +93,9 @@ def plan(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seed: int = 17,
     cut = sums.where(2 * F.col("sum") - F.col("words") <= 2 * F.col("room")).groupBy("source").agg(F.max("_rank").alias("_cut"))
     out = shares.alias("s").join(edges.select("source", "cell").alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
     out = out.join(cut.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source")), "left")
-    return scratch.table(out.select("s.*", F.col("e.cell").alias("_edge"), F.col("k._cut").alias("_cut")), "plan")
+    planned = scratch.table(out.select("s.*", F.col("e.cell").alias("_edge"), F.col("k._cut").alias("_cut")), "plan")
+    scratch.drop("ranked")
+    return planned
 
 
 def copies(docs: DataFrame, planned: DataFrame, seed: int = 17, odds: Column | None = None) -> DataFrame:

@@ -124,6 +124,7 @@ def conversations(messages: DataFrame, scope: str | None, position: str, text: s
     full = linked.alias("l").join(found, F.col("l.scope").eqNullSafe(F.col("f.scope")) & (F.col("l.position") == F.col("f.position")))
     full = full.select("l.scope", "l.position", "l.parent", "f.root", "f.depth", F.col("l.own").alias("text"), F.shiftright("l.position", CELL_BITS).alias("cell"))
     full = scratch.table(full, "full")
+    scratch.drop("parsed", "linked")
     # Numbers by depth, then position: cells are counted, then rows within a cell.
     cells = full.groupBy("scope", "root", "depth", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("scope", "root").orderBy("depth", "cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from fleetlens.session import scratch_dir, ship_library
+from fleetlens.session import discard, scratch_dir, ship_library
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MOST_BATCH_ROWS = 1000
@@ -28,10 +28,9 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, f"{self.base}/{name}")
 
 
 def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
