@@ -122,3 +122,11 @@ def test_patterns_mean_what_they_mean_in_re2(column, pattern, yes, no):
 def test_what_re2_has_not_is_an_error(pattern):
     with pytest.raises(ValueError):
         java_regex(pattern)
+
+
+def test_as_many_rules_as_allowed(spark):
+    table = [(i, f"^metric{i}x$", i + 1) for i in range(rules.MAX_RULES)]
+    names = spark.createDataFrame([("metric0x",), (f"metric{rules.MAX_RULES - 1}x",), ("none",)], "m string")
+    assert [r.t for r in names.select(rules.pattern_ttl(F.col("m"), table).alias("t")).collect()] == [1, rules.MAX_RULES, 0]
+    kept = rules.pattern_filter({"name": F.col("m")}, None, {"name": [p for _, p, _ in table]})
+    assert [r.k for r in names.select(kept.alias("k")).collect()] == [True, True, False]
