@@ -18,27 +18,35 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*\Z")
 
 
 @functools.lru_cache(maxsize=2)
-def _libraries(name: str):
+def _exact(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@functools.lru_cache(maxsize=2)
+def _fast(name: str):
+    """The same vocabulary as ranks, or None where there is none."""
     import base64
     from pathlib import Path
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(name))
-    exact.encode_special_tokens = True
-    ranks_file = Path(public_tokenizers.path(name.replace(".json", ".tiktoken")))
-    if not ranks_file.exists():
-        return exact, None
-    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.read_bytes().splitlines())}
-    return exact, tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    file = Path(public_tokenizers.path(name.replace(".json", ".tiktoken")))
+    if not file.exists():
+        return None
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file.read_bytes().splitlines())}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     if not text:
         return np.empty(0, "<u4")
-    exact, fast = _libraries(vocabulary)
-    if fast is not None and PLAIN.match(text):
-        return fast.encode_to_numpy(text).astype("<u4") if hasattr(fast, "encode_to_numpy") else np.array(fast.encode_ordinary(text), "<u4")
-    return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
+    fast = _fast(vocabulary) if PLAIN.match(text) else None
+    if fast is None:  # loaded only where it is needed: a worker holds one of the two as a rule
+        return np.array(_exact(vocabulary).encode(text, add_special_tokens=False).ids, "<u4")
+    return fast.encode_to_numpy(text).astype("<u4")
