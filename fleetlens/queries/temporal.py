@@ -16,7 +16,7 @@ from fleetlens.plans import catalogue as cat, collection, inventory
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
 from fleetlens.schemas import COUNTER_LABELS
-from fleetlens.session import scratch_dir
+from fleetlens.session import materialize, scratch_dir
 from fleetlens.sources import readers
 from fleetlens.streaming import aggregates as stream_agg, changes, replay as stream_replay
 
@@ -64,6 +64,11 @@ def _state(spark: SparkSession, d: str) -> DataFrame:
 STATE = "resource_id, metric, value, ts_us, ttl_us, expires_at_us"
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The store as a table, which is read several times."""
+    return materialize(_state(spark, d), "state")
+
+
 # ---- freshness -----------------------------------------------------------------------------------------
 
 @query("st_1", "SELECT resource_id, metric, pattern_ttl_us, dynamic_ttl_us, greatest(pattern_ttl_us, dynamic_ttl_us) AS ttl_us FROM ttls", "ttls")
@@ -96,12 +101,22 @@ TIE = "md5(concat_ws(chr(1), resource_id, metric))"
 
 @query("st_5", f"SELECT {STATE} FROM state WHERE expired ORDER BY expires_at_us, {TIE} LIMIT 50", "state")
 def st_5(spark, d):
-    return fresh_ops.evicted(_state(spark, d), KEYS, NOW, 50)
+    return fresh_ops.evicted(_stored(spark, d), KEYS, NOW, 50)
 
 
 @query("st_6", f"SELECT {STATE} FROM state WHERE NOT expired ORDER BY expires_at_us DESC, {TIE} LIMIT 100", "state")
 def st_6(spark, d):
-    return fresh_ops.retained(_state(spark, d), KEYS, NOW, 100)
+    return fresh_ops.retained(_stored(spark, d), KEYS, NOW, 100)
+
+
+@query("st_5_many", f"SELECT {STATE} FROM state WHERE expired ORDER BY expires_at_us, {TIE} LIMIT 400", "state")
+def st_5_many(spark, d):
+    return fresh_ops.evicted(_stored(spark, d), KEYS, NOW, 400)
+
+
+@query("st_6_many", f"SELECT {STATE} FROM state WHERE NOT expired ORDER BY expires_at_us DESC, {TIE} LIMIT 100000", "state")
+def st_6_many(spark, d):
+    return fresh_ops.retained(_stored(spark, d), KEYS, NOW, 100_000)
 
 
 ARRIVALS = "SELECT resource_id, metric, pos AS arrival_seq, ts_us, value FROM valid_points QUALIFY row_number() OVER (PARTITION BY resource_id, metric ORDER BY pos DESC) = 1"
