@@ -245,6 +245,17 @@ def jn_12_rows(spark, d):
     return snapshot_at(rows, ["region"], NOW, 1_800_000_000)
 
 
+@query("jn_12_rows_all", f"""SELECT region, resource_id, fetched_at_us, {NOW} > fetched_at_us + 1800000000 AS is_stale FROM (
+  SELECT region, resource_id, unnest([{", ".join(map(str, FETCHES))}]) AS fetched_at_us FROM flat) s
+WHERE fetched_at_us = CASE WHEN region = 'ASIA' THEN {FETCHES[0]} ELSE {FETCHES[1]} END""", "flat")
+def jn_12_rows_all(spark, d):
+    """The same with every instance."""
+    times = F.explode(F.array(*[F.lit(t) for t in FETCHES]))
+    rows = I.fx_instances(spark, d).select("region", "resource_id", times.alias("fetched_at_us"))
+    rows = rows.filter((F.col("region") != "ASIA") | (F.col("fetched_at_us") != FETCHES[1]))
+    return snapshot_at(rows, ["region"], NOW, 1_800_000_000)
+
+
 # ---- aggregations --------------------------------------------------------------------------------------
 
 CPU = "dbi_os_cpuutilization_total_avg"

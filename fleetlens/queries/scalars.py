@@ -103,6 +103,12 @@ def src_6(spark, d):
     return readers.read_pg_statements(spark, I.dumped(one, "src-6", "parquet"), region="south", resource_id="db-1")
 
 
+@query("src_6_all", "SELECT region, f.* FROM fx_pg_statements f CROSS JOIN " + TWICE, "fx_pg_statements")
+def src_6_all(spark, d):
+    """Statements of all instances, named by a column."""
+    return readers.read_pg_statements(spark, I.dumped(_twice(I.fx_pg_statements(spark, d)), "src-6-all", "parquet", "region"))
+
+
 @query("snk_1", "SELECT *, CASE WHEN ts_us IS NULL THEN 'undated' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%d') END AS ds FROM exposition", "exposition")
 def snk_1(spark, d):
     path = scratch_dir(spark, "snk-1")

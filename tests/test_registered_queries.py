@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare
-from fleetlens.queries import catalog  # noqa: F401
+from fleetlens.queries import catalog, inputs  # noqa: F401
 from fleetlens.queries.registry import QUERIES
 from fleetlens.queries.inputs import TABLES
 
@@ -32,3 +32,11 @@ def test_every_query_has_a_check():
 
 def test_entry(spark):
     assert {"name", "help", "value", "ts_us"} <= set(entry.entry(spark).columns)
+
+
+def test_all_instances_are_read(spark):
+    """The narrower forms beside them name one instance, or leave some out."""
+    got = entry.queries()["src_6_all"](spark, SF_DIR)
+    assert got.select("resource_id").distinct().count() == inputs.fx_pg_statements(spark, SF_DIR).select("resource_id").distinct().count() > 1
+    got = entry.queries()["jn_12_rows_all"](spark, SF_DIR)
+    assert got.count() == inputs.fx_instances(spark, SF_DIR).count() > got.filter("NOT resource_id LIKE '%7'").count()
