@@ -3,8 +3,9 @@ r"""Main text of web pages by tag-path ratios.
 A page is read into text nodes, each with the path of open elements above it. Per path, text length and punctuation are
 summed over all its nodes and divided by their number: the path's ratios. The fused ratio, length times punctuation, is
 smoothed along the page with a Gaussian and compared with a threshold from its mean; a path is content if its nodes pass
-with most of their text. The home of the text is the article, or else the container, that holds most of the content. In
-it all paths count that are content, headings, or below such; in an article also others, but for blocks of links alone.
+with most of their text. The home of the text is the deepest container that holds all of the content, or what its articles
+share if they hold most of it. In it all paths count that are content, headings, or below such; in an article also
+others, but for blocks of links alone.
 Nodes below menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments have no ratio at all: their paths are marked by element or by class,
 id or role.
@@ -21,6 +22,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -182,15 +185,11 @@ def select(nodes: list[Node]) -> list[Node]:
     passed = np.maximum(_smoothed(fused), fused) >= THRESHOLD * np.average(fused, weights=chars)
     content = (np.bincount(of, chars * passed) >= 0.5 * np.bincount(of, chars))[of]
 
-    def heaviest(keys: list):
-        weight: dict = {}
-        for key, value in zip(keys, chars * content):
-            if key:
-                weight[key] = weight.get(key, 0.0) + value
-        return max(sorted(weight), key=weight.get) if weight else ""
-
-    if any(node.region for node in nodes):
-        home = heaviest([node.region for node in nodes])
+    # Articles hold the text if they hold most of the content; what several of them share is around them.
+    places = [node.region for node in nodes]
+    held = [place for place, good in zip(places, content) if good and place]
+    if 2 * sum((chars * content)[[bool(place) for place in places]]) >= sum(chars * content):
+        home = commonprefix(held)
         only_links: dict[int, bool] = {}
         for node, good in zip(nodes, content):
             link = "a" in node.path.split(">") and not good and not node.heading
@@ -198,14 +197,17 @@ def select(nodes: list[Node]) -> list[Node]:
         # A title may stand above the article, in a region around it.
         return [
             node for node in nodes
-            if node.region[: len(home)] == home and not only_links[node.block]
+            if node.region and node.region[: len(home)] == home and not only_links[node.block]
             or node.region and node.region == home[: len(node.region)] and "h1" in node.path.split(">")
         ]
-    home = heaviest([node.container for node in nodes])
+    places = [tuple(node.container.split(">")) if node.container else () for node in nodes]
+    home = commonprefix([place for place, good in zip(places, content) if good])
     related = {node.path for node, good in zip(nodes, content) if good or node.heading}
+    # A title may stand above the container.
     return [
-        node for node in nodes
-        if (not home or (node.container + ">").startswith(home + ">")) and (node.path in related or any(node.path.startswith(path + ">") for path in related))
+        node for node, place in zip(nodes, places)
+        if place[: len(home)] == home and any(path in related for path in accumulate(node.path.split(">"), "{}>{}".format))
+        or place == home[: len(place)] and "h1" in node.path.split(">")
     ]
 
 

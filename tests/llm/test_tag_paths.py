@@ -50,6 +50,26 @@ def test_plain_text_and_long_pages():
     assert main_text(f"<article>{many}</article>").count("\n") == 19_999
 
 
+ITEMS = [f"Item {i}: {LONG} {LONG}" for i in range(4)]
+LIST = "<ul>" + "".join(f"<li>{x}</li>" for x in ITEMS) + "</ul>"
+
+
+def test_all_content_paths_count():
+    assert main_text(f"<body><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{LIST}</div></body>").split("\n") == ["T", LONG, LONG, *ITEMS]
+    assert main_text(f"<div><h1>T</h1><p>{LONG}</p><section><p>{LONG}</p><p>{LONG}</p></section></div>").split("\n") == ["T", LONG, LONG, LONG]
+    cells = "".join(f"<tr><td>{x}</td></tr>" for x in ITEMS)
+    assert main_text(f"<div><p>{LONG}</p><table>{cells}</table></div>").split("\n") == [LONG, *ITEMS]
+    assert main_text(f"<body><h1>T</h1><div><p>{LONG}</p></div></body>") == f"T\n{LONG}"
+
+
+def test_all_articles_count():
+    parts = "".join(f"<article><h2>{i}</h2><p>{LONG}</p></article>" for i in range(3))
+    want = [x for i in range(3) for x in (str(i), LONG)]
+    assert main_text(f"<body>{parts}</body>").split("\n") == want
+    assert main_text(f"<main><h1>T</h1>{parts}</main>").split("\n") == ["T", *want]
+    assert main_text(f"<article><p>Small.</p></article><div><p>{LONG}</p>{LIST}</div>").split("\n") == ["Small.", LONG, *ITEMS]
+
+
 def test_columns_and_nulls(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "old", 5), (None, None, None, None, None), (1, "u", f"<article><p>{LONG}</p></article>", "old", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
