@@ -8,7 +8,7 @@ share if they hold most of it. In it all paths count that are content, headings,
 others, but for blocks of links alone.
 Nodes below menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments have no ratio at all: their paths are marked by element or by class,
-id or role.
+id or role, unless such an element holds the page itself.
 
 Blocks of the page become lines: character references are decoded, white space inside a block is one space.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 from os.path import commonprefix
@@ -34,12 +35,14 @@ from fleetlens.llm.scratch import arrow_map, extended, slices
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\bhidden\b", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg math iframe object canvas video audio select datalist title head".split())
 OPAQUE = frozenset("script style textarea title noscript iframe template".split())  # no elements inside: read to the end tag
 MARKED = frozenset("nav header footer aside form button dialog menu fieldset label".split())
+WRAPPERS = frozenset("form fieldset header".split())  # of the marked ones, those that may hold a whole page
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article main".split())
 INLINE = frozenset(
@@ -51,13 +54,21 @@ CLOSES = {
     "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody"),
 }
 SCOPES = frozenset("table ul ol dl article section div body html main blockquote".split())
-# Names of parts that are not the article, as words of a class, id or role.
-PART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|crumbs?|"
+# Names of parts that are not the article: a class, id or role that is, begins or ends with such a word.
+WORDS = (
+    r"(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|crumbs?|"
     r"sidebar|side|aside|rail|footer|foot|masthead|header|topbar|toolbar|comments?|commentlist|respond|replies|discussion|disqus|cookies?|consent|gdpr|notices?|"
     r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|more-posts|tags|"
-    r"tagcloud|widget|pagination|pager|search|skip|copyright|legal|disclaimer|contentinfo|complementary|dialog)(?:$|[\s_-])", re.I
+    r"tagcloud|widget|pagination|pager|search|skip|copyright|legal|disclaimer|contentinfo|complementary|dialog)"
 )
+PART = re.compile(rf"{WORDS}(?:$|[_-])|.*[_-]{WORDS}$", re.I | re.S)
+HEADER = re.compile(r"header(?:$|[_-])|.*[_-]header$", re.I | re.S)
+# A class that tells a state of the page or of what it holds is not the name of a part.
+STATE = re.compile(
+    r"(?:has|have|with|without|no|not|non|is|hide|show|shows|enable|disable|supports?|js)[_-]|.*[_-](?:open|opened|closed|on|off|enabled|disabled|active|"
+    r"inactive|visible|hidden|allowed|page|layout|none|collapsed|expanded|fixed|sticky)$", re.I | re.S
+)
+COMMENTS = re.compile(r"(?:.*[_-])?(?:comments?|commentlist|respond|replies|discussion|disqus)(?:$|[_-])", re.I | re.S)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟।]")
 
 
@@ -65,60 +76,113 @@ THRESHOLD = 0.1  # of the page's mean fused ratio
 
 
 class Node:
-    __slots__ = ("path", "text", "block", "region", "heading", "container")
+    __slots__ = ("path", "text", "block", "region", "heading", "container", "marks")
+
+    def __init__(self, path: str, text: str, block: int, region: tuple[int, ...], heading: bool, container: str, marks: tuple["Mark", ...]):
+        self.path, self.text, self.block, self.region, self.heading, self.container, self.marks = path, text, block, region, heading, container, marks
+
 
-    def __init__(self, path: str, text: str, block: int, region: tuple[int, ...], heading: bool, container: str):
-        self.path, self.text, self.block, self.region, self.heading, self.container = path, text, block, region, heading, container
+class Mark:
+    """A marked element: whether it may turn out to hold the page itself, and whether it is named as reader comments."""
 
+    __slots__ = ("wrapper", "comments")
 
-def _marked(name: str, attributes: str, inside_region: bool) -> bool:
+    def __init__(self, wrapper: bool, comments: bool = False):
+        self.wrapper, self.comments = wrapper, comments
+
+
+def _marked(name: str, attributes: str, inside_region: bool) -> Mark | None:
     if name in MARKED:
         # The header of an article holds its title; that of the page does not.
-        return not (name == "header" and inside_region)
+        return None if name == "header" and inside_region else Mark(name in WRAPPERS)
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return None
+    mark = None
     for found in ATTRIBUTE.finditer(attributes):
-        kind, value = (found[1] or "hidden").lower(), next((v for v in found.groups()[1:] if v is not None), "")
-        if kind == "hidden" or kind == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if kind in ("class", "id", "role") and PART.search(value):
-            if not (inside_region and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value, re.I) and not PART.search(re.sub(r"(?i)header", "", value))):
-                return True
-    return False
+        kind, value = found[1].lower(), next((v for v in found.groups()[1:] if v is not None), "")
+        if kind == "hidden" or kind == "aria-hidden" and value.strip().lower() == "true" or kind == "style" and "display:none" in value.replace(" ", "").lower():
+            mark = mark or Mark(True)
+        elif kind in ("class", "id", "role"):
+            parts = [token for token in value.split() if PART.match(token) and not STATE.match(token)]
+            if parts and not (inside_region and all(HEADER.match(token) and not PART.match(re.sub(r"(?i)header", "", token)) for token in parts)):
+                mark = Mark(True, bool(mark and mark.comments) or any(COMMENTS.match(token) for token in parts))
+    return mark
+
+
+def _unmarked(nodes: list[Node]) -> list[Node]:
+    """Nodes outside marked parts; a marked element that holds the page is none.
+
+    It does if no article is outside marked elements and its own articles have more text than is outside, or it has most of
+    the text: four fifths, or more than half and the only title. Reader comments do only if no text is outside. Menus,
+    footers and the like by element never do.
+    """
+    if not any(node.marks for node in nodes):
+        return nodes
+    inside, articles, titled = Counter(), Counter(), set()
+    total = free = 0
+    free_article = free_title = False
+    for node in nodes:
+        if not all(mark.wrapper for mark in node.marks):
+            continue
+        size, title = len(node.text.strip()), "h1" in node.path.split(">")
+        total += size
+        if not node.marks:
+            free += size
+            free_article, free_title = free_article or bool(node.region), free_title or title
+        for mark in node.marks:
+            inside[mark] += size
+            articles[mark] += size if node.region else 0
+            if title:
+                titled.add(mark)
+
+    def page(mark: Mark) -> bool:
+        if not mark.wrapper or free_article or mark.comments and free:
+            return False
+        most = 2 * inside[mark] > total and (inside[mark] >= 4 * free or mark in titled and not free_title)
+        return most or not mark.comments and articles[mark] > free
+
+    pages = {mark for mark in inside if page(mark)}
+    return [node for node in nodes if all(mark in pages for mark in node.marks)]
 
 
 def read_nodes(page: str) -> list[Node]:
     """Text nodes outside marked parts, in page order; with the number of its block and the regions it is in."""
     nodes: list[Node] = []
     names: list[str] = []  # open elements
-    marks: list[bool] = []  # whether at or below a marked part
+    marks: list[tuple[Mark, ...] | None] = [()]  # the marked elements at or above; none where nothing is text
     regions: list[tuple[int, ...]] = [()]
+    line: dict[tuple[Mark, ...], Node] = {}  # the last nodes of the block
     block = region_count = at = 0
     end = len(page)
 
     def push(name: str, attributes: str) -> None:
         nonlocal region_count
-        inside = bool(regions[-1])
-        marks.append((marks[-1] if marks else False) or name in RAW or _marked(name, attributes, inside))
+        above = marks[-1]
+        mark = None if above is None or name in RAW else _marked(name, attributes, bool(regions[-1]))
+        marks.append(None if above is None or name in RAW else (*above, mark) if mark else above)
         names.append(name)
-        if name in REGIONS and not marks[-1]:
+        if name in REGIONS and marks[-1] is not None:
             region_count += 1
             regions.append((*regions[-1], region_count))
         else:
             regions.append(regions[-1])
 
     def pop(to: int) -> None:
-        del names[to:], marks[to:], regions[to + 1 :]
+        del names[to:], marks[to + 1 :], regions[to + 1 :]
 
     def text_at(begin: int, stop: int) -> None:
-        if begin < stop and not (marks and marks[-1]):
-            text = page[begin:stop]
+        text = page[begin:stop]
+        if names and names[-1] == "head" and text.strip():  # text ends a head that was not closed
+            pop(len(names) - 1)
+        if text and marks[-1] is not None:
             if text.strip():
                 cut = next((i for i in range(len(names) - 1, -1, -1) if names[i] not in INLINE), -1)
                 outer = [n for n in names if n not in INLINE]
-                nodes.append(Node(">".join(names), text, block, regions[-1], any(n in HEADINGS for n in names), ">".join(outer[:-1] if cut >= 0 else outer)))
-            elif nodes and nodes[-1].block == block:
-                nodes[-1].text += " "
+                container = ">".join(outer[:-1] if cut >= 0 else outer)
+                nodes.append(Node(">".join(names), text, block, regions[-1], any(n in HEADINGS for n in names), container, marks[-1]))
+                line[marks[-1]] = nodes[-1]
+            elif marks[-1] in line:
+                line[marks[-1]].text += " "
 
     while at < end:
         found = TOKEN.search(page, at)
@@ -132,8 +196,10 @@ def read_nodes(page: str) -> list[Node]:
             continue
         if name not in INLINE:
             block += 1
-        elif name == "br" and nodes and nodes[-1].block == block:
-            nodes[-1].text += " "
+            line.clear()
+        elif name == "br":
+            for node in line.values():
+                node.text += " "
         if found[1]:
             if name in names:
                 to = len(names) - 1 - names[::-1].index(name)
@@ -141,6 +207,8 @@ def read_nodes(page: str) -> list[Node]:
                 if name not in INLINE or all(n in INLINE for n in names[to:]):
                     pop(to)
             continue
+        if names and names[-1] == "head" and name not in IN_HEAD:  # its end tag may be left out
+            pop(len(names) - 1)
         if name not in INLINE and "p" in names:
             to = len(names) - 1 - names[::-1].index("p")
             if not any(n in SCOPES for n in names[to:]):
@@ -162,7 +230,7 @@ def read_nodes(page: str) -> list[Node]:
             at = close.end() if close else end
             continue
         push(name, found[3])
-    return nodes
+    return _unmarked(nodes)
 
 
 def _smoothed(values: np.ndarray, radius: int = 1) -> np.ndarray:

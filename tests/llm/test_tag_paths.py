@@ -62,6 +62,30 @@ def test_all_content_paths_count():
     assert main_text(f"<body><h1>T</h1><div><p>{LONG}</p></div></body>") == f"T\n{LONG}"
 
 
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+@pytest.mark.parametrize("wrapper", [
+    'div class="has-sidebar"', 'div class="page-header"', 'div id="x" class="wide comments-open"', 'div aria-hidden="false"', 'div title="the hidden valley"',
+    'div data-id="related"', 'div data-class="menu"', "form", 'div id="sidebar-layout"', 'div class="widget"', "fieldset",
+])
+def test_a_marked_wrapper_is_the_page(wrapper, inner):
+    page = f"<body><nav><a href=/>Home</a></nav><{wrapper}><div class='ad'>Buy it.</div><{inner}><h1>T</h1><p>{LONG}</p></{inner}></{wrapper.split()[0]}></body>"
+    assert main_text(page) == f"T\n{LONG}"
+
+
+def test_a_part_stays_a_part():
+    """Long ones too, where the article is outside."""
+    for part in (f'<div class="ad">{LONG * 9}</div>', f"<form>{LONG * 9}</form>", f'<section id="comments"><article>{LONG * 9}</article></section>', f"<p hidden>{LONG * 9}"):
+        assert main_text(f"<body><article><h1>T</h1><p>{LONG}</p></article>{part}</body>") == f"T\n{LONG}"
+    assert main_text(f'<div><p>{LONG}</p></div><div class="comments"><article>{LONG * 9}</article></div>') == LONG
+    assert main_text(f'<article><p>{LONG}</p><p class="cookie-notice">{LONG}</p><p aria-hidden=true>{LONG}</p></article>') == LONG
+
+
+def test_a_head_without_end():
+    for start in ("<body>", "", "<div>"):
+        assert main_text(f"<html><head><meta charset=utf-8><title>T</title><style>p {{}}</style>{start}<p>{LONG}</p>") == LONG
+    assert main_text(f"<head><title>T</title>{LONG}") == LONG
+
+
 def test_all_articles_count():
     parts = "".join(f"<article><h2>{i}</h2><p>{LONG}</p></article>" for i in range(3))
     want = [x for i in range(3) for x in (str(i), LONG)]
