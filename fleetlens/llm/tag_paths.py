@@ -4,8 +4,8 @@ A page is read into text nodes, each with the path of open elements above it. Pe
 summed over all its nodes and divided by their number: the path's ratios. The fused ratio, length times punctuation, is
 smoothed along the page with a Gaussian and compared with a threshold from its mean; a path is content if its nodes pass
 with most of their text. The home of the text is the deepest container that holds all of the content, or what its articles
-share if they hold most of it. In it all paths count that are content, headings, or below such; in an article also
-others, but for blocks of links alone.
+share if they hold most of it. In it all paths count that are content, headings, or below such; in an article blocks with
+a node of such a path, whatever its formatting, and pieces of lists, tables, quotations and programs that are not links.
 Nodes below menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments have no ratio at all: their paths are marked by element or by class,
 id or role, unless such an element holds the page itself.
@@ -45,6 +45,7 @@ WRAPPERS = frozenset("form fieldset header".split())  # of the marked ones, thos
 IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article main".split())
+PIECES = frozenset("li dt dd th td caption figcaption blockquote pre".split())  # short ones are text of an article too
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -258,14 +259,17 @@ def select(nodes: list[Node]) -> list[Node]:
     held = [place for place, good in zip(places, content) if good and place]
     if 2 * sum((chars * content)[[bool(place) for place in places]]) >= sum(chars * content):
         home = commonprefix(held)
-        only_links: dict[int, bool] = {}
-        for node, good in zip(nodes, content):
-            link = "a" in node.path.split(">") and not good and not node.heading
-            only_links[node.block] = only_links.get(node.block, True) and link
+        # A block is kept whole: for content, also of its path with other formatting, as a heading or piece; not for links.
+        outer = [tuple(n for n in node.path.split(">") if n not in INLINE) for node in nodes]
+        related = {path for path, good in zip(outer, content) if good}
+        kept: dict[int, bool] = {}
+        for node, path, good in zip(nodes, outer, content):
+            plain = "a" not in node.path.split(">") and (path in related or not PIECES.isdisjoint(path))
+            kept[node.block] = kept.get(node.block, False) or good or node.heading or plain
         # A title may stand above the article, in a region around it.
         return [
             node for node in nodes
-            if node.region and node.region[: len(home)] == home and not only_links[node.block]
+            if node.region and node.region[: len(home)] == home and kept[node.block]
             or node.region and node.region == home[: len(node.region)] and "h1" in node.path.split(">")
         ]
     places = [tuple(node.container.split(">")) if node.container else () for node in nodes]

@@ -94,6 +94,18 @@ def test_all_articles_count():
     assert main_text(f"<article><p>Small.</p></article><div><p>{LONG}</p>{LIST}</div>").split("\n") == ["Small.", LONG, *ITEMS]
 
 
+def test_the_threshold_decides_in_an_article():
+    text = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    prompt = "<div>" + "".join(f"<div><span>{word}</span></div>" for word in "Like Send Print Save Tell Post".split()) + "</div>"
+    for tag in ("article", "main"):
+        assert main_text(f"<{tag}><h1>T</h1>{text}{prompt}{text}</{tag}>").split("\n") == ["T"] + [LONG] * 8
+        assert main_text(f"<{tag}><h1>T</h1>{text}{prompt}<h2>U</h2>{text}</{tag}>").split("\n") == ["T"] + [LONG] * 4 + ["U"] + [LONG] * 4
+    eggs = "".join(f"<li>{n} eggs</li>" for n in range(6))
+    links = "".join(f"<li><a href=/{n}>{n}</a></li>" for n in range(6))
+    assert main_text(f"<article>{text}<ul>{eggs}</ul>{text}<ul>{links}</ul></article>").split("\n") == [LONG] * 4 + [f"{n} eggs" for n in range(6)] + [LONG] * 4
+    assert main_text(f"<article>{text}<p>See <a href=/x>this</a> <i>too</i></p></article>").split("\n") == [LONG] * 4 + ["See this too"]
+
+
 def test_columns_and_nulls(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "old", 5), (None, None, None, None, None), (1, "u", f"<article><p>{LONG}</p></article>", "old", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
