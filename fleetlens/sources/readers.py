@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -28,11 +27,14 @@ def _read(spark: SparkSession, path: Paths, schema: T.StructType, fmt: str) -> D
 
 
 def _carried(spark: SparkSession, path: Paths, fmt: str) -> set[str]:
-    """Names of the fields of a dump: of its files' schema, or of the first JSON record."""
+    """Which fields of ORIGIN any record of a dump has; of Parquet and ORC, any file.
+
+    JSON is read up to the first record with the field, as writers leave null fields out; without one it is read once more.
+    """
     if fmt != "json":
-        return set(spark.read.format(fmt).load(path).columns)
-    first = spark.read.text(path).select("value").limit(1).collect()
-    return set(json.loads(first[0].value)) if first and first[0].value else set()
+        return set(spark.read.format(fmt).option("mergeSchema", True).load(path).columns)
+    records = spark.read.text(path).select(F.json_object_keys("value").alias("keys"))
+    return {name for name in ORIGIN.names if records.where(F.array_contains("keys", name)).limit(1).collect()}
 
 
 def _dump(spark: SparkSession, path: Paths, schema: T.StructType, fmt: str, region: str | None) -> DataFrame:

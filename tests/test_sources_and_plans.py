@@ -323,6 +323,28 @@ def test_region_and_time_of_fetching_survive_the_readers(spark, tmp_path):
     assert {(r.region, r.identifier) for r in readers.read_instances(spark, str(folders)).collect()} == {("eu", "eu1"), ("us", "us1")}
 
 
+def test_records_may_lack_region_and_time_of_fetching(spark, tmp_path):
+    def entry(name, **origin):
+        return {**origin, "resource_id": name, "Metrics": metrics(("db.Q", "text", "N"))}
+
+    raw = readers.read_catalogue(spark, dump(tmp_path / "c", [entry("db-1"), entry("db-2", region="eu"), entry("db-3", region="us", fetched_at_us=10)]))
+    assert {(r.resource_id, r.region, r.seen_at_us) for r in raw.collect()} == {("db-1", None, None), ("db-2", "eu", None), ("db-3", "us", 10)}
+    points = readers.read_datapoints(spark, dump(tmp_path / "p", [series("db-1", "db.Q.avg", [(NOW, 1.0)]), {"region": "eu", **series("db-1", "db.Q.avg", [(NOW, 2.0)])}]))
+    assert {(r.region, r.value) for r in points.collect()} == {(None, 1.0), ("eu", 2.0)}
+    flat = readers.read_instances(spark, dump(tmp_path / "i", [instance("a"), {"region": "eu", "fetched_at_us": 7, **instance("b")}]))
+    assert {(r.identifier, r.region, r.fetched_at_us) for r in flat.collect()} == {("a", None, None), ("b", "eu", 7)}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_files_may_lack_region_and_time_of_fetching(spark, tmp_path, fmt):
+    path = [str(tmp_path / "a"), str(tmp_path / "b")]
+    digests = spark.range(1).selectExpr("'db-1' AS resource_id", "'q' AS digest")
+    digests.write.format(fmt).save(path[0])
+    digests.selectExpr("*", "'eu' AS region", "7L AS fetched_at_us").write.format(fmt).save(path[1])
+    got = readers.read_mysql_digests(spark, path, fmt)
+    assert sorted((r.region or "", r.fetched_at_us or 0) for r in got.collect()) == [("", 0), ("eu", 7)]
+
+
 def test_statement_snapshots_of_one_instance(spark, tmp_path):
     path = str(tmp_path / "view")
     spark.sql("SELECT 1L AS queryid, 'SELECT 1' AS query, 2L AS calls, 3.0D AS mean_exec_time, 0.0D AS blk_read_time, 0.0D AS blk_write_time, 4L AS rows").write.parquet(path)
