@@ -5,7 +5,7 @@ are tied by transition weights. Forward and backward sums give the chance that a
 line length, is the document's raw quality, and a logistic curve fitted on the training documents turns it into a score.
 
 Training reads a bounded sample: ``SAMPLE_A_CLASS`` documents of each label, the smallest by a hash of the id, and of
-each at most ``SAMPLE_LINES`` lines in a row, from a place that the hash picks. Everything else reads all lines of all
+each at most ``SAMPLE_LINES`` lines in a row, from a place that the hash picks. The curve and all else read all lines of all
 texts. Labels, ids, language and source are never features.
 
 Defined cases: a null or empty text is one empty line; documents without a label are scored and not learnt from; ids with
@@ -154,8 +154,14 @@ def fit(features: np.ndarray, counts: np.ndarray, chars: np.ndarray, labels: np.
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         params = params + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     model = Model(params[:-2] / scale[:, None], params[-2:], 1.0, 0.0)
-    raw = model.raw(features, counts, chars) - 0.5
-    text_weight = text_weight * np.array(shares)[labels] / sum(shares) * 2
+    return calibrated(model, model.raw(features, counts, chars), labels, shares)
+
+
+def calibrated(model: Model, raw: np.ndarray, labels: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """The model with the logistic curve of these raw scores."""
+    by_class = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)])
+    text_weight = by_class[labels] * len(labels) * np.array(shares)[labels] / sum(shares) * 2
+    raw = raw - 0.5
     slope, offset = 8.0, 0.0
     for _ in range(50):  # Newton steps of a penalised logistic fit
         p = 1 / (1 + np.exp(-(slope * raw + offset)))
@@ -189,11 +195,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             for piece in slices(batch, "text"):
                 found, counts, chars = line_features(piece.column("text").to_pylist())
                 begins = np.cumsum(counts) - counts
-                rows = {"doc_id": piece.column("doc_id"), "quality": piece.column("quality"), "n": [], "features": [], "chars": []}
+                rows = {"doc_id": piece.column("doc_id"), "quality": piece.column("quality"), "n": [], "cut": [], "features": [], "chars": []}
                 for begin, count, doc_id in zip(begins.tolist(), counts.tolist(), piece.column("doc_id").to_pylist()):
                     take = min(count, SAMPLE_LINES)
                     begin += (doc_id * 2654435761) % (count - take + 1)
                     rows["n"].append(take)
+                    rows["cut"].append(take < count)
                     rows["features"].append(found[begin : begin + take].astype("<f4").tobytes())
                     rows["chars"].append(chars[begin : begin + take].astype("<f4").tobytes())
                 yield pa.RecordBatch.from_pydict(rows | {"n": pa.array(rows["n"], pa.int32()), "features": pa.array(rows["features"], pa.binary()), "chars": pa.array(rows["chars"], pa.binary())})
@@ -202,14 +209,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id"
     )
-    rows = arrow_map(joined.select("doc_id", "quality", "text"), gather, "doc_id long, quality int, n int, features binary, chars binary").collect()
+    rows = arrow_map(joined.select("doc_id", "quality", "text"), gather, "doc_id long, quality int, n int, cut boolean, features binary, chars binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
     labels_of = np.array([r.quality for r in rows], np.int64)
     if len(set(labels_of.tolist())) < 2:
         return None
     features = np.concatenate([np.frombuffer(bytes(r.features), "<f4").reshape(-1, WIDTH) for r in rows]).astype(np.float64)
     chars = np.concatenate([np.frombuffer(bytes(r.chars), "<f4") for r in rows]).astype(np.float64)
-    return fit(features, np.array([r.n for r in rows], np.int64), chars, labels_of, (frequency[0], frequency[1]))
+    shares = (frequency[0], frequency[1])
+    model = fit(features, np.array([r.n for r in rows], np.int64), chars, labels_of, shares)
+    if not any(r.cut for r in rows):
+        return model
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                raw = model.raw(*line_features(piece.column("text").to_pylist()))
+                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "quality": piece.column("quality"), "raw": pa.array(raw, pa.float64())})
+
+    # The weights are those of the windows; the curve is that of whole texts, as these are scored.
+    found = arrow_map(joined.select("doc_id", "quality", "text"), whole, "doc_id long, quality int, raw double").collect()
+    found.sort(key=lambda r: (r.doc_id, r.raw))
+    return calibrated(model, np.array([r.raw for r in found]), np.array([r.quality for r in found], np.int64), shares)
 
 
 def scored(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:

@@ -63,6 +63,21 @@ def test_nasty_rows(spark, nasty, nothing):
     assert line_crf.scored(nothing, model).count() == 0
 
 
+def test_the_curve_is_that_of_whole_texts(spark):
+    """Long texts of mixed lines: their windows have other raw scores."""
+    prose, junk = "The river runs past old houses, and under bridges.\n", "BUY!!! $$$ 111 | x |\n"
+    rows = [(i, (prose * 90 + junk * 30 if i % 2 else junk * 90 + prose * 30) + str(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = line_crf.train(docs, labels)
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    quality = np.array([i % 2 for i, _ in known])
+    shares = ((quality == 0).sum(), (quality == 1).sum())
+    want = line_crf.calibrated(model, model.raw(*line_crf.line_features([t for _, t in known])), quality, shares)
+    assert np.allclose((model.slope, model.offset), (want.slope, want.offset))
+    assert {r.doc_id % 2 == r.predicted for r in line_crf.scored(docs, model).collect()} == {True}
+
+
 def test_without_both_classes_every_score_is_a_half(spark, nasty):
     for rows in ([], [(1, 1)]):
         model = line_crf.train(nasty, spark.createDataFrame(rows, "doc_id long, quality int"))
