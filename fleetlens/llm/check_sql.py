@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetlens.llm import cleaning, mixing
+from fleetlens.llm.check_sql_repair import repair_sql
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,4 +92,5 @@ SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN rank IS NOT
 
 SQL: dict[str, str] = {
     "op1_jaccard_join": JACCARD, "op4_quotations": QUOTATIONS, "op8_line_first": LINE_FIRST, "op10_pareto": PARETO,
+    "op13_block_tables": repair_sql(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, fingerprints, jaccard_join, line_crf, mixing, packing, quotations, sharding, tag_paths, training_order
+from fleetlens.llm import cleaning, fingerprints, jaccard_join, line_crf, mixing, packing, quotations, repair, sharding, tag_paths, training_order
 from fleetlens.llm.check_sql import SQL  # noqa: F401  registered with the queries
 from fleetlens.llm.scratch import Scratch
 
@@ -77,6 +77,10 @@ def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op13_block_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_tag_paths": op2_tag_paths,
@@ -88,5 +92,6 @@ QUERIES: dict[str, Run] = {
     "op8_line_first": op8_line_first,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_pareto": op10_pareto,
+    "op13_block_tables": op13_block_tables,
 }
 
