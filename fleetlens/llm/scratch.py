@@ -23,9 +23,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.base = spark, scratch_dir(spark, purpose)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
