@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,13 +143,13 @@ class Heap:
     def _between(self, low: np.ndarray, high: np.ndarray | None) -> Column:
         """Entries whose key the drift of their cluster has passed since ``low``; without ``high`` all above ``low``."""
 
-        def of(c: int) -> Column:
-            inside = F.col("cluster") == c
-            if np.isfinite(low[c]):
-                inside &= F.col("key") > float(low[c])
-            return inside if high is None else inside & (F.col("key") <= float(high[c]))
+        def of(c: int) -> str:
+            above = f" AND key > {low[c]!r}D" if np.isfinite(low[c]) else ""
+            return f"(cluster = {c}{above}" + (")" if high is None else f" AND key <= {high[c]!r}D)")
 
-        return functools.reduce(operator.or_, [of(c) for c in range(len(self.drift)) if high is None or low[c] < high[c]], F.lit(False))
+        low, high = low.tolist(), None if high is None else high.tolist()
+        parts = [of(c) for c in range(len(low)) if high is None or low[c] < high[c]]
+        return F.expr(" OR ".join(parts) or "false")
 
     def pop(self) -> None:
         """Expired entries of all runs are measured and entered again."""
