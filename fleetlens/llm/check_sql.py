@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fleetlens.llm import cleaning, mixing
 from fleetlens.llm.check_sql_repair import repair_sql
-from fleetlens.llm.check_sql_vectors import centroid_sql
+from fleetlens.llm.check_sql_vectors import centroid_sql, near_sql
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,6 +93,7 @@ SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN rank IS NOT
 
 SQL: dict[str, str] = {
     "op1_jaccard_join": JACCARD, "op4_quotations": QUOTATIONS, "op8_line_first": LINE_FIRST, "op10_pareto": PARETO,
+    "op11_spherical_cells": near_sql(),
     "op12_heap_bounds": centroid_sql(),
     "op13_block_tables": repair_sql(),
 }

@@ -24,3 +24,18 @@ c0 AS MATERIALIZED (SELECT k, v FROM (
 SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
   CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
 FROM a{rounds} a JOIN kept USING (r) JOIN c{rounds} c ON c.k = a.k"""
+
+
+def near_sql(least: float = 0.9) -> str:
+    return f"""
+WITH RECURSIVE x AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+met AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM x a JOIN x b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {least}),
+link AS MATERIALIZED (SELECT a, b FROM met UNION ALL SELECT b, a FROM met),
+reach AS (SELECT a AS id, a AS low FROM link UNION SELECT l.b, r.low FROM reach r JOIN link l ON l.a = r.id WHERE r.low < l.b),
+low AS (SELECT id, min(low) AS low FROM reach GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low.low, vec_id) AS component_id, coalesce(low.low, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN low ON low.id = vec_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import cleaning, fingerprints, heap_kmeans, jaccard_join, line_crf, mixing, packing, quotations, repair, sharding, tag_paths, training_order
+from fleetlens.llm import cleaning, fingerprints, heap_kmeans, jaccard_join, line_crf, mixing, packing, quotations, repair, sharding, spherical, tag_paths, training_order
 from fleetlens.llm.check_sql import SQL  # noqa: F401  registered with the queries
 from fleetlens.llm.scratch import Scratch
 
@@ -77,6 +77,10 @@ def op10_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op12_heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_kmeans.clustered(read(spark, sf_dir, "embeddings"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Run] = {
     "op8_line_first": op8_line_first,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_pareto": op10_pareto,
+    "op11_spherical_cells": op11_spherical_cells,
     "op12_heap_bounds": op12_heap_bounds,
     "op13_block_tables": op13_block_tables,
 }
