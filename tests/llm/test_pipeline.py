@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from fleetlens.llm import cleaning, line_crf
 from fleetlens.llm.scratch import Scratch
-from fleetlens.llm.tokens import encode
+from fleetlens.llm.tokens import VOCABULARY, _exact, encode
 from fleetlens.llm.shingles import words
 
 FOLDER = "/root/testdata/sf0.01"
@@ -120,10 +120,26 @@ def test_nasty_rows_and_nothing(spark, nasty, nothing):
             assert name == "rows" or made.count() == 0
     groups = corpus_pipeline.deduplicate(spark, nasty, FOLDER).collect()
     ids = [r.doc_id for r in groups if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 2 not in ids and 4 not in ids and sum(r.doc_id is None for r in groups) == 2
+    assert sorted(ids) == [1, 3, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 15] and sum(r.doc_id is None for r in groups) == 2
+
+
+def test_rows_of_one_id_and_rows_without_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (None, a), (None, a), (None, "c " + b[:40]), (None, None), (None, None), (3, b)]
+    kept = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), FOLDER).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, a), (1, b), (None, "c " + b[:40]), (None, None), (None, None)])
+
+
+def test_a_million_blanks_are_packed(spark):
+    rows = [(1, " " * 1_000_000 + "a"), (2, "a\t" + "\n" * 1_000_000), (3, "x" * 300_000), (4, "\t" * 1_000_000 + "b c")]
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == {i: len(_exact(VOCABULARY).encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
 
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
