@@ -96,17 +96,10 @@ def src_5(spark, d):
     return readers.read_mysql_digests(spark, I.dumped(_twice(I.fx_mysql_digests(spark, d)), "src-5", "parquet", "region"))
 
 
-@query("src_6", 'SELECT \'south\' AS region, \'db-1\' AS resource_id, queryid, query, calls, mean_exec_time, blk_read_time, blk_write_time, "rows" FROM fx_pg_statements WHERE resource_id = \'db-1\'', "fx_pg_statements")
+@query("src_6", "SELECT region, f.* FROM fx_pg_statements f CROSS JOIN " + TWICE, "fx_pg_statements")
 def src_6(spark, d):
-    """What a system view gives: the instance is named by the caller."""
-    one = I.fx_pg_statements(spark, d).filter("resource_id = 'db-1'").drop("resource_id")
-    return readers.read_pg_statements(spark, I.dumped(one, "src-6", "parquet"), region="south", resource_id="db-1")
-
-
-@query("src_6_all", "SELECT region, f.* FROM fx_pg_statements f CROSS JOIN " + TWICE, "fx_pg_statements")
-def src_6_all(spark, d):
-    """Statements of all instances, named by a column."""
-    return readers.read_pg_statements(spark, I.dumped(_twice(I.fx_pg_statements(spark, d)), "src-6-all", "parquet", "region"))
+    """Statements of all instances, named by a column (a single system view's instance is named by the caller)."""
+    return readers.read_pg_statements(spark, I.dumped(_twice(I.fx_pg_statements(spark, d)), "src-6", "parquet", "region"))
 
 
 @query("snk_1", "SELECT *, CASE WHEN ts_us IS NULL THEN 'undated' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%d') END AS ds FROM exposition", "exposition")

@@ -35,8 +35,14 @@ def test_entry(spark):
 
 
 def test_all_instances_are_read(spark):
-    """The narrower forms beside them name one instance, or leave some out."""
-    got = entry.queries()["src_6_all"](spark, SF_DIR)
+    got = entry.queries()["src_6"](spark, SF_DIR)
     assert got.select("resource_id").distinct().count() == inputs.fx_pg_statements(spark, SF_DIR).select("resource_id").distinct().count() > 1
-    got = entry.queries()["jn_12_rows_all"](spark, SF_DIR)
-    assert got.count() == inputs.fx_instances(spark, SF_DIR).count() > got.filter("NOT resource_id LIKE '%7'").count()
+    got = entry.queries()["jn_12_rows"](spark, SF_DIR)
+    assert got.count() == inputs.fx_instances(spark, SF_DIR).count()
+
+
+def test_one_system_view_is_named_by_the_caller(spark, tmp_path):
+    one = inputs.fx_pg_statements(spark, SF_DIR).filter("resource_id = 'db-1'").drop("resource_id")
+    one.write.parquet(str(tmp_path / "view"))
+    got = readers.read_pg_statements(spark, str(tmp_path / "view"), region="south", resource_id="db-1")
+    assert got.count() == one.count() > 0 and [tuple(r) for r in got.select("region", "resource_id").distinct().collect()] == [("south", "db-1")]
