@@ -11,6 +11,7 @@ from fleetlens.operators import aggregates as agg, lookups, predicates as pred,
 from fleetlens.operators.asof import Grid, instant, over_grid, snapshot_at, usable_snapshots
 from fleetlens.operators.latest import latest_n, latest_valid, latest_with_interval
 from fleetlens.operators.ranking import oldest_instances, top_n_per_group
+from fleetlens.operators.rule_index import indexed_ttl
 from fleetlens.operators.rules import pattern_filter, pattern_ttl, select_statistics
 from fleetlens.plans import catalogue as cat, collection, dimensions, inventory, scrape, statements as st
 from fleetlens.plans.dashboards import BOARDS, dashboard
@@ -150,6 +151,24 @@ def jn_4(spark, d):
     return I.fx_datapoints(spark, d).select("pos", "metric", pattern_ttl(F.col("metric"), I.TTL_RULES).alias("ttl_us"))
 
 
+# Rules and names as data: a rule per part, a name per order.
+RULE_TABLE = """SELECT p_partkey AS ordinal, CASE p_partkey % 5 WHEN 0 THEN concat('^db[.]c', p_partkey, '[.]') WHEN 1 THEN concat('[.]c', p_partkey, '[.](low|high)')
+  WHEN 2 THEN concat('c', p_partkey, '.*[.]urgent[.]avg$') WHEN 3 THEN concat('^db[.]c[0-9]+', p_partkey % 100, '[.]med.*avg') ELSE concat('c', p_partkey % 50, '[0-9]?[.](medium|low)') END AS pattern,
+  (p_partkey % 7) * 60000000 AS ttl_us FROM part"""
+NAME_TABLE = "SELECT o_orderkey, concat('db.c', o_custkey, '.', lower(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g')), '.avg') AS metric FROM orders"
+
+
+@query("jn_4_rules", f"""WITH r AS ({RULE_TABLE}), n AS ({NAME_TABLE}), d AS (SELECT DISTINCT metric FROM n),
+  t AS (SELECT metric, arg_min(ttl_us, ordinal) AS ttl_us FROM d JOIN r ON regexp_matches(metric, pattern) GROUP BY metric)
+SELECT o_orderkey, metric, CAST(coalesce(ttl_us, 0) AS BIGINT) AS pattern_ttl_us FROM n LEFT JOIN t USING (metric)""")
+def jn_4_rules(spark, d):
+    """As many rules as parts, as many names as orders have."""
+    rules = spark.sql(RULE_TABLE.replace("FROM part", "FROM {part}"), part=I.table(spark, d, "part"))
+    kind = F.lower(F.regexp_replace("o_orderpriority", "[^A-Z]", ""))
+    names = I.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("db.c"), F.col("o_custkey").cast("string"), F.lit("."), kind, F.lit(".avg")).alias("metric"))
+    return indexed_ttl(names, rules)
+
+
 @query("jn_5", "SELECT resource_id, cluster_identifier, top_n FROM policied", "policied")
 def jn_5(spark, d):
     return lookups.policy_for_clusters(X.fleet(spark, d), I.policy(spark), ["top_n"]).select("resource_id", "cluster_identifier", "top_n")
