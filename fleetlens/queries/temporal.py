@@ -18,7 +18,7 @@ from fleetlens.queries.registry import query
 from fleetlens.schemas import COUNTER_LABELS
 from fleetlens.session import materialize, scratch_dir
 from fleetlens.sources import readers
-from fleetlens.streaming import aggregates as stream_agg, changes, replay as stream_replay
+from fleetlens.streaming import aggregates as stream_agg, changes, replay as stream_replay, store as stream_store, upserts
 
 NOW, START = I.NOW_US, I.START_US
 KEYS = ["resource_id", "metric"]
@@ -193,12 +193,31 @@ def st_4_stream(spark, d):
     return _run(spark, "st-4", stream, "append").drop("batch_id")
 
 
+@query("st_5_stream", f"""SELECT resource_id, metric, value, ts_us, expires_at_us, 'expired' AS reason FROM (
+  SELECT *, ts_us + {S.ttl('metric')} AS expires_at_us, lead(ts_us) OVER (PARTITION BY resource_id, metric ORDER BY ts_us, pos) AS next_us FROM valid_points)
+WHERE expires_at_us > ts_us AND (next_us IS NULL OR next_us > expires_at_us)""", "valid_points")
+def st_5_stream(spark, d):
+    """What leaves the store for good: points that no newer point of their series replaced in time."""
+    with stream_store.state_with_timers(spark):
+        stream = stream_store.evictions(_stream(spark, d), I.TTL_RULES, "10 minutes", shards=64)
+        return _run(spark, "st-5", stream, "append").drop("batch_id", "at_us")
+
+
 @query("st_7_stream", ARRIVALS, "valid_points")
 def st_7_stream(spark, d):
     stream = stream_agg.latest_arrival(_arrivals(_stream(spark, d)), KEYS)
     return changes.current(_run(spark, "st-7", stream), KEYS)
 
 
+@query("st_7_table", ARRIVALS, "valid_points")
+def st_7_table(spark, d):
+    """The same as a table that each micro-batch rewrites where its series lie; no state is kept."""
+    stream, path = _arrivals(_stream(spark, d)), scratch_dir(spark, "st-7-table")
+    table = upserts.LatestTable(spark, f"{path}/table", stream.schema, KEYS, buckets=16)
+    changes.run_batches(stream, path, table.write)
+    return table.read().filter(F.col("resource_id") != CLOSING).select(*KEYS, "arrival_seq", "ts_us", "value")
+
+
 @query("st_9_stream", SLIDING, "valid_points")
 def st_9_stream(spark, d):
     stream = stream_agg.sliding(_stream(spark, d), "180 seconds", "60 seconds", "1 hour")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -16,18 +16,19 @@ def append_changes(path: str):
     return write
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str = "update") -> None:
+def run_batches(stream: DataFrame, path: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process everything that is there, in as many micro-batches as the source is read in, and stop."""
     query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(append_changes(f"{path}/changes"))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def run_to_end(stream: DataFrame, path: str, mode: str = "update") -> None:
+    run_batches(stream, path, append_changes(f"{path}/changes"), mode)
+
+
 def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(with_batch).parquet(f"{path}/changes")
