@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from fleetlens.streaming import changes
 from fleetlens.streaming.upserts import LatestTable
 
-SCHEMA = T.StructType.fromDDL("resource_id string, metric string, arrival_seq long, value double")
+SCHEMA = T.StructType().add("resource_id", "string").add("metric", "string").add("arrival_seq", "long").add("value", "double")
 KEYS = ["resource_id", "metric"]
 
 
