@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fleetlens.functions.metrics import split_metric
 from fleetlens.operators.keys import INSTANCE_KEY, SERIES_KEY, present
@@ -101,6 +101,13 @@ def collection_statistics(split: DataFrame) -> DataFrame:
     )
 
 
+def observe_collection(split: DataFrame, observation: Observation) -> DataFrame:
+    """``lookups.split_fresh`` as it is; requested, served and missing series of the run come with its action."""
+    return split.observe(
+        observation, F.count(F.lit(1)).alias("requested"), F.count_if("is_hit").alias("hits"), F.count_if(~F.col("is_hit")).alias("misses")
+    )
+
+
 def point_statistics(points: DataFrame) -> DataFrame:
     """Datapoints, valid datapoints and series per instance.
 

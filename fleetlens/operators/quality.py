@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fleetlens.operators.keys import SERIES_KEY, present, shared
 from fleetlens.operators.lookups import with_base
@@ -58,3 +58,14 @@ def require_reject_share(rejects: int, total: int, limit: float) -> None:
     """Fail a job only when too much was rejected."""
     if total and rejects / total > limit:
         raise ValueError(f"{rejects} of {total} rows rejected, more than {limit:.2%}")
+
+
+def observe_rejects(rows: DataFrame, observation: Observation, rejected: Column) -> DataFrame:
+    """``rows`` as they are; how many there were and how many are rejected comes with the action that runs the plan."""
+    return rows.observe(observation, F.count(F.lit(1)).alias("total"), F.count_if(rejected).alias("rejects"))
+
+
+def require_observed_share(observation: Observation, limit: float) -> None:
+    """``require_reject_share`` after the action, without a second scan."""
+    seen = observation.get
+    require_reject_share(seen["rejects"], seen["total"], limit)

@@ -228,7 +228,10 @@ def fx_board(spark: SparkSession, sf_dir: str, since_us: int | None = None, unti
 
 def dumped(df: DataFrame, purpose: str, fmt: str, *folders: str) -> str:
     """Write raw records as a dump, with folders by the columns named; the path."""
-    path = scratch_dir(df.sparkSession, purpose)
+    return written(df, scratch_dir(df.sparkSession, purpose), fmt, *folders)
+
+
+def written(df: DataFrame, path: str, fmt: str, *folders: str) -> str:
     writer = df.write.format(fmt).partitionBy(*folders) if folders else df.write.format(fmt)
     writer.options(**({"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"} if fmt == "json" else {})).save(path)
     return path

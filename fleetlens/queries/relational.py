@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from fleetlens.functions.engines import normalize_engine, statement_family
 from fleetlens.operators import aggregates as agg, lookups, predicates as pred, vector
@@ -17,6 +17,7 @@ from fleetlens.plans import catalogue as cat, collection, dimensions, inventory,
 from fleetlens.plans.dashboards import BOARDS, dashboard
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
+from fleetlens.session import materialize
 from fleetlens.sources import readers
 from fleetlens.schemas import COUNTER_LABELS, EXPOSITION, STATEMENT_LABELS
 
@@ -337,6 +338,17 @@ def ag_9(spark, d):
     return agg.collection_statistics(lookups.split_fresh(_requested(spark, d), _fresh(spark, d), ["resource_id", "metric"], NOW))
 
 
+@query("ag_9_run", f"""SELECT count(*) AS requested, count(*) FILTER (f.resource_id IS NOT NULL) AS hits, count(*) FILTER (f.resource_id IS NULL) AS misses,
+  count(*) FILTER (f.resource_id IS NULL) AS fetched FROM {REQUESTED} q LEFT JOIN (SELECT * FROM fresh WHERE NOT expired) f USING (resource_id, metric)""", "catalogue", "fresh")
+def ag_9_run(spark, d):
+    """The misses are stored, to be fetched; the run's numbers come with that write."""
+    run = Observation("collection")
+    split = lookups.split_fresh(_requested(spark, d), _fresh(spark, d), ["resource_id", "metric"], NOW)
+    stored = materialize(agg.observe_collection(split, run).filter(~F.col("is_hit")).select("resource_id", "metric"), "to-fetch")
+    seen = [F.lit(run.get[name]).cast("long").alias(name) for name in ("requested", "hits", "misses")]
+    return stored.agg(F.count(F.lit(1)).alias("fetched")).select(*seen, "fetched")
+
+
 @query("ag_9_points", """SELECT resource_id, count(DISTINCT metric) AS series, count(*) AS points, count(value) AS valid_points
 FROM fx_datapoints GROUP BY resource_id""", "fx_datapoints")
 def ag_9_points(spark, d):

@@ -31,7 +31,7 @@ SELECT region, resource_id, identifier, cluster_identifier, endpoint, port, engi
 def src_1(spark, d):
     """A folder of JSON dumps per region, read in one scan."""
     path = I.dumped(I.raw_instances(spark, d), "src-1", "json", "region")
-    return readers.read_instances(spark, path).select("*", *_tags()).drop("tags")
+    return readers.read_instances(spark, path, origin=["region"]).select("*", *_tags()).drop("tags")
 
 
 # Regions and times of fetching for fixtures that have none: resource ids repeat in both regions.
@@ -52,7 +52,7 @@ TWICE = "(VALUES ('east', CAST({0} AS BIGINT)), ('west', CAST({0} + 3600000000 A
 def src_2(spark, d):
     """JSON records that name their region and time of fetching."""
     path = I.dumped(_twice(I.raw_catalogue(spark, d), fetched=True), "src-2", "json")
-    return readers.read_catalogue(spark, path).withColumn("ordinal", F.col("ordinal") + 1)
+    return readers.read_catalogue(spark, path, origin=["region", "fetched_at_us"]).withColumn("ordinal", F.col("ordinal") + 1)
 
 
 def _responses(df, *keep):
@@ -75,14 +75,14 @@ POINT = """CASE WHEN pos % 23 <> 0 THEN metric END AS metric, CAST(i AS BIGINT)
 def src_3(spark, d):
     """JSON in region folders, both read in one scan."""
     path = I.dumped(_twice(_responses(I.fx_datapoints(spark, d), "resource_id")), "src-3", "json", "region")
-    return readers.read_datapoints(spark, path)
+    return readers.read_datapoints(spark, path, origin=["region"])
 
 
 @query("src_4", f"""SELECT 'north' AS region, resource_id, dim_group, {POINT}, CASE WHEN pos % 23 <> 0 THEN dim_id END AS dim_id,
   CASE WHEN pos % 23 <> 0 THEN dim_text END AS dim_text""" + RESPONSES.format(fx="fx_dim_datapoints"), "fx_dim_datapoints")
 def src_4(spark, d):
     path = I.dumped(_responses(I.dim_points(spark, d), "resource_id", "dim_group"), "src-4", "parquet")
-    flat = readers.read_dim_datapoints(spark, path, "parquet", region="north")
+    flat = readers.read_dim_datapoints(spark, path, "parquet", region="north", origin=[])
 
     def either(a, b):
         return F.coalesce(F.try_element_at("dims", F.lit(a)), F.try_element_at("dims", F.lit(b)))
@@ -93,13 +93,13 @@ def src_4(spark, d):
 
 @query("src_5", "SELECT region, f.* FROM fx_mysql_digests f CROSS JOIN " + TWICE, "fx_mysql_digests")
 def src_5(spark, d):
-    return readers.read_mysql_digests(spark, I.dumped(_twice(I.fx_mysql_digests(spark, d)), "src-5", "parquet", "region"))
+    return readers.read_mysql_digests(spark, I.dumped(_twice(I.fx_mysql_digests(spark, d)), "src-5", "parquet", "region"), origin=["region"])
 
 
 @query("src_6", "SELECT region, f.* FROM fx_pg_statements f CROSS JOIN " + TWICE, "fx_pg_statements")
 def src_6(spark, d):
     """Statements of all instances, named by a column (a single system view's instance is named by the caller)."""
-    return readers.read_pg_statements(spark, I.dumped(_twice(I.fx_pg_statements(spark, d)), "src-6", "parquet", "region"))
+    return readers.read_pg_statements(spark, I.dumped(_twice(I.fx_pg_statements(spark, d)), "src-6", "parquet", "region"), origin=["region"])
 
 
 @query("snk_1", "SELECT *, CASE WHEN ts_us IS NULL THEN 'undated' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%d') END AS ds FROM exposition", "exposition")

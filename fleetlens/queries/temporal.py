@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.metrics import emitted_name
 from fleetlens.operators import freshness as fresh_ops, quality
+from fleetlens.operators.asof import snapshot_at
 from fleetlens.operators.latest import latest_with_interval
 from fleetlens.operators.replay import replay, replay_statistics
 from fleetlens.operators.rules import pattern_ttl
@@ -15,10 +16,10 @@ from fleetlens.operators.windows import sliding
 from fleetlens.plans import catalogue as cat, collection, inventory
 from fleetlens.queries import check_sql as S, frames as X, inputs as I
 from fleetlens.queries.registry import query
-from fleetlens.schemas import COUNTER_LABELS
-from fleetlens.session import materialize, scratch_dir
+from fleetlens.schemas import COUNTER_LABELS, RAW_INSTANCE
+from fleetlens.session import materialize, put_text, scratch_dir
 from fleetlens.sources import readers
-from fleetlens.streaming import aggregates as stream_agg, changes, replay as stream_replay, store as stream_store, upserts
+from fleetlens.streaming import aggregates as stream_agg, changes, replay as stream_replay, snapshots, store as stream_store, upserts
 
 NOW, START = I.NOW_US, I.START_US
 KEYS = ["resource_id", "metric"]
@@ -238,6 +239,25 @@ def st_11(spark, d):
     return changes.current(_run(spark, "st-11", stream_agg.latest(_stream(spark, d))), KEYS)
 
 
+DROPS = (NOW - 7_200_000_000, NOW - 3_600_000_000, NOW)  # the last snapshot is not closed yet
+
+
+@query("src_1_stream", f"""SELECT region, resource_id, identifier, engine_raw, {DROPS[1]} AS fetched_at_us, false AS is_stale FROM flat
+WHERE NOT (region = 'ASIA' AND resource_id LIKE '%5')""", "flat")
+def src_1_stream(spark, d):
+    """Three drops of inventory files; some instances of a region are gone from the second snapshot on."""
+    raw, path = I.raw_instances(spark, d), scratch_dir(spark, "src-1-stream")
+    gone = (F.col("region") == "ASIA") & F.col("DbiResourceId").endswith("5")
+    kept = snapshots.Snapshots(
+        snapshots.read_snapshots(spark, f"{path}/drops/*", RAW_INSTANCE, files_a_batch=4), readers.flatten_instances, ["region"], path, "10 minutes")
+    for number, fetched in enumerate(DROPS):
+        rows = (raw if number == 0 else raw.filter(~gone)).withColumn("fetched_at_us", F.lit(fetched))
+        I.written(rows, f"{path}/drops/{number}", "json")
+        kept.run()
+    found = snapshot_at(kept.read(), ["region"], NOW + 60_000_000, 4_000_000_000)
+    return found.select("region", "resource_id", "identifier", "engine_raw", "fetched_at_us", "is_stale")
+
+
 # ---- data quality --------------------------------------------------------------------------------------
 
 REJECTS = f"""SELECT region, resource_id, identifier, engine_raw, coalesce({S.DEFECT}, CASE WHEN NOT ({S.RULES}) THEN 'filtered_out' END) AS reason FROM flat"""
@@ -293,6 +313,27 @@ def qa_5(spark, d):
     return quality.failure_summary(inventory.instance_rejects(I.flat_instances(spark, d), *I.INSTANCE_RULES), "identifier")
 
 
+BROKEN = "resource_id LIKE '%3'"
+
+
+@query("qa_5_sources", f"""SELECT reason, count(*) AS n, min(record) AS first_record FROM (
+  SELECT CASE WHEN {BROKEN} THEN 'broken_record' ELSE 'read' END AS reason, CASE WHEN {BROKEN} THEN concat('{{"DBInstanceIdentifier":"', identifier, '"') END AS record FROM flat
+  UNION ALL SELECT 'no_readable_record', NULL FROM range(2)) GROUP BY reason""", "flat")
+def qa_5_sources(spark, d):
+    """An inventory in which some records are cut off and two files are no archives, though named so."""
+    flat = I.flat_instances(spark, d)
+    whole = F.to_json(F.struct(F.col("identifier").alias("DBInstanceIdentifier"), F.col("resource_id").alias("DbiResourceId"), F.col("engine_raw").alias("Engine")))
+    cut = F.concat(F.lit('{"DBInstanceIdentifier":"'), "identifier", F.lit('"'))
+    path = scratch_dir(spark, "qa-5")
+    flat.select(F.when(F.expr(BROKEN), cut).otherwise(whole).alias("value")).write.text(path)
+    for number, text in enumerate(("no archive", "neither")):
+        put_text(spark, f"{path}/part-9000{number}.json.gz", text)
+    rejects = readers.source_rejects(spark, path, RAW_INSTANCE)
+    good = readers.read_instances(spark, path, origin=[], tolerant=True)
+    both = rejects.select("reason", "record").unionByName(good.select(F.lit("read").alias("reason"), F.lit(None).cast("string").alias("record")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("first_record"))
+
+
 # ---- replay summary ------------------------------------------------------------------------------------
 
 @query("pl_9", """SELECT resource_id, count(*) AS served, count(*) FILTER (from_store) AS hits, count(*) FILTER (NOT from_store) AS fetches

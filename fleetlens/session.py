@@ -67,6 +67,14 @@ def discard(spark: SparkSession, path: str) -> None:
     location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with this text, wherever the path leads."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(location, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
 @contextlib.contextmanager
 def stored(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
     """``materialize`` for the length of a block: the copy is removed at its end."""

@@ -2,7 +2,7 @@ import json
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Observation, functions as F, types as T
 
 from fleetlens.functions.display import is_valid_prefix
 from fleetlens.operators import lookups, quality, vector
@@ -12,9 +12,11 @@ from fleetlens.plans.catalogue import build_catalogue
 from fleetlens.plans.dimensions import top_load_by_dimension
 from fleetlens.plans.scrape import union_families
 from fleetlens.plans.statements import checked_top_n
+from fleetlens import schemas
 from fleetlens.schemas import COUNTER_LABELS, PG_STATEMENTS
 from fleetlens.session import scratch_dir
 from fleetlens.sources import readers, writers
+from fleetlens.streaming import snapshots
 
 NOW = 1_700_000_000_000_000
 SECOND = 1_000_000
@@ -363,3 +365,81 @@ def test_one_inventory_and_one_catalogue_in_a_scrape(spark):
     rows = frames.exposition(spark, "/root/testdata/sf0.001")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "c_custkey" not in plan  # what the instances are derived from is not read again
+
+
+def test_broken_records_and_files_are_rejects(spark, tmp_path):
+    path = tmp_path / "d"
+    path.mkdir()
+    lines = ['{"resource_id":"db-1","Key":{"Metric":"m.avg"},"DataPoints":[]}', '{"resource_id":"db-2","Key"', "no json", '{"resource_id":"db-3"}']
+    (path / "a.json").write_text("\n".join(lines) + "\n")
+    (path / "b.json.gz").write_bytes(b"\x1f\x8b\x08\x00cut")
+    (path / "c.json").write_text('{"resource_id":"db-4"}\n{"resource_id":"db-5","DataPoints":"x"}\n')
+    (path / "d.json").write_text("")
+    rejects = {(r.file.rsplit("/", 1)[1], r.reason, r.record) for r in readers.source_rejects(spark, str(path), schemas.RAW_DATAPOINTS).collect()}
+    assert rejects == {
+        ("a.json", "broken_record", lines[1]), ("a.json", "broken_record", lines[2]), ("b.json.gz", "no_readable_record", None),
+        ("c.json", "broken_record", '{"resource_id":"db-5","DataPoints":"x"}')}
+    good = readers.read_datapoints(spark, str(path), origin=[], tolerant=True)
+    assert good.count() == good.select("resource_id").count() == 3 and {r.resource_id for r in good.collect()} == {"db-1", "db-3", "db-4"}
+    with pytest.raises(Exception, match="gzip|FAILED_READ_FILE|EOF|header"):
+        readers.read_datapoints(spark, str(path), origin=[]).collect()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_a_truncated_file_is_a_reject(spark, tmp_path, fmt):
+    path = tmp_path / "d"
+    spark.createDataFrame([(f"db-{i}", "d", i) for i in range(40)], "resource_id string, digest string, count_star long").repartition(4).write.format(fmt).save(str(path))
+    files = sorted(path.glob(f"part-*.{'*' if fmt == 'orc' else ''}{fmt}"))
+    cut = files[1].read_bytes()
+    files[1].write_bytes(cut[: len(cut) // 2])
+    (path / f".{files[1].name}.crc").unlink()
+    got = readers.source_rejects(spark, str(path), schemas.MYSQL_DIGESTS, fmt).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.reason) for r in got] == [(files[1].name, "no_readable_record")]
+    rows = readers._dump(spark, str(path), schemas.MYSQL_DIGESTS, fmt, None, [], True)
+    assert rows.count() == 30
+
+
+def test_declared_origins_start_no_job(spark, tmp_path):
+    (tmp_path / "region=eu").mkdir()
+    (tmp_path / "region=eu" / "a.json").write_text('{"DbiResourceId":"db-1","fetched_at_us":5}\n')
+    spark.sparkContext.setJobGroup("plan-only", "plan")
+    flat = readers.read_instances(spark, str(tmp_path), origin=["region", "fetched_at_us"])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")) == []
+    spark.sparkContext.setJobGroup("other", "run")
+    assert [(r.region, r.resource_id, r.fetched_at_us) for r in flat.collect()] == [("eu", "db-1", 5)]
+    with pytest.raises(ValueError, match="colour"):
+        readers.read_instances(spark, str(tmp_path), origin=["colour"])
+
+
+def test_run_metrics_come_with_the_write(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 5 = 0 AS bad").write.parquet(str(tmp_path / "in"))
+    run = Observation("run")
+    observed = quality.observe_rejects(spark.read.parquet(str(tmp_path / "in")), run, F.col("bad")).filter("NOT bad")
+    assert observed._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    observed.write.parquet(str(tmp_path / "out"))
+    assert run.get == {"total": 100, "rejects": 20} and spark.read.parquet(str(tmp_path / "out")).count() == 80
+    quality.require_observed_share(run, 0.2)
+    with pytest.raises(ValueError, match="20 of 100"):
+        quality.require_observed_share(run, 0.19)
+
+
+def test_snapshots_are_used_when_they_are_whole(spark, tmp_path):
+    minute = 60_000_000
+    (tmp_path / "drops").mkdir()
+    taken = snapshots.Snapshots(
+        snapshots.read_snapshots(spark, str(tmp_path / "drops"), schemas.RAW_INSTANCE, files_a_batch=1), readers.flatten_instances, ["region"], str(tmp_path / "t"), "1 minute")
+
+    def drop(name, *records):
+
+        (tmp_path / "drops" / name).write_text("".join(json.dumps(dict(zip(("region", "fetched_at_us", "DbiResourceId"), r))) + "\n" for r in records) + "broken {\n")
+        taken.run()
+        return sorted((r.region or "", r.fetched_at_us, r.resource_id) for r in taken.read().collect())
+
+    first = [("eu", 10 * minute, "a"), ("eu", 10 * minute, "b"), (None, 10 * minute, "c")]
+    assert drop("1.json", *first[:2]) == []
+    assert drop("2.json", first[2]) == []  # the rest of the same snapshot
+    second = [("eu", 20 * minute, "a"), ("us", 15 * minute, "d")]
+    assert drop("3.json", *second) == [("", 10 * minute, "c"), ("eu", 10 * minute, "a"), ("eu", 10 * minute, "b"), ("us", 15 * minute, "d")]
+    assert {r[2] for r in drop("4.json", ("eu", None, "x"))} == {"a", "b", "c", "d"}  # written now, long after: both are closed
+    newest = snapshot_at(taken.read(), ["region"], 60 * minute)
+    assert sorted((r.region or "", r.resource_id) for r in newest.collect() if r.region) == [("eu", "a"), ("us", "d")]
