@@ -19,7 +19,8 @@ from fleetlens.llm.scratch import Scratch, text_or_empty
 
 LOWEST = -(2**63)
 FAN_OUT_BITS = 8  # probes a round puts between two boundaries, as a power of two
-ROWS_A_RUN = 100_000  # rows that one task numbers at once, about
+ROWS_A_RUN = 100_000  # rows that one task puts in order, about
+PLACE_BITS = 33  # of monotonically_increasing_id: the place in the partition
 
 
 @dataclass(frozen=True)
@@ -117,26 +118,25 @@ def shard_of(marks: list[Splitter]) -> Column:
     return number
 
 
-def numbered(rows: DataFrame, group: str, slot: str = "slot") -> DataFrame:
-    """Number the rows of each group from 0 without a gap, in runs that are numbered apart and then moved up.
+def numbered(rows: DataFrame, group: str, scratch: Scratch, slot: str = "slot") -> DataFrame:
+    """Number the rows of each group from 0 without a gap, by (key_hash, key_id).
 
-    A group may hold any share of the rows: a run holds about ``ROWS_A_RUN`` of them. Within a group the order is that
-    of runs, then (key_hash, key_id).
+    Rows are exchanged once, into sorted key ranges of about ``ROWS_A_RUN`` rows. A row's number is its place in its
+    range and the rows of its group in the ranges before. A group may hold any share of the rows: the last part of the
+    key is the number of the row, so that ranges can be cut inside rows of one id and text, and the size of a range
+    decides cost only. ``group`` must not fall as keys rise.
     """
-    most = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    runs = max(1, -(-most // ROWS_A_RUN) * 2) if most > ROWS_A_RUN else 1
-    cell = F.pmod(F.xxhash64("key_hash", "key_id"), F.lit(runs)).cast("int")
-    split = rows.withColumn("run", cell)
-    counts = split.groupBy(group, "run").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(group, "run").orderBy("key_hash", "key_id", "size")
-    ranked = split.withColumn("place", F.row_number().over(within) - 1)
-    return (
-        ranked.join(starts, [group, "run"])
-        .withColumn(slot, (F.col("start") + F.col("place")).cast("long"))
-        .drop("run", "start", "place")
-    )
+    ranges = max(1, -(-rows.count() // ROWS_A_RUN))
+    order = [group, "key_hash", "key_id", "_row"]
+    sorted_rows = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # Of a stored, sorted partition the number of a row is the partition above PLACE_BITS and the place in it below.
+    ranged = scratch.table(sorted_rows.drop("_row").withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    run = F.shiftright("_at", PLACE_BITS)
+    counts = ranged.groupBy(group, run.alias("_run")).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "_run", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_moved"))
+    placed = ranged.withColumn("_run", run).join(starts, [group, "_run"])
+    return placed.withColumn(slot, F.col("_at") + F.col("_moved")).drop("_run", "_at", "_moved")
 
 
 def shard_by_bytes(
@@ -149,5 +149,6 @@ def shard_by_bytes(
     scratch = Scratch(docs.sparkSession, "sharding")
     rows = scratch.table(keyed(docs, id_column, text_column), "keys")
     marks = splitters(rows, shards, tolerance, split_tolerance)
-    placed = numbered(rows.withColumn("shard", shard_of(marks)), "shard")
+    placed = numbered(rows.withColumn("shard", shard_of(marks)), "shard", scratch)
+    scratch.drop("keys")
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")

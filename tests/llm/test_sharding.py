@@ -59,10 +59,23 @@ def test_splitters_count_exactly(spark):
     assert all(abs(b - total * k / 7) <= 58 for k, b in enumerate(below, 1))
 
 
-def test_runs_are_numbered_through(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "ROWS_A_RUN", 10)
+@pytest.mark.parametrize("a_run", [10, 1000])
+def test_slots_follow_the_keys_however_runs_are_cut(spark, monkeypatch, a_run):
+    monkeypatch.setattr(sharding, "ROWS_A_RUN", a_run)
     df, texts = table(spark, [20] * 400, texts={i: "hot" for i in range(300)})
-    check(sharding.shard_by_bytes(df, 4).collect(), texts, 4)
+    rows = sharding.shard_by_bytes(df, 4).collect()
+    check(rows, texts, 4)
+    keys = {r.doc_id: (r.key_hash, r.key_id) for r in sharding.keyed(df).collect()}
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == sorted(keys, key=keys.get)
+
+
+def test_runs_are_cut_inside_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_RUN", 10)
+    df = spark.createDataFrame([(7, "same")] * 200 + [(i, f"other {i}") for i in range(50)], "doc_id long, text string").repartition(3)
+    rows = sharding.shard_by_bytes(df, 2).collect()
+    assert len(rows) == 250 and sum(r.doc_id == 7 for r in rows) >= 200
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
 def test_nasty_rows(spark, nasty, nothing):
