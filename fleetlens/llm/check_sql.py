@@ -31,25 +31,42 @@ def _said(text: str) -> str:
     return f"trim(lower(regexp_replace({text}, '[\\x20\\x09-\\x0D>]+', ' ', 'g')))"
 
 
-# Of a turn: itself and its lines, as they are hashed. Turns quote the two before them, see quotations.as_mail.
+def _quote(text: str, mark: str) -> str:
+    return f"'{mark}' || replace({text}, chr(10), chr(10) || '{mark}')"
+
+
+def _parts(table: str) -> str:
+    """Of a turn: itself and its lines, as they are hashed."""
+    return f"unnest(list_append(string_split({table}, chr(10)), {table}))"
+
+
+# Turns quote the two before them, see quotations.as_mail; a message is its place (turn, null first) and the md5 of its mail.
 QUOTATIONS = f"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE turn IS NOT NULL GROUP BY ALL),
-own AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM t),
-parts AS (SELECT DISTINCT conv_id, turn, {_said('p')} AS said FROM (SELECT conv_id, turn, unnest(list_append(string_split(text, chr(10)), text)) AS p FROM own)),
-written AS (SELECT conv_id, said, min(turn) AS origin FROM parts WHERE said <> '' GROUP BY ALL),
-quoted AS (
-  SELECT p.conv_id, p.turn + 1 AS turn, 1 AS level, said FROM parts p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn + 1
-  UNION SELECT p.conv_id, p.turn + 2, 2, said FROM parts p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn + 2
-    JOIN t m ON m.conv_id = p.conv_id AND m.turn = p.turn + 1),
-votes AS (SELECT q.conv_id, q.turn, w.origin, min(level) AS level, sum(length(said)) AS chars
-  FROM quoted q JOIN written w USING (conv_id, said) WHERE w.origin < q.turn AND said <> '' GROUP BY ALL),
-parents AS (SELECT conv_id, turn, origin AS parent FROM votes
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, origin DESC) = 1),
-tree AS (SELECT conv_id, turn, turn AS root, CAST(0 AS BIGINT) AS depth FROM own o WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.conv_id = o.conv_id AND p.turn = o.turn)
-  UNION ALL SELECT p.conv_id, p.turn, tree.root, tree.depth + 1 FROM tree JOIN parents p ON p.conv_id = tree.conv_id AND p.parent = tree.turn)
-SELECT conv_id, turn, parent AS parent_turn, root AS root_turn, depth,
-  row_number() OVER (PARTITION BY conv_id, root ORDER BY depth, turn) - 1 AS place, o.text
-FROM tree JOIN own o USING (conv_id, turn) LEFT JOIN parents USING (conv_id, turn)"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS text, count(*) AS n_rows FROM conversations GROUP BY ALL),
+quotable AS (SELECT conv_id, turn, min(text) AS text FROM t WHERE turn IS NOT NULL GROUP BY ALL),
+mails AS (SELECT t.*, l.text AS last, b.text AS last_but_one FROM t
+  LEFT JOIN quotable l ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.turn = t.turn - 1
+  LEFT JOIN quotable b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.turn = t.turn - 2),
+own AS (SELECT conv_id, n_rows, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, last, CASE WHEN last IS NOT NULL THEN last_but_one END AS last_but_one,
+  {{'p': coalesce(CAST(turn AS BIGINT), -9223372036854775808), 'c': md5(CASE WHEN last IS NULL THEN '' ELSE 'On Monday the sender wrote:' || chr(10)
+    || CASE WHEN last_but_one IS NULL THEN '' ELSE {_quote('last_but_one', '>> ')} || chr(10) END || {_quote('last', '> ')} || chr(10) || chr(10) END || text)}} AS spot FROM mails),
+written AS (SELECT conv_id, said, min(spot) AS origin FROM (SELECT conv_id, spot, {_said('p')} AS said FROM (SELECT conv_id, spot, {_parts('text')} AS p FROM own))
+  WHERE said <> '' GROUP BY ALL),
+quoted AS (SELECT DISTINCT conv_id, spot, level, {_said('p')} AS said FROM (
+  SELECT conv_id, spot, 1 AS level, {_parts('last')} AS p FROM own WHERE last IS NOT NULL
+  UNION ALL SELECT conv_id, spot, 2, {_parts('last_but_one')} FROM own WHERE last_but_one IS NOT NULL)),
+votes AS (SELECT q.conv_id, q.spot, w.origin, min(level) AS level, sum(length(q.said)) AS chars
+  FROM quoted q JOIN written w ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.said = w.said WHERE w.origin.p < q.spot.p AND q.said <> '' GROUP BY ALL),
+parents AS (SELECT conv_id, spot, origin AS parent FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, spot ORDER BY level, chars DESC, origin DESC) = 1),
+tree AS (SELECT conv_id, spot, spot AS root, CAST(0 AS BIGINT) AS depth FROM own o
+    WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.spot = o.spot)
+  UNION ALL SELECT p.conv_id, p.spot, tree.root, tree.depth + 1 FROM tree JOIN parents p ON p.conv_id IS NOT DISTINCT FROM tree.conv_id AND p.parent = tree.spot)
+SELECT o.conv_id, nullif(o.spot.p, -9223372036854775808) AS turn, o.spot.c AS copy, o.n_rows, nullif(p.parent.p, -9223372036854775808) AS parent_turn, p.parent.c AS parent_copy,
+  nullif(tree.root.p, -9223372036854775808) AS root_turn, tree.root.c AS root_copy, depth,
+  row_number() OVER (PARTITION BY o.conv_id, tree.root ORDER BY depth, o.spot) - 1 AS place, o.text
+FROM tree JOIN own o ON o.conv_id IS NOT DISTINCT FROM tree.conv_id AND o.spot = tree.spot
+  LEFT JOIN parents p ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.spot = o.spot"""
 
 LINE_FAILS = f"""(n > 2 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*\\p{{Lu}}'))
   OR (n >= {cleaning.MANY_WORDS} AND NOT ends_with(line, '.') AND NOT regexp_matches(line, '{cleaning.SENTENCE_END}'))

@@ -38,8 +38,8 @@ def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     mails = quotations.as_mail(read(spark, sf_dir, "conversations"))
     threads = quotations.conversations(mails, scope="conv_id", position="turn")
     return threads.select(
-        F.col("scope").alias("conv_id"), F.col("position").alias("turn"), F.col("parent").alias("parent_turn"),
-        F.col("root").alias("root_turn"), "depth", "place", "text",
+        F.col("scope").alias("conv_id"), F.col("position").alias("turn"), "copy", "n_rows", F.col("parent").alias("parent_turn"), "parent_copy",
+        F.col("root").alias("root_turn"), "root_copy", "depth", "place", "text",
     )
 
 
