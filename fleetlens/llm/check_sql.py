@@ -93,7 +93,8 @@ SELECT base.*, NOT base_failed AND coalesce(lost * {cleaning.MOST_LOST[1]} <= ch
 FROM base LEFT JOIN loss USING (doc_id)"""
 
 PARETO = f"""
-WITH d AS (SELECT doc_id, source, CAST(len({words('text')}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({words('text')}) AS BIGINT) AS size, md5(coalesce(text, '')) AS text_md5,
+  CAST(greatest(strlen(coalesce(text, '')), 1) AS DOUBLE) / {float(mixing.ODDS_BYTES)}::DOUBLE AS odds FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1.0, 2.0, 3.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
 caps AS (SELECT *, source_size * {float(mixing.MOST_COPIES)}::DOUBLE AS cap FROM s),
 levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
@@ -101,9 +102,9 @@ levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(ca
 goals AS (SELECT source, source_size, CASE WHEN cap / weight <= level THEN cap ELSE weight * (arg_min(level, cap / weight) FILTER (cap / weight > level) OVER ()) END AS target FROM levels),
 shares AS (SELECT *, floor(ratio) AS certain, ratio - floor(ratio) AS rest FROM
   (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM goals)),
-ranked AS (SELECT *, CASE WHEN rest > 0 THEN u / (1 - u) / (rest / (1 - rest)) END AS rank FROM (
-  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.certain, g.rest,
-    (CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+ranked AS (SELECT *, CASE WHEN rest > 0 THEN u / (1 - u) / (rest / (1 - rest) * odds) END AS rank FROM (
+  SELECT d.doc_id, d.source, d.size, d.odds, g.source_size, g.target, g.certain, g.rest,
+    (CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_md5), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM d JOIN shares g ON d.source IS NOT DISTINCT FROM g.source)),
 sums AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(size) OVER (PARTITION BY source, rank) AS words FROM ranked)
 SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN rank IS NOT NULL AND 2 * upto - words <= 2 * (rest * source_size) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM sums"""

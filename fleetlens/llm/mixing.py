@@ -2,11 +2,12 @@
 
 Each source has a target in words. A document first gets its certain whole copies; of what remains, a further copy goes
 to the documents of smallest rank, the random odds u / (1 - u) over the inclusion odds p / (1 - p), until the source's
-target is met. u is a hash of seed and id, so reruns agree.
+target is met. u is a hash of seed, id and text, so reruns agree. Inclusion odds are those of the source's remaining share,
+times the document's own ``odds``: ``sized`` sets these by the length of the text, so long documents are likelier.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a null id is hashed as
-the word ``null``; rows of one rank (repeated rows) are taken together or not at all; documents without words take
-nothing. An empty table gives an empty result.
+the word ``null``; rows of one rank (the same id and text) are taken together or not at all; documents without words
+take nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from fleetlens.llm.scratch import Scratch, text_or_empty
 
 MOST_COPIES = 3
 CELLS = 1024  # rank intervals a source's documents are summed in
+ODDS_BYTES = 2048  # the length at which a document's odds are those of its source
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def uniform(seed: int, id_column: Column) -> Column:
-    """A number strictly between 0 and 1, the same for the same id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("null"))))
+def uniform(seed: int, *identity: Column) -> Column:
+    """A number strictly between 0 and 1, the same for the same identity."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(part.cast("string"), F.lit("null")) for part in identity]))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
@@ -61,8 +63,10 @@ def _ranked(docs: DataFrame, sources: DataFrame, seed: int, odds: Column | None)
     """``docs`` with the columns of their source and ``rank``: null where no uncertain copy is to be had."""
     plan = F.broadcast(sources) if _few(sources) else sources
     joined = docs.alias("d").join(plan.withColumnRenamed("source", "_source").alias("s"), F.col("d.source").eqNullSafe(F.col("s._source")), "left").drop("_source")
-    u = uniform(seed, F.col("doc_id"))
-    wanted = F.col("_rest") / (1 - F.col("_rest")) * (F.lit(1.0) if odds is None else odds)
+    u = uniform(seed, *[F.col(name) for name in ("doc_id", "text_md5") if name in docs.columns])
+    if odds is None:
+        odds = F.col("odds") if "odds" in docs.columns else F.lit(1.0)
+    wanted = F.col("_rest") / (1 - F.col("_rest")) * odds
     rank = F.when(F.col("_rest") > 0, u / (1 - u) / wanted)
     return joined.withColumn("_rank", rank).withColumn("_cell", F.floor(F.col("_rank") / (1 + F.col("_rank")) * CELLS).cast("int"))
 
@@ -70,7 +74,8 @@ def _ranked(docs: DataFrame, sources: DataFrame, seed: int, odds: Column | None)
 def plan(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seed: int = 17, odds: Column | None = None) -> DataFrame:
     """One row per source: _certain copies, _rest (the chance of one more), and where the ranks are cut.
 
-    ``sizes``: doc_id, source, size; ``sources``: source, source_size, target. Ranks are summed in cells first; only the
+    ``sizes``: doc_id, source, size and, where documents have them, text_md5 and odds, as ``sized`` gives them; ``sources``:
+    source, source_size, target. Ranks are summed in cells first; only the
     one cell of a source in which its target falls is gone through row by row. Rows of one rank are taken together.
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -99,7 +104,10 @@ def plan(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seed: int = 17,
 
 
 def copies(docs: DataFrame, planned: DataFrame, seed: int = 17, odds: Column | None = None) -> DataFrame:
-    """``docs`` (doc_id, source and any others) with ``copies``, source_size and target; documents are not exchanged."""
+    """``docs`` with ``copies``, source_size and target; documents are not exchanged.
+
+    doc_id, source, text_md5 and odds must be those the plan was made with; other columns are kept.
+    """
     rows = _ranked(docs, planned, seed, odds)
     picked = F.col("_rank").isNotNull() & (
         F.col("_edge").isNull() | (F.col("_cell") < F.col("_edge")) | ((F.col("_cell") == F.col("_edge")) & F.coalesce(F.col("_rank") <= F.col("_cut"), F.lit(False)))
@@ -114,12 +122,18 @@ def _few(sources: DataFrame, most: int = 10_000) -> bool:
     return sources.limit(most + 1).count() <= most
 
 
+def drawn(text: Column) -> tuple[Column, Column]:
+    """``text_md5`` and ``odds`` of a text."""
+    return F.md5(text).alias("text_md5"), (F.greatest(F.octet_length(text), F.lit(1)) / F.lit(float(ODDS_BYTES))).alias("odds")
+
+
 def sized(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    return docs.select("doc_id", "source", word_count(text_or_empty(text_column)).alias("size"))
+    text = text_or_empty(text_column)
+    return docs.select("doc_id", "source", word_count(text).alias("size"), *drawn(text))
 
 
 def plan_by_cycle(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
-    """The plan for documents of (doc_id, source, text) whose sources weigh as the cycle says; and doc_id, source, size."""
+    """The plan for documents of (doc_id, source, text) whose sources weigh as the cycle says; and what ``sized`` gives."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.table(sized(docs), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -130,6 +144,6 @@ def plan_by_cycle(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1,
 def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each document as often as its copies, with the columns of ``docs``."""
     planned, _ = plan_by_cycle(docs, seed)
-    many = copies(docs.select(F.struct("*").alias("_row"), "doc_id", "source"), planned, seed).where("copies > 0")
+    many = copies(docs.select(F.struct("*").alias("_row"), "doc_id", "source", *drawn(text_or_empty())), planned, seed).where("copies > 0")
     once_each = many.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return once_each.select("_row.*").select(*[F.col(f"`{c}`") for c in docs.columns])

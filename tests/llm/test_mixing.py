@@ -77,14 +77,14 @@ def test_odds_favour_documents(spark):
 
 def test_reruns_agree_and_the_mix_repeats(spark, nasty):
     plans = [mixing.plan_by_cycle(nasty.repartition(n), seed=2)[0] for n in (1, 5)]
-    a, b = (sorted(map(str, mixing.copies(nasty.select("doc_id", "source", "text"), p, seed=2).collect())) for p in plans)
+    a, b = (sorted(map(str, mixing.copies(mixing.sized(nasty), p, seed=2).collect())) for p in plans)
     assert a == b
     rows = mixing.repeated(nasty, seed=2)
     assert rows.columns == nasty.columns and dict(rows.dtypes) == dict(nasty.dtypes)
     copies = Counter()
-    for r in mixing.copies(nasty.select("doc_id", "source", "text"), plans[0], seed=2).collect():
-        copies[r.doc_id, r.text] += r.copies
-    assert Counter((r.doc_id, r.text) for r in rows.collect()) == Counter({k: n for k, n in copies.items() if n})
+    for r in mixing.copies(mixing.sized(nasty), plans[0], seed=2).collect():
+        copies[r.doc_id, r.text_md5] += r.copies
+    assert Counter((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()) for r in rows.collect()) == Counter({k: n for k, n in copies.items() if n})
     assert max(copies.values()) <= 6  # three a row, and one row is there twice
 
 
@@ -98,3 +98,21 @@ def test_sources_without_words(spark):
     planned, sizes = mixing.plan_by_cycle(docs)
     got = {r.doc_id: (r.copies * r["size"], r.target) for r in mixing.copies(sizes, planned).collect()}
     assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (3, 3.0)}
+
+
+def test_documents_without_an_id_are_drawn_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(None, s, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 80)))) for s in ("a", "b") for _ in range(1000)]
+    planned, sizes = mixing.plan_by_cycle(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    taken, goal = Counter(), {}
+    for r in mixing.copies(sizes, planned).collect():
+        taken[r.source] += r.copies * r["size"]
+        goal[r.source] = r.target
+    assert goal["a"] < goal["b"] and all(abs(taken[s] - goal[s]) <= 80 for s in goal)
+
+
+def test_long_documents_are_likelier(spark):
+    rows = [(i, "ab"[i >= 2000], " ".join([f"word{i}"] * (200 if i % 2 else 50))) for i in range(4000)]
+    planned, sizes = mixing.plan_by_cycle(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    picked = Counter(r["size"] for r in mixing.copies(sizes, planned).where("source = 'a' and copies = 1").collect())
+    assert picked[200] > 1.2 * picked[50] > 0
