@@ -25,6 +25,8 @@ from fleetlens.llm.shingles import shingle_sets
 BINS = 256
 SHINGLE = 5
 PARTITION_BYTES = 32 << 20
+CELLS_A_RANGE = 4
+WEIGHT_BYTES = 4096  # a text counts once more for each of these when cells are cut
 LOWEST = -(2**63)
 
 
@@ -87,28 +89,47 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, range, tail), in descending order of doc_id within each range, one range after another.
 
-    Ranges are cut by quantiles of the ids. The first row of the range that follows is added to each as its tail (to the
-    last, the first row of all), so every row finds the next one in its own range and the texts are exchanged once. The
-    driver holds the cuts and two keys a range.
+    Cells are cut by quantiles of the ids, weighed by the lengths of their texts; at an id with many rows (or at the missing one) by hashes of the texts too; cells
+    next to each other make a range of about ``PARTITION_BYTES``, a partition of its own. The first row of the range that
+    follows is added to each as its tail (to the last, the first row of all), so every row finds the next one in its own
+    range and the texts are exchanged once. The driver holds the cuts and a key for each of ``CELLS_A_RANGE`` cells a range.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shares = [i / 1024 for i in range(1025)]
-    stats = keyed.agg(F.percentile_approx("key", shares, 10_000).alias("at"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    weighed = keyed.select(size.alias("size"), F.posexplode(F.array_repeat("key", 1 + (size / WEIGHT_BYTES).cast("int"))).alias("time", "key"))
+    stats = weighed.agg(F.percentile_approx("key", shares, 10_000).alias("at"), F.sum(F.when(F.col("time") == 0, F.col("size"))).alias("bytes")).first()
     if stats.at is None:
         return keyed.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("tail"))
-    ranges = max(1, -(-int(stats.bytes or 0) // PARTITION_BYTES))
+    cells = CELLS_A_RANGE * max(1, -(-int(stats.bytes or 0) // PARTITION_BYTES))
     at = np.array(stats.at, dtype=np.float64)
-    cuts = np.unique(np.interp(np.linspace(0, 1024, ranges + 1)[1:-1], np.arange(1025), at).astype(np.int64)) if ranges > 1 else np.empty(0, np.int64)
-
-    def number(keys: np.ndarray) -> np.ndarray:
-        return (len(cuts) - np.searchsorted(cuts, keys, side="right")).astype(np.int32)  # large ids first
+    cuts, times = np.unique(np.interp(np.linspace(0, 1024, cells + 1)[1:-1], np.arange(1025), at).astype(np.int64), return_counts=True)
+    before, steps = np.concatenate([[0], np.cumsum(times)]), np.uint64(2**64 - 1) // times.astype(np.uint64)
+
+    def number(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Cells by (key, hash), the largest first. An id at which several cuts fall is cut by as many hashes."""
+        if not len(cuts):
+            return np.zeros(len(keys), np.int32)
+        found = np.searchsorted(cuts, keys, side="left")
+        place = np.minimum(found, len(cuts) - 1)
+        shifted = hashes.astype(np.int64).view(np.uint64) ^ np.uint64(2**63)
+        among = 1 + np.minimum((shifted // steps[place]).astype(np.int64), times[place] - 1)
+        return (before[-1] - before[found] - np.where(cuts[place] == keys, among, 0)).astype(np.int32)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number(batch.column("key").to_numpy()))], names=["key", "hash", "range"])
-
-    first = arrow_map(keyed.select("key", "hash"), heads, "key long, hash long, range int").groupBy("range").agg(F.max(F.struct("key", "hash")).alias("head"))
-    found = sorted((r.range, r["head"]["key"], r["head"]["hash"]) for r in first.collect())
+            numbers = number(batch.column("key").to_numpy(), batch.column("hash").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=["key", "hash", "bytes", "cell"])
+
+    sized = keyed.select("key", "hash", size.alias("bytes"))
+    counted = arrow_map(sized, heads, "key long, hash long, bytes long, cell int").groupBy("cell")
+    range_of, found, held = np.zeros(before[-1] + 1, np.int32), [], 0
+    for row in sorted(counted.agg(F.max(F.struct("key", "hash")).alias("head"), F.sum("bytes").alias("bytes")).collect()):
+        if not found or held + row.bytes > PARTITION_BYTES:
+            found.append((len(found), row["head"]["key"], row["head"]["hash"]))
+            held = 0
+        held += row.bytes
+        range_of[row.cell] = len(found) - 1
     # The head of each range is the tail of the one before; that of the first range, of the last one.
     tails = {(key, hash_): found[i - 1][0] for i, (_, key, hash_) in enumerate(found)}
     tail_keys = np.array([key for key, _ in tails], np.int64)
@@ -118,7 +139,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             columns = [batch.column(c) for c in ("doc_id", "text", "key", "hash")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(number(keys)), pa.array(np.zeros(len(keys), bool))], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range_of[number(keys, batch.column("hash").to_numpy())]), pa.array(np.zeros(len(keys), bool))], names=names)
             for row in np.flatnonzero(np.isin(keys, tail_keys)):
                 to = tails.get((int(keys[row]), batch.column("hash")[int(row)].as_py()))
                 if to is not None:
@@ -126,7 +147,7 @@ def in_order(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*one, pa.array([to], pa.int32()), pa.array([True])], names=names)
 
     routed = arrow_map(keyed, route, "doc_id long, text string, key long, hash long, range int, tail boolean")
-    return routed.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "tail", F.desc("key"), F.desc("hash"))
+    return routed.repartitionById(max(1, len(found)), F.col("range")).sortWithinPartitions("range", "tail", F.desc("key"), F.desc("hash"))
 
 
 def with_next(docs: DataFrame, shingle: int = SHINGLE, slice_bytes: int = 1_500_000) -> DataFrame:

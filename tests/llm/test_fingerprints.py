@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import fingerprints as fp
 from fleetlens.llm.queries import QUERIES
@@ -90,3 +91,16 @@ def test_nasty_rows(spark, nasty, nothing):
 def test_registered_query(spark):
     got = QUERIES["op6_one_permutation"](spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"] and got.count() == 200
+
+
+def test_ranges_are_partitions_and_cut_inside_an_id(spark, monkeypatch):
+    monkeypatch.setattr(fp, "PARTITION_BYTES", 2000)
+    monkeypatch.setattr(fp, "WEIGHT_BYTES", 50)
+    rows = [(None, f"text number {i} without an id") for i in range(300)] + [(i, f"text {i}") for i in range(300)] + [(7, f"again {i}") for i in range(300)]
+    rows += [(1000 + i, "long " * 300) for i in range(5)]
+    routed = fp.in_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    parts = routed.groupBy(F.spark_partition_id().alias("part"), "range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("tail")).cast("int")).alias("n")).collect()
+    assert len({r.part for r in parts}) == len(parts) == len({r.range for r in parts}) and sum(r.n for r in parts) == len(rows)
+    assert len(parts) > 10 and max(r.bytes for r in parts) < 2 * 2000
+    got = fp.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 300
