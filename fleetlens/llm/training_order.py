@@ -8,7 +8,10 @@ can stop and go on anywhere.
 
 Texts are tokenised once, into a table of compressed blocks in the shared folder. Its counts give N and the number of
 every sequence; the blocks are then dealt to the shards. A task writes under a name of its own attempt and renames the
-file when it is whole, so lost executors leave no half shard. With ``resume`` shards that are whole are not written again.
+file when it is whole, so lost executors leave no half shard. A manifest beside the shards tells key, lengths, ids and a
+digest of the blocks. With ``resume`` and the same manifest, shards that are whole are not written again, though their rows
+are returned; with another one, or without ``resume``, the shards that are there are removed first. As each input partition
+fills up its last sequence, the number of sequences, and with it the digest, depends on how the input is split.
 
 Defined cases: a null or empty text is its end id alone; null ids and repeated rows are kept; the last sequence of a
 partition is filled up with ``pad_id``; an empty table gives no shard and no row; other columns are not read.
@@ -16,6 +19,8 @@ partition is filled up with ``pad_id``; an empty table gives no shard and no row
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +35,8 @@ from fleetlens.llm.tokens import VOCABULARY, encode
 
 END_ID = 50256  # the end-of-text id of the vocabulary
 ROUNDS = 6
+MANIFEST = "_manifest.json"
+SHARD_NAME = re.compile(r"shard-\d{8,}\.bin")
 BLOCK = 64  # sequences compressed together in the table of blocks
 DEALT = 4096  # sequences a task deals to shards at a time
 
@@ -117,6 +124,29 @@ def whole_shards(uri: str, total: int, a_shard: int, stride: int) -> set[int]:
     return {k for k in range(-(-total // a_shard)) if sizes.get(shard_name(k)) == min(a_shard, total - k * a_shard) * stride}
 
 
+def same_manifest(uri: str, manifest: dict) -> bool:
+    from pyarrow import fs
+
+    system, path = _filesystem(uri)
+    if system.get_file_info(f"{path}/{MANIFEST}").type != fs.FileType.File:
+        return False
+    with system.open_input_file(f"{path}/{MANIFEST}") as file:
+        return json.loads(file.read()) == manifest
+
+
+def begin_anew(uri: str, manifest: dict) -> None:
+    """Removes the manifest first, then the shards, and writes the new manifest: a stop between leaves nothing to resume."""
+    from pyarrow import fs
+
+    system, path = _filesystem(uri)
+    system.create_dir(path, recursive=True)
+    names = {f.base_name for f in system.get_file_info(fs.FileSelector(path))}
+    for name in [n for n in names if n == MANIFEST] + [n for n in names if SHARD_NAME.fullmatch(n)]:
+        system.delete_file(f"{path}/{name}")
+    with system.open_output_stream(f"{path}/{MANIFEST}") as stream:
+        stream.write(json.dumps(manifest).encode())
+
+
 def stored_blocks(docs: DataFrame, length: int, kind: np.dtype, vocabulary: str, end_id: int, pad_id: int) -> DataFrame:
     """Rows (part, number, n_tokens, doc_ids, starts, ids): ``BLOCK`` sequences in a row, by input partition."""
 
@@ -148,7 +178,7 @@ def materialise(
     docs: DataFrame, uri: str, key: int, length: int = 2048, shard_bytes: int = 32 << 20, vocabulary: str = VOCABULARY,
     end_id: int = END_ID, pad_id: int = 0, resume: bool = False,
 ) -> DataFrame:
-    """Writes the shards when an action runs on the result, and gives a row per sequence.
+    """Writes the shards when an action runs on the result, and gives a row per sequence, those of resumed shards too.
 
     slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (of its bytes), first_doc_id, first_start (ids of that
     document before the sequence). Ids are little-endian, of two bytes if the vocabulary allows.
@@ -165,7 +195,16 @@ def materialise(
     for part in sorted(counts):
         firsts[part], total = total, total + counts[part]
     order = Permutation(max(1, total), key)
-    done = whole_shards(uri, total, a_shard, stride) if resume else set()
+    # Equal whatever the order of the blocks: sums of hashes, as decimals, which do not overflow.
+    content = F.xxhash64("part", "number", "n_tokens", "doc_ids", "starts", "ids").cast("decimal(38,0)")
+    manifest = {
+        "key": key, "length": length, "sequences": total, "slots_a_shard": a_shard, "bytes_an_id": kind.itemsize, "vocabulary": vocabulary.rsplit("/", 1)[-1],
+        "end_id": end_id, "pad_id": pad_id, "blocks": str(blocks.agg(F.sum(content)).first()[0]),
+    }
+    resumed = resume and same_manifest(uri, manifest)
+    if not resumed:
+        begin_anew(uri, manifest)
+    done = whole_shards(uri, total, a_shard, stride) if resumed else set()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -180,8 +219,6 @@ def materialise(
             by_slot = np.argsort(slots, kind="stable")
             for rows_of in np.split(by_slot, np.flatnonzero(np.diff(shards[by_slot])) + 1):
                 shard = int(shards[rows_of[0]])
-                if shard in done:
-                    continue
                 out["shard"].append(shard)
                 out["slots"].append(slots[rows_of])
                 out["n_tokens"].append(n_tokens[rows_of].astype(np.int32))
@@ -224,10 +261,11 @@ def materialise(
             for row in held:
                 n = len(row["slots"])
                 records[np.array(row["slots"], np.int64) - now * a_shard] = np.frombuffer(expand.decompress(row["ids"]), kind).reshape(n, length)
-            temporary = f"{path}/_writing-{now}-{attempt}"
-            with system.open_output_stream(temporary) as stream:
-                stream.write(records.tobytes())
-            system.move(temporary, f"{path}/{shard_name(now)}")
+            if now not in done:
+                temporary = f"{path}/_writing-{now}-{attempt}"
+                with system.open_output_stream(temporary) as stream:
+                    stream.write(records.tobytes())
+                system.move(temporary, f"{path}/{shard_name(now)}")
             gathered = {name: [v for row in held for v in row[name]] for name in ("n_tokens", "doc_ids", "starts")}
             return pa.RecordBatch.from_pydict({
                 "slot": pa.array(slots[place]), "shard": pa.array(np.full(expected, now, np.int32)),
@@ -248,7 +286,7 @@ def materialise(
             yield whole()
 
     placed = arrow_map(blocks, deal, "shard int, slots array<long>, n_tokens array<int>, doc_ids array<long>, starts array<long>, ids binary")
-    ranged = placed.repartition(max(1, -(-total // a_shard)), "shard").sortWithinPartitions("shard")
+    ranged = placed.repartitionById(max(1, -(-total // a_shard)), F.col("shard")).sortWithinPartitions("shard")
     return arrow_map(ranged, write, "slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long, first_doc_id long, first_start long")
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from fleetlens.llm import training_order as order
 from fleetlens.llm.tokens import encode
@@ -55,14 +56,41 @@ def test_round_trip(spark, tmp_path):
 def test_resume_writes_only_what_is_missing(spark, tmp_path):
     df, uri = rows_of(spark), str(tmp_path / "shards")
     options = dict(key=4, length=128, shard_bytes=40 * 256)
-    order.materialise(df, uri, **options).count()
-    names = sorted(os.listdir(uri))
+    first = sorted(order.materialise(df, uri, **options).collect())
+    names = sorted(n for n in os.listdir(uri) if order.SHARD_NAME.fullmatch(n))
     before = {n: (tmp_path / "shards" / n).read_bytes() for n in names}
     os.remove(f"{uri}/{names[1]}")
     with open(f"{uri}/{names[2]}", "r+b") as file:
         file.truncate(100)
-    again = order.materialise(df, uri, resume=True, **options).collect()
-    assert {r.shard for r in again} == {1, 2} and {n: (tmp_path / "shards" / n).read_bytes() for n in os.listdir(uri)} == before
+    kept = os.stat(f"{uri}/{names[0]}").st_ino
+    again = sorted(order.materialise(df, uri, resume=True, **options).collect())
+    assert again == first and {n: (tmp_path / "shards" / n).read_bytes() for n in names} == before
+    assert os.stat(f"{uri}/{names[0]}").st_ino == kept
+
+
+@pytest.mark.parametrize("change", ["key", "length", "corpus", "fewer"])
+def test_resume_with_another_run_writes_everything_anew(spark, tmp_path, change):
+    df, uri = rows_of(spark), str(tmp_path / "shards")
+    options = dict(key=1, length=128, shard_bytes=40 * 256)
+    order.materialise(df, uri, **options).count()
+    if change == "corpus":
+        df = df.withColumn("text", F.translate("text", "e", "a"))
+    elif change == "fewer":
+        df = df.where("doc_id < 40")
+    else:
+        options |= {"key": 2} if change == "key" else {"length": 64, "shard_bytes": 80 * 128}
+    got = sorted(order.materialise(df, uri, resume=True, **options).collect(), key=lambda r: r.slot)
+    a_shard = options["shard_bytes"] // (2 * options["length"])
+    records = list(order.read_from(uri, 0, options["length"], a_shard))
+    assert [r.slot for r in got] == list(range(len(got))) and [zlib.crc32(r.tobytes()) for r in records] == [r.ids_crc32 for r in got]
+
+
+def test_the_registered_query(spark):
+    from fleetlens.llm import queries
+
+    got = queries.op7_training_order(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) and sum(r.n_tokens for r in got) == sum(len(encode(r.text)) + 1 for r in docs)
 
 
 def test_nasty_rows(spark, nasty, nothing, tmp_path):
