@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -160,38 +161,46 @@ def st_12(spark, d):
 
 # ---- streaming -----------------------------------------------------------------------------------------
 
-FILES = 4
+SLICES = 4
 CLOSING = "db--1"  # the resource of a last point that comes an hour after all others and drives the watermark past them
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The datapoints as a stream of files, one per micro-batch; a tenth of the points come a file late."""
-    events = I.table(spark, d, "events")
-    begin, end = events.agg(F.min("ts"), F.max("ts")).first()
-    span = (end - begin).total_seconds() / FILES + 1
-    part = F.floor(F.timestamp_diff("SECOND", F.lit(begin), F.col("ts").cast("timestamp")) / span) + (F.col("event_id") % 10 == 0).cast("int")
-    path = scratch_dir(spark, "events")
-    for number in range(FILES):
-        events.filter(F.least(part, F.lit(FILES - 1)) == number).coalesce(1).write.mode("append").parquet(path)
-    last = events.limit(1).select(
-        F.lit(1).cast("bigint").alias("event_id"), F.lit(end + timedelta(hours=I.SQUEEZE)).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("bigint").alias("user_id"),
-        "event_type", F.lit(0.0).alias("value"), "props",
-    )
-    last.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(I.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
-    return I.datapoints_of(spark, stream)
-
-
-def _run(spark: SparkSession, name: str, stream: DataFrame, mode: str = "update") -> DataFrame:
+class Feed:
+    """The datapoints as a stream in ``SLICES`` slices of time that arrive one after another; a tenth of the points come a slice late.
+
+    A slice is written by all its tasks, in as many files as they make, and is taken in before the next one is there.
+    """
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.events, self.path = I.table(spark, d, "events"), scratch_dir(spark, "events")
+        self.begin, self.end = self.events.agg(F.min("ts"), F.max("ts")).first()
+        self.points = I.datapoints_of(spark, spark.readStream.schema(I.SCHEMAS["events"]).parquet(f"{self.path}/*"))
+
+    def run(self, take_in: Callable[[], None]) -> None:
+        """Call ``take_in`` after each arrival; the last one drives the watermark past all others."""
+        span = (self.end - self.begin).total_seconds() / SLICES + 1
+        part = F.floor(F.timestamp_diff("SECOND", F.lit(self.begin), F.col("ts").cast("timestamp")) / span) + (F.col("event_id") % 10 == 0).cast("int")
+        slices = [self.events.filter(F.least(part, F.lit(SLICES - 1)) == number) for number in range(SLICES)]
+        closing = self.events.limit(1).select(
+            F.lit(1).cast("bigint").alias("event_id"), F.lit(self.end + timedelta(hours=I.SQUEEZE)).cast("timestamp_ntz").alias("ts"),
+            F.lit(-1).cast("bigint").alias("user_id"), "event_type", F.lit(0.0).alias("value"), "props",
+        )
+        for number, rows in enumerate([*slices, closing]):
+            rows.write.parquet(f"{self.path}/{number}")
+            take_in()
+
+
+def _run(spark: SparkSession, name: str, feed: Feed, stream: DataFrame, mode: str = "update") -> DataFrame:
     path = scratch_dir(spark, name)
-    changes.run_to_end(stream, path, mode)
+    feed.run(lambda: changes.run_to_end(stream, path, mode))
     return changes.read_changes(spark, path, stream.schema).filter(F.col("resource_id") != CLOSING)
 
 
 @query("st_4_stream", "SELECT * FROM served", "served")
 def st_4_stream(spark, d):
-    stream = stream_replay.replay(_stream(spark, d), X.SCRAPES, I.TTL_RULES, "10 minutes", buckets=64)
-    return _run(spark, "st-4", stream, "append").drop("batch_id")
+    feed = Feed(spark, d)
+    stream = stream_replay.replay(feed.points, X.SCRAPES, I.TTL_RULES, "10 minutes", buckets=64)
+    return _run(spark, "st-4", feed, stream, "append").drop("batch_id")
 
 
 @query("st_5_stream", f"""SELECT resource_id, metric, value, ts_us, expires_at_us, 'expired' AS reason FROM (
@@ -199,44 +208,49 @@ def st_4_stream(spark, d):
 WHERE expires_at_us > ts_us AND (next_us IS NULL OR next_us > expires_at_us)""", "valid_points")
 def st_5_stream(spark, d):
     """What leaves the store for good: points that no newer point of their series replaced in time."""
+    feed = Feed(spark, d)
     with stream_store.state_with_timers(spark):
-        stream = stream_store.evictions(_stream(spark, d), I.TTL_RULES, "10 minutes", shards=64)
-        return _run(spark, "st-5", stream, "append").drop("batch_id", "at_us")
+        stream = stream_store.evictions(feed.points, I.TTL_RULES, "10 minutes", shards=64)
+        return _run(spark, "st-5", feed, stream, "append").drop("batch_id", "at_us")
 
 
 @query("st_7_stream", ARRIVALS, "valid_points")
 def st_7_stream(spark, d):
-    stream = stream_agg.latest_arrival(_arrivals(_stream(spark, d)), KEYS)
-    return changes.current(_run(spark, "st-7", stream), KEYS)
+    feed = Feed(spark, d)
+    return changes.current(_run(spark, "st-7", feed, stream_agg.latest_arrival(_arrivals(feed.points), KEYS)), KEYS)
 
 
 @query("st_7_table", ARRIVALS, "valid_points")
 def st_7_table(spark, d):
     """The same as a table that each micro-batch rewrites where its series lie; no state is kept."""
-    stream, path = _arrivals(_stream(spark, d)), scratch_dir(spark, "st-7-table")
+    feed, path = Feed(spark, d), scratch_dir(spark, "st-7-table")
+    stream = _arrivals(feed.points)
     table = upserts.LatestTable(spark, f"{path}/table", stream.schema, KEYS, buckets=16)
-    changes.run_batches(stream, path, table.write)
+    feed.run(lambda: changes.run_batches(stream, path, table.write))
     return table.read().filter(F.col("resource_id") != CLOSING).select(*KEYS, "arrival_seq", "ts_us", "value")
 
 
 @query("st_9_stream", SLIDING, "valid_points")
 def st_9_stream(spark, d):
-    stream = stream_agg.sliding(_stream(spark, d), "180 seconds", "60 seconds", "1 hour")
-    rows = changes.current(_run(spark, "st-9", stream), [*KEYS, "start_us"])
+    feed = Feed(spark, d)
+    stream = stream_agg.sliding(feed.points, "180 seconds", "60 seconds", "1 hour")
+    rows = changes.current(_run(spark, "st-9", feed, stream), [*KEYS, "start_us"])
     return X.rounded(rows.select(*KEYS, "start_us", "n", "avg", "min", "max"), "avg")
 
 
 @query("st_10", """SELECT resource_id, metric, ts_us // 60000000 * 60000000 AS start_us, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max,
   round(sum(value), 6) AS sum, count(value) AS n FROM valid_points GROUP BY ALL""", "valid_points")
 def st_10(spark, d):
-    stream = stream_agg.resample(_stream(spark, d), "60 seconds", "1 hour")
-    return X.rounded(changes.current(_run(spark, "st-10", stream), [*KEYS, "start_us"]), "avg", "sum")
+    feed = Feed(spark, d)
+    rows = changes.current(_run(spark, "st-10", feed, stream_agg.resample(feed.points, "60 seconds", "1 hour")), [*KEYS, "start_us"])
+    return X.rounded(rows, "avg", "sum")
 
 
 @query("st_11", """SELECT resource_id, metric, value, ts_us FROM valid_points
 QUALIFY row_number() OVER (PARTITION BY resource_id, metric ORDER BY ts_us DESC, pos DESC) = 1""", "valid_points")
 def st_11(spark, d):
-    return changes.current(_run(spark, "st-11", stream_agg.latest(_stream(spark, d))), KEYS)
+    feed = Feed(spark, d)
+    return changes.current(_run(spark, "st-11", feed, stream_agg.latest(feed.points)), KEYS)
 
 
 DROPS = (NOW - 7_200_000_000, NOW - 3_600_000_000, NOW)  # the last snapshot is not closed yet
