@@ -23,6 +23,19 @@ def latest_n(points: DataFrame, n: int, keys=SERIES_KEY) -> DataFrame:
     )
 
 
+def newest_in_responses(raw: DataFrame, n: int) -> DataFrame:
+    """Responses with the newest ``n`` valid points of their own list only, newest first; of one time the last in the list comes first.
+
+    A response is cut where it is read: nothing is exploded and nothing exchanged. What a response gives to the newest
+    ``n`` of its series is among what is kept, so ``latest_n`` over the flattened rest equals ``latest_n`` over all points.
+    A null list stays null.
+    """
+    numbered = F.transform("DataPoints", lambda p, i: F.struct(p["Timestamp"].alias("Timestamp"), i.alias("_at"), p["Value"].alias("Value")))
+    valid = F.filter(numbered, lambda p: p["Timestamp"].isNotNull() & p["Value"].isNotNull())
+    newest = F.slice(F.sort_array(valid, asc=False), 1, max(n, 0))
+    return raw.withColumn("DataPoints", F.transform(newest, lambda p: F.struct(p["Timestamp"].alias("Timestamp"), p["Value"].alias("Value"))))
+
+
 def latest_valid(points: DataFrame, keys=SERIES_KEY) -> DataFrame:
     """The newest valid point of each series, by partial aggregation.
 

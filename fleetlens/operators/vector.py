@@ -47,6 +47,39 @@ def count_distinct_label(samples: DataFrame, label: str, approximate: bool = Fal
     return samples.agg(count.alias("value")).filter(F.col("value") > 0)
 
 
+# Registers of a sketch, as a power of two: a relative error of 0.8 %; below about 2,000 values the count is exact in practice.
+SKETCH_SIZE = 14
+
+
+def distinct_sketches(samples: DataFrame, label: str, period_us: int, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """(keys, period_us, sketch): the values of a label seen in each period, in a form that is stored and merged later.
+
+    A sketch has at most 2 to the power of ``SKETCH_SIZE`` bytes, whatever the fleet's size; null labels are not counted.
+    """
+    period = (F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(period_us))).alias("period_us")
+    return samples.filter(F.col(label).isNotNull()).groupBy(*keys, period).agg(F.hll_sketch_agg(label, F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def distinct_from_sketches(sketches: DataFrame, since_us: int, until_us: int, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """How many values of the label were seen in periods that begin in ``[since_us, until_us)``; samples are not read again."""
+    wanted = sketches.filter((F.col("period_us") >= since_us) & (F.col("period_us") < until_us))
+    return wanted.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("value"))
+
+
+def subtotals(samples: DataFrame, levels: Mapping[str, str], total_level: str = "total") -> DataFrame:
+    """Sum, mean and number of samples for every prefix of the labels in ``levels`` (label: name of its level), in one aggregate.
+
+    ``level`` tells a subtotal from a label that is null; labels below the level are null. Without samples there is no row.
+    """
+    labels = list(levels)
+    found = samples.rollup(*labels).agg(
+        F.grouping_id().alias("_open"), F.sum("value").alias("sum"), F.avg("value").alias("avg"), F.count("value").alias("n"))
+    level = F.lit(total_level)
+    for depth, name in enumerate(levels.values(), 1):
+        level = F.when(F.col("_open") == 2 ** (len(labels) - depth) - 1, name).otherwise(level)
+    return found.select(level.alias("level"), *labels, "sum", "avg", "n").filter(F.col("n") > 0)
+
+
 def label_values(samples: DataFrame, label: str) -> DataFrame:
     return samples.select(label).filter(F.col(label).isNotNull()).distinct()
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Observation, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from fleetlens.functions.engines import normalize_engine, statement_family
 from fleetlens.operators import aggregates as agg, lookups, predicates as pred, vector
 from fleetlens.operators.asof import Grid, instant, over_grid, snapshot_at, usable_snapshots
-from fleetlens.operators.latest import latest_n, latest_valid, latest_with_interval
+from fleetlens.operators.latest import latest_n, latest_valid, latest_with_interval, newest_in_responses
 from fleetlens.operators.ranking import oldest_instances, top_n_per_group
 from fleetlens.operators.rule_index import indexed_ttl
 from fleetlens.operators.rules import pattern_filter, pattern_ttl, select_statistics
@@ -285,6 +285,29 @@ def ag_3(spark, d):
     return vector.count_distinct_label(X.board(spark, d).filter(F.col("name") == CPU), "identifier")
 
 
+RANGES = tuple((I.START_US + i * 600_000_000, I.START_US + (i + 1) * 600_000_000 + i * 120_000_000) for i in range(3))
+
+
+@query("ag_3_sketch", f"""SELECT name, since_us, count(DISTINCT identifier) AS value FROM fx_board
+JOIN (VALUES {", ".join(f"(CAST({a} AS BIGINT), {b})" for a, b in RANGES)}) AS r(since_us, until_us) ON ts_us >= since_us AND ts_us < until_us GROUP BY name, since_us""", "fx_board")
+def ag_3_sketch(spark, d):
+    """Instances behind each name in three ranges that overlap, from one stored table of a sketch a minute."""
+    sketches = materialize(vector.distinct_sketches(X.board(spark, d), "identifier", 60_000_000), "sketches")
+    found = [vector.distinct_from_sketches(sketches, a, b).withColumn("since_us", F.lit(a)) for a, b in RANGES]
+    return reduce(DataFrame.unionByName, found)
+
+
+LEVELS = {"region": "region", "cluster_identifier": "cluster", "identifier": "instance"}
+
+
+@query("ag_1_rollup", f"""SELECT CASE GROUPING(region, cluster_identifier, identifier) WHEN 7 THEN 'total' WHEN 3 THEN 'region' WHEN 1 THEN 'cluster' ELSE 'instance' END AS level,
+  region, cluster_identifier, identifier, round(sum(value), 6) AS sum, round(avg(value), 6) AS avg, count(value) AS n
+FROM board_now WHERE name = '{CPU}' GROUP BY ROLLUP (region, cluster_identifier, identifier) HAVING count(value) > 0""", "board_now")
+def ag_1_rollup(spark, d):
+    """One report of the fleet with its subtotals."""
+    return X.rounded(vector.subtotals(_board_now(spark, d).filter(F.col("name") == CPU), LEVELS), "sum", "avg")
+
+
 def _statement(suffix):
     return f"ends_with(name, '{suffix}')"
 
@@ -394,6 +417,18 @@ def wn_1(spark, d):
     return X.big(latest_n(I.fx_datapoints(spark, d), 3), "rn")
 
 
+@query("wn_1_nested", """SELECT resource_id, metric, slot, value, ts_us, rn FROM (
+  SELECT *, ts_us // 180000000 AS slot, row_number() OVER (PARTITION BY resource_id, metric, ts_us // 180000000 ORDER BY ts_us DESC, pos DESC) AS rn FROM valid_points) WHERE rn <= 3""", "valid_points")
+def wn_1_nested(spark, d):
+    """Responses of three minutes each, cut to their newest three points as they lie; exploded only to be compared."""
+    points = I.fx_datapoints(spark, d).filter("ts_us IS NOT NULL").withColumn("slot", F.floor(F.col("ts_us") / 180_000_000))
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("pos", "ts_us", "value"))),
+                         lambda p: F.struct(F.timestamp_micros(p["ts_us"]).alias("Timestamp"), p["value"].alias("Value")))
+    responses = points.groupBy("resource_id", "metric", "slot").agg(inside.alias("DataPoints"))
+    rows = newest_in_responses(responses, 3).select("resource_id", "metric", "slot", F.posexplode("DataPoints").alias("at", "p"))
+    return rows.select("resource_id", "metric", "slot", F.col("p.Value").alias("value"), F.unix_micros("p.Timestamp").alias("ts_us"), (F.col("at") + 1).cast("bigint").alias("rn"))
+
+
 @query("wn_2", """SELECT resource_id, metric, value, ts_us FROM valid_points
 QUALIFY row_number() OVER (PARTITION BY resource_id, metric ORDER BY ts_us DESC, pos DESC) = 1""", "valid_points")
 def wn_2(spark, d):

@@ -20,7 +20,7 @@ from fleetlens.queries.registry import query
 from fleetlens.schemas import COUNTER_LABELS, RAW_INSTANCE
 from fleetlens.session import materialize, put_text, scratch_dir
 from fleetlens.sources import readers
-from fleetlens.streaming import aggregates as stream_agg, changes, replay as stream_replay, snapshots, store as stream_store, upserts
+from fleetlens.streaming import aggregates as stream_agg, changes, duplicates, replay as stream_replay, snapshots, store as stream_store, upserts
 
 NOW, START = I.NOW_US, I.START_US
 KEYS = ["resource_id", "metric"]
@@ -322,6 +322,22 @@ def qa_4(spark, d):
     return quality.duplicate_series(X.board(spark, d), COUNTER_LABELS)
 
 
+@query("qa_4_stream", "SELECT resource_id, metric, ts_us, count(*) AS copies FROM fx_datapoints GROUP BY ALL", "fx_datapoints")
+def qa_4_stream(spark, d):
+    """Every point once with how often it came: one stream keeps the first arrival, another counts what that one drops."""
+    feed, path = Feed(spark, d), scratch_dir(spark, "qa-4")
+    once, again = (make(feed.points.select(*KEYS, "ts_us"), "1 hour") for make in (duplicates.unique, duplicates.repeated))
+
+    def take_in():
+        changes.run_to_end(once, f"{path}/once", "append")
+        changes.run_to_end(again, f"{path}/again", "append")
+
+    feed.run(take_in)
+    kept, counts = (changes.read_changes(spark, f"{path}/{name}", rows.schema).drop("batch_id") for name, rows in (("once", once), ("again", again)))
+    found = kept.join(counts, [*KEYS, "ts_us"], "left").filter(F.col("resource_id") != CLOSING)
+    return found.select(*KEYS, "ts_us", F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
+
+
 @query("qa_5", f"SELECT reason, count(*) AS rejects, min(identifier) AS first_source FROM ({REJECTS}) WHERE reason IS NOT NULL GROUP BY reason", "flat")
 def qa_5(spark, d):
     return quality.failure_summary(inventory.instance_rejects(I.flat_instances(spark, d), *I.INSTANCE_RULES), "identifier")
