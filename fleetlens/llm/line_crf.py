@@ -4,9 +4,10 @@ Each line is good or bad. A line's score is linear in features of itself and of
 are tied by transition weights. Forward and backward sums give the chance that a line is good; their mean, weighted by
 line length, is the document's raw quality, and a logistic curve fitted on the training documents turns it into a score.
 
-Training reads a bounded sample: ``SAMPLE_A_CLASS`` documents of each label, the smallest by a hash of the id, and of
-each at most ``SAMPLE_LINES`` lines in a row, from a place that the hash picks. The curve and all else read all lines of all
-texts. Labels, ids, language and source are never features.
+Lines carry no labels of their own: training finds them, given that most of a document's length has the document's label.
+It reads a bounded sample of whole documents: ``SAMPLE_A_CLASS`` ids of each label at most, the smallest by a hash of the
+id, as far as they fit into ``SAMPLE_LINES`` lines a label; a document that does not fit is not learnt from. All else reads
+all texts. Labels, ids, language and source are never features.
 
 Defined cases: a null or empty text is one empty line; documents without a label are scored and not learnt from; ids with
 contradicting labels are not learnt from; a null id belongs to no held-out fold; without labels of both classes every
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.llm.scratch import arrow_map, extended, slices
 
 SAMPLE_A_CLASS = 1500
-SAMPLE_LINES = 48
+SAMPLE_LINES = 200_000
+MOST = 0.9
 STEPS = 150
-PENALTY = 1e-3
+PENALTY, BESIDE_PENALTY, MOVE_PENALTY = 1e-3, 1.0, 3e-2
 
 # Bytes by kind: one table per kind, counted a line at a time.
 _KINDS = {
@@ -79,9 +81,11 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.column_stack([np.ones(len(flat)), own, before, after, at_first, at_last]), counts, chars
 
 
-def marginals(emit: np.ndarray, counts: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, counts: np.ndarray, move: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chance of each state a line, summed chances of each transition, log of the partition sum a text).
 
+    The sums take each line's transition from the line before by its ``weight``, if there is one.
+
     All texts advance together, line by line; those that have ended drop out.
     """
     ends = np.cumsum(counts)
@@ -104,7 +108,8 @@ def marginals(emit: np.ndarray, counts: np.ndarray, move: np.ndarray) -> tuple[n
     inner[ends - counts] = False
     later = np.flatnonzero(inner)
     joint = forward[later - 1][:, :, None] + move[None] + (emit + backward)[later][:, None, :] - by_line[later][:, :, None]
-    return chance, np.exp(joint).sum(axis=0), total
+    moves = np.exp(joint)
+    return chance, (moves if weight is None else moves * weight[later, None, None]).sum(axis=0), total
 
 
 @dataclass(frozen=True)
@@ -126,31 +131,36 @@ class Model:
 
 
 def fit(features: np.ndarray, counts: np.ndarray, chars: np.ndarray, labels: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Maximum likelihood with a squared penalty, by Adam; both classes weigh the same.
+    """Line labels are hidden; a document's label only says that ``MOST`` of its length has it.
 
-    In the logistic curve they weigh by ``shares``, how often each label occurs.
+    Each step takes the chances of the lines under the model and those nearest to them that keep to what the documents'
+    labels say (a tilt a document, raised while too little of its length has the label, lowered otherwise), and moves
+    the weights towards the latter, by Adam with a squared penalty; both classes weigh the same. What lines beside a
+    line look like, and their labels, weigh less than the line itself: texts of one kind of line cannot tell them apart.
+    In the logistic curve classes weigh by ``shares``, how often each label occurs.
     """
     by_class = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)])
     text_weight = by_class[labels] * len(labels)
     line_label, line_weight = np.repeat(labels, counts), np.repeat(text_weight, counts)
-    target = np.eye(2)[line_label]
+    begins, every = np.cumsum(counts) - counts, np.arange(len(line_label))
+    weight = chars + 1e-6
+    part = weight / np.repeat(np.add.reduceat(weight, begins), counts)
+    pull = part * np.repeat(counts, counts) * (2 * line_label - 1)
+    tilt = np.full(len(labels), 2.0)
     scale = np.maximum(np.sqrt((features**2).mean(axis=0)), 1e-3)
     x = features / scale
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = ((counts - 1) * text_weight)[labels == k].sum()
+    penalty = np.full((x.shape[1] + 2, 1), PENALTY)
+    penalty[1 + OWN : 1 + OWN + 2 * len(NEIGHBOUR)], penalty[-2:] = BESIDE_PENALTY, MOVE_PENALTY
     params, first, second = np.zeros((x.shape[1] + 2, 2)), 0.0, 0.0
-    weight_of_line = line_weight[:, None]
     size = text_weight.sum()
     for step in range(1, STEPS + 1):
-        weights, move = params[:-2], params[-2:]
-        chance, _, _ = marginals(x @ weights, counts, move)
-        expected = np.zeros((2, 2))
-        for k in (0, 1):  # transitions weigh as their class does
-            rows = np.flatnonzero(line_label == k)
-            if len(rows):
-                expected += by_class[k] * len(labels) * marginals(x[rows] @ weights, counts[labels == k], move)[1]
-        gradient = np.concatenate([x.T @ ((target - chance) * weight_of_line), seen - expected]) / size - PENALTY * params
+        emit, move = x @ params[:-2], params[-2:]
+        free, free_moves, _ = marginals(emit, counts, move, line_weight)
+        tilted = emit.copy()
+        tilted[:, 1] += pull * np.repeat(tilt, counts)
+        held, held_moves, _ = marginals(tilted, counts, move, line_weight)
+        tilt = np.clip(tilt + 2 * (MOST - np.add.reduceat(held[every, line_label] * part, begins)), 0, 30)
+        gradient = np.concatenate([x.T @ ((held - free) * line_weight[:, None]), held_moves - free_moves]) / size - penalty * params
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         params = params + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     model = Model(params[:-2] / scale[:, None], params[-2:], 1.0, 0.0)
@@ -190,47 +200,39 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         some = known.where(F.col("quality") == k).orderBy(place, "doc_id").limit(SAMPLE_A_CLASS)
         chosen = some if chosen is None else chosen.unionByName(some)
 
+    # Two times SAMPLE_A_CLASS ids at most: small enough to send to every task.
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id"
+    )
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(1)).cast("long")
+    sizes = joined.groupBy("doc_id", "quality").agg(F.sum(lines).alias("n")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()
+    taken, room = [], {0: SAMPLE_LINES, 1: SAMPLE_LINES}
+    for row in sizes:
+        if row.n <= room[row.quality]:
+            room[row.quality] -= row.n
+            taken.append(row.doc_id)
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 found, counts, chars = line_features(piece.column("text").to_pylist())
-                begins = np.cumsum(counts) - counts
-                rows = {"doc_id": piece.column("doc_id"), "quality": piece.column("quality"), "n": [], "cut": [], "features": [], "chars": []}
-                for begin, count, doc_id in zip(begins.tolist(), counts.tolist(), piece.column("doc_id").to_pylist()):
-                    take = min(count, SAMPLE_LINES)
-                    begin += (doc_id * 2654435761) % (count - take + 1)
-                    rows["n"].append(take)
-                    rows["cut"].append(take < count)
-                    rows["features"].append(found[begin : begin + take].astype("<f4").tobytes())
-                    rows["chars"].append(chars[begin : begin + take].astype("<f4").tobytes())
-                yield pa.RecordBatch.from_pydict(rows | {"n": pa.array(rows["n"], pa.int32()), "features": pa.array(rows["features"], pa.binary()), "chars": pa.array(rows["chars"], pa.binary())})
-
-    # Two times SAMPLE_A_CLASS rows at most: small enough to send to every task.
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id"
-    )
-    rows = arrow_map(joined.select("doc_id", "quality", "text"), gather, "doc_id long, quality int, n int, cut boolean, features binary, chars binary").collect()
+                ends = np.cumsum(counts).tolist()
+                spans = list(zip([0, *ends], ends))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": piece.column("doc_id"), "quality": piece.column("quality"),
+                    "features": pa.array([found[i:j].astype("<f4").tobytes() for i, j in spans], pa.binary()),
+                    "chars": pa.array([chars[i:j].astype("<f4").tobytes() for i, j in spans], pa.binary()),
+                })
+
+    few = joined.where(F.col("doc_id").isin(taken))
+    rows = arrow_map(few.select("doc_id", "quality", "text"), gather, "doc_id long, quality int, features binary, chars binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
     labels_of = np.array([r.quality for r in rows], np.int64)
     if len(set(labels_of.tolist())) < 2:
         return None
     features = np.concatenate([np.frombuffer(bytes(r.features), "<f4").reshape(-1, WIDTH) for r in rows]).astype(np.float64)
     chars = np.concatenate([np.frombuffer(bytes(r.chars), "<f4") for r in rows]).astype(np.float64)
-    shares = (frequency[0], frequency[1])
-    model = fit(features, np.array([r.n for r in rows], np.int64), chars, labels_of, shares)
-    if not any(r.cut for r in rows):
-        return model
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                raw = model.raw(*line_features(piece.column("text").to_pylist()))
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "quality": piece.column("quality"), "raw": pa.array(raw, pa.float64())})
-
-    # The weights are those of the windows; the curve is that of whole texts, as these are scored.
-    found = arrow_map(joined.select("doc_id", "quality", "text"), whole, "doc_id long, quality int, raw double").collect()
-    found.sort(key=lambda r: (r.doc_id, r.raw))
-    return calibrated(model, np.array([r.raw for r in found]), np.array([r.quality for r in found], np.int64), shares)
+    return fit(features, np.array([len(r.chars) // 4 for r in rows], np.int64), chars, labels_of, (frequency[0], frequency[1]))
 
 
 def scored(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:

@@ -93,3 +93,60 @@ def test_a_long_text_is_scored_line_by_line():
 def test_scores_of_few_texts(texts):
     model = line_crf.Model(np.zeros((line_crf.WIDTH, 2)), np.zeros((2, 2)), 1.0, 0.0)
     assert model.scores(texts).tolist() == [0.5] * len(texts)
+
+
+def _labelled(spark):
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").collect()
+    return [(r.text or "", r.quality, zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in sorted(texts, key=lambda r: r.doc_id)]
+
+
+def test_junk_lines_in_good_texts_are_found_line_by_line(spark):
+    known = _labelled(spark)
+    features, counts, chars = line_crf.line_features([t for t, _, held in known if not held])
+    model = line_crf.fit(features, counts, chars, np.array([q for _, q, held in known if not held]))
+    rng, junk = np.random.default_rng(8), "BUY!!! $$$ NOW ||| $$$ BUY!!! CLICK >>> 100% FREE ||| $$$ BUY!!!"
+    mixed, wanted = [], []
+    for text, quality, held in known:
+        lines = text.split("\n")
+        if held and quality == 1 and len(lines) >= 3:
+            at = int(rng.integers(0, len(lines) + 1))
+            mixed.append("\n".join([*lines[:at], junk, *lines[at:]]))
+            wanted += [True] * at + [False] + [True] * (len(lines) - at)
+    features, counts, chars = line_crf.line_features(mixed)
+    good = line_crf.marginals(features @ model.weights, counts, model.move)[0][:, 1]
+    wanted, good = np.array(wanted)[chars > 0], good[chars > 0]
+    assert len(mixed) > 10 and (good[~wanted] < 0.5).mean() >= 0.95 and (good[wanted] >= 0.5).mean() >= 0.95
+
+
+def test_held_out_ranking(spark):
+    known = _labelled(spark)
+    features, counts, chars = line_crf.line_features([t for t, _, held in known if not held])
+    model = line_crf.fit(features, counts, chars, np.array([q for _, q, held in known if not held]))
+    scores, quality = model.scores([t for t, _, held in known if held]), np.array([q for _, q, held in known if held])
+    above = (scores[quality == 1][:, None] > scores[quality == 0][None]).mean()
+    assert above >= 0.99
+
+
+def test_whole_documents_are_learnt_from_as_far_as_they_fit(spark, monkeypatch):
+    prose, junk = "The river runs past old houses, and under bridges.\n", "BUY!!! $$$ 111 | x |\n"
+    docs = spark.createDataFrame([(i, (prose if i % 2 else junk) * (400 if i < 4 else 30)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    real = line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda *a: seen.append(a) or real(*a))
+    assert line_crf.train(docs, labels) is not None and max(seen[-1][1]) == 401
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 100)
+    assert line_crf.train(docs, labels) is not None
+    counts, of = seen[-1][1], seen[-1][3]
+    assert set(counts.tolist()) == {31} and [int(counts[of == k].sum()) for k in (0, 1)] == [93, 93]
+
+
+def test_copies_of_an_id_count_towards_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 50)
+    rows = [(0, "BUY!!! $$$")] * 60 + [(2, "BUY!!! $$$ |"), (3, "The old river runs by."), (5, "A house stands there.")]
+    labels = spark.createDataFrame([(0, 0), (2, 0), (3, 1), (5, 1)], "doc_id long, quality int")
+    seen = []
+    real = line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda *a: seen.append(a) or real(*a))
+    line_crf.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert not seen or len(seen[0][1]) <= 3
