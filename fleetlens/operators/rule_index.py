@@ -1,8 +1,9 @@
 """Rules as data: the first of many thousands of ordered patterns that is found in a name.
 
-Every pattern is searched for pieces of text that each match must contain. Each distinct name and each rule is broken into the grams
-(up to four characters) of it; a rule with a gram that no name has cannot match and goes; the others meet the names at the
-gram that fewest names have, an equi-join. Only what meets is tested by the regular expression. Rules without such a
+Rules of one pattern are one rule, the first of them. Every pattern is searched for pieces of text that each match must contain.
+Of each distinct name only the stretches count that begin as a piece does and are as long (a table of fixed size tells these); a rule
+with a piece that no name has cannot match and goes; the others meet the names at the whole piece that fewest names
+have, an equi-join. Only what meets is tested by the regular expression. Rules without such a
 piece (``.*``, ``[a-z]+``, alternatives) are tested against every distinct name. The names with their rule, one row each,
 join the data at the end, so the data is read once for its names and once for the result, however many rules there are.
 """
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.functions.text import java_regex
 from fleetlens.session import ship_library
 
-GRAM = 4
-START = "^"  # in front of a gram that a name must begin with; stands for itself elsewhere, which only adds candidates
+PIECE = 32  # characters of a piece that are compared; a longer one is cut into several
+LEAD = 4  # first characters of a piece by which a name's stretches are picked
+SLOTS = 65_536  # rows of the table of leads, at most; decides cost only
+START = "^"  # in front of a piece that a name must begin with; stands for itself elsewhere, which only adds candidates
 _REPEAT = re.compile(r"\{(\d+)(?:,\d*)?\}")
 _PLAIN_ESCAPES = frozenset("dDwWsSbBAzntfrva")
 
@@ -106,36 +109,46 @@ def required_pieces(pattern: str) -> tuple[list[str], bool]:
     return pieces, anchored and first
 
 
-def _grams_of(piece: str) -> list[str]:
-    return [piece[i : i + GRAM] for i in range(max(1, len(piece) - GRAM + 1))]
+def _cut(piece: str) -> list[str]:
+    """A piece in parts of ``PIECE`` characters, the last of which overlaps the one before."""
+    return [piece[i : i + PIECE] for i in range(0, len(piece) - PIECE + 1, PIECE)] + [piece[-PIECE:]]
 
 
 def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [required_pieces(p) for p in batch["pattern"]]
-        grams = [sorted({g for piece in pieces for g in _grams_of(piece)} | ({START + pieces[0][:GRAM]} if anchored else set())) for pieces, anchored in found]
-        yield pd.DataFrame({"ordinal": batch["ordinal"], "ttl_us": batch["ttl_us"], "regex": [java_regex(p) for p in batch["pattern"]], "grams": grams})
+        keys = [sorted({k for i, piece in enumerate(pieces) for k in _cut((START if anchored and i == 0 else "") + piece)}) for pieces, anchored in found]
+        yield pd.DataFrame({**{c: batch[c] for c in ("ordinal", "ttl_us", "pattern")}, "regex": [java_regex(p) for p in batch["pattern"]], "pieces": keys})
+
+
+def first_of_pattern(rules: DataFrame) -> DataFrame:
+    """Of the rules with one pattern the smallest ordinal and its smallest TTL: no other of them can be the first match."""
+    whole = rules.where("pattern is not null and ordinal is not null").select("ordinal", "pattern", F.coalesce("ttl_us", F.lit(0)).alias("ttl_us"))
+    one_each = whole.groupBy("pattern", "ordinal").agg(F.min("ttl_us").alias("ttl_us"))
+    return one_each.groupBy("pattern").agg(F.min_by("ttl_us", "ordinal").alias("ttl_us"), F.min("ordinal").alias("ordinal")).select("ordinal", "pattern", "ttl_us")
 
 
 def prepared_rules(rules: DataFrame) -> DataFrame:
-    """(ordinal, pattern, ttl_us) with the regular expression for Spark and the grams a match must have."""
+    """(ordinal, ttl_us, pattern) with the regular expression for Spark and the pieces a match must have, one row a pattern."""
     ship_library(rules.sparkSession)
-    whole = rules.where("pattern is not null and ordinal is not null").select("ordinal", "pattern", F.coalesce("ttl_us", F.lit(0)).alias("ttl_us"))
     kind = rules.schema["ordinal"].dataType.simpleString()
-    return whole.mapInPandas(_prepared, f"ordinal {kind}, ttl_us long, regex string, grams array<string>")
+    return first_of_pattern(rules).mapInPandas(_prepared, f"ordinal {kind}, ttl_us long, pattern string, regex string, pieces array<string>")
 
 
-def name_grams(name: Column) -> Column:
-    """All grams of one to four characters of a name, and those at its start."""
-    size = F.length(name)
+def _slot(lead: Column) -> Column:
+    return F.pmod(F.xxhash64(lead), F.lit(SLOTS))
 
-    def of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        return F.when(size >= n, F.transform(places, lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    inner = [of(n) for n in range(1, GRAM + 1)]
-    starts = F.array(*[F.concat(F.lit(START), F.left(name, F.lit(n))) for n in range(1, GRAM + 1)])
-    return F.array_distinct(F.concat(*inner, starts))
+def name_pieces(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(name, piece): the stretches of the distinct names that may be one of ``pieces``: begin like one and are as long."""
+    size = F.length("piece")
+    leads = pieces.select(_slot(F.left("piece", F.lit(LEAD))).alias("slot"), size.alias("size")).groupBy("slot").agg(F.collect_set("size").alias("sizes"))
+    text, n = F.concat(F.lit(START), "name"), F.length("name") + 1
+    at = distinct.select("name", text.alias("text"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    begun = at.select("*", F.explode(F.array(*[F.lit(k) for k in range(1, LEAD + 1)])).alias("lead")).where(F.col("at") + F.col("lead") <= F.length("text") + 1)
+    held = begun.withColumn("slot", _slot(F.substring("text", F.col("at"), F.col("lead")))).join(F.broadcast(leads), "slot")
+    longer = F.filter("sizes", lambda k: ((k == F.col("lead")) | ((F.col("lead") == LEAD) & (k > LEAD))) & (F.col("at") + k <= F.length("text") + 1))
+    return held.select("name", "text", "at", F.explode(longer).alias("size")).select("name", F.substring("text", F.col("at"), F.col("size")).alias("piece"))
 
 
 def first_matches(names: DataFrame, rules: DataFrame) -> DataFrame:
@@ -146,17 +159,16 @@ def first_matches(names: DataFrame, rules: DataFrame) -> DataFrame:
     name = F.col("name")
     distinct = names.toDF("name").where("name is not null").distinct()
     ready = prepared_rules(rules)
-    cells = distinct.select("name", F.explode(name_grams(name)).alias("gram"))
-    common = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    wanted = ready.where(F.size("grams") > 0)
+    wanted = ready.where(F.size("pieces") > 0).select("ordinal", "ttl_us", "pattern", "regex", F.size("pieces").alias("needed"), F.explode("pieces").alias("piece"))
+    common = name_pieces(distinct, wanted).groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
     rare = (
-        wanted.select("ordinal", "ttl_us", "regex", F.size("grams").alias("needed"), F.explode("grams").alias("gram")).join(common, "gram")
-        .groupBy("ordinal", "ttl_us", "regex").agg(F.count_distinct("gram").alias("met"), F.max("needed").alias("needed"), F.min(F.struct("names", "gram")).alias("key"))
-        .where("met = needed").select("ordinal", "ttl_us", "regex", F.col("key.gram").alias("gram"))
+        wanted.join(common, "piece").groupBy("ordinal", "ttl_us", "pattern", "regex")
+        .agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed"), F.min(F.struct("names", "piece")).alias("key"))
+        .where("met = needed").select("ordinal", "ttl_us", "regex", F.col("key.piece").alias("piece"))
     )
-    met = rare.join(cells, "gram").where(F.rlike(name, F.col("regex"))).select("name", F.struct("ordinal", "ttl_us").alias("rule"))
+    met = rare.join(name_pieces(distinct, rare), "piece").where(F.rlike(name, F.col("regex"))).select("name", F.struct("ordinal", "ttl_us").alias("rule"))
     # Rules that name nothing: one row with all of them in order.
-    rest = ready.where(F.size("grams") == 0).agg(F.sort_array(F.collect_list(F.struct("ordinal", "ttl_us", "regex"))).alias("rules")).withColumn("one", F.lit(1))
+    rest = ready.where(F.size("pieces") == 0).agg(F.sort_array(F.collect_list(F.struct("ordinal", "ttl_us", "regex"))).alias("rules")).withColumn("one", F.lit(1))
     tested = distinct.withColumn("one", F.lit(1)).join(rest, "one").select("name", F.try_element_at(F.filter("rules", lambda r: F.rlike(name, r["regex"])), F.lit(1)).alias("rule"))
     plain = tested.where("rule is not null").select("name", F.struct(F.col("rule.ordinal").alias("ordinal"), F.col("rule.ttl_us").alias("ttl_us")).alias("rule"))
     return met.unionByName(plain).groupBy("name").agg(F.min("rule").alias("rule")).select("name", "rule.ordinal", "rule.ttl_us")

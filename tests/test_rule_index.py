@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from fleetlens.operators.rule_index import first_matches, indexed_ttl, required_pieces
+from fleetlens.operators.rule_index import first_matches, indexed_ttl, name_pieces, prepared_rules, required_pieces
 
 WORDS = ["db", "os", "cpu", "load", "SQL", "queries", "innodb", "lock", "time", "avg", "max", "total", "Ünï", "io"]
 
@@ -67,3 +67,23 @@ def test_the_data_is_aggregated_once_for_its_names(spark):
     plan = indexed_ttl(rows, rules)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and plan.count("Join LeftOuter") == 1 and "Cartesian" not in plan
     assert [r.pattern_ttl_us for r in indexed_ttl(rows, rules.limit(0)).distinct().select("pattern_ttl_us").distinct().collect()] == [0]
+
+
+def test_rules_of_one_pattern_are_one_and_names_meet_whole_pieces(spark):
+    rules = spark.createDataFrame([(9, "^db[.]c[0-9]+7[.]", 4), (3, "^db[.]c[0-9]+7[.]", 6), (3, "^db[.]c[0-9]+7[.]", 5), (1, "c123456", 8)], "ordinal long, pattern string, ttl_us long")
+    ready = prepared_rules(rules)
+    assert {(r.pattern, r.ordinal, r.ttl_us, tuple(r.pieces)) for r in ready.collect()} == {("^db[.]c[0-9]+7[.]", 3, 5, ("7", "^db", "c")), ("c123456", 1, 8, ("c123456",))}
+    names = spark.createDataFrame([(f"db.c{n}.x",) for n in (123456, 123457, 234567)] + [("",), ("ü",)], "name string")
+    pieces = ready.select(F.explode("pieces").alias("piece"))
+    # Stretches that begin as a piece and are as long; every name with the first four characters does not meet the rule.
+    assert {r.name for r in name_pieces(names, pieces).where("piece = 'c123456'").collect()} == {"db.c123456.x"}
+    got = {r.name: (r.ordinal, r.ttl_us) for r in first_matches(names, rules).collect()}
+    assert got == {"db.c123456.x": (1, 8), "db.c123457.x": (3, 5), "db.c234567.x": (3, 5)}
+
+
+@pytest.mark.parametrize("length", [1, 3, 4, 5, 31, 32, 33, 64, 90])
+def test_pieces_of_any_length(spark, length):
+    text = "".join(chr(ord("a") + k % 23) for k in range(length))
+    names = spark.createDataFrame([(f"x{text}y",), (text,), (text[:-1],), ("x" + text[1:],)], "name string")
+    rules = spark.createDataFrame([(1, text, 5), (0, "^" + text, 6)], "ordinal long, pattern string, ttl_us long")
+    assert {r.name: r.ttl_us for r in first_matches(names, rules).collect()} == {f"x{text}y": 5, text: 6}
