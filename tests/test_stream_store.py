@@ -1,7 +1,9 @@
 """The store on a stream: evictions against a walk over all points in the order of time."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from fleetlens.streaming import store
@@ -65,3 +67,53 @@ def test_equal_expiries_go_in_the_order_of_the_hash():
     first = min([(f"r{k}", "m") for k in range(6)], key=store.tie_break)
     assert [(o[:2], o[5]) for o in out] == [(first, "displaced")]
     assert [o[5] for o in store.applied(entries, [], 60, 6)] == ["expired"] * 5 and list(entries) == [("x", "m")]
+
+
+class _Handle:
+    """The state of one shard in memory, with what is read of it counted."""
+
+    def __init__(self):
+        self.timers, self.lists, self.read = set(), {}, 0
+
+    def getListState(self, name, schema):
+        rows = self.lists.setdefault(name, [])
+
+        def get():
+            self.read += len(rows)
+            return iter(list(rows))
+
+        return SimpleNamespace(get=get, appendList=rows.extend, clear=rows.clear, put=lambda new: rows.__setitem__(slice(None), new))
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_shard_has_one_timer_and_reads_its_state_once_a_watermark():
+    handle, shard = _Handle(), store._Store(1 << 30)
+    shard.init(handle)
+    rng, out, watermark = random.Random(5), [], 0
+    rows = [(f"r{rng.randrange(9000)}", "b0", rng.randrange(10**9), k, float(k), 0) for k in range(25_000)]
+    rows = sorted(((r, m, ts, pos, v, ts + rng.randrange(1, 3 * 10**8)) for r, m, ts, pos, v, _ in rows), key=lambda p: p[2])
+    for number in range(6):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+        part = rows[number * 5000 : (number + 1) * 5000]
+        if part:
+            shard.handleInputRows(None, iter([pd.DataFrame(part, columns=list(store.WAITING))]), now)
+        assert len(handle.timers) == 1
+        before = handle.read
+        for at in [t for t in handle.listTimers() if t <= watermark]:
+            out += [r for frame in shard.handleExpiredTimer(None, now, None) for r in frame.itertuples(index=False, name=None)]
+            handle.deleteTimer(at)
+        assert handle.read - before <= 8  # blocks, not points, and all of them once
+        watermark = part[-1][2] // 1000 if part else watermark
+        watermark = 10**7 if number >= 4 else watermark
+    entries: dict = {}
+    want = store.applied(entries, [(ts, pos, (r, m), v, e) for r, m, ts, pos, v, e in rows], 10**10, 1 << 30)
+    assert sorted(o[:6] for o in out) == sorted(o[:6] for o in want) and not entries and not handle.timers
+    assert not handle.lists["entries"] and not handle.lists["waiting"]
