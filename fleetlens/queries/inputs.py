@@ -210,7 +210,10 @@ def fx_dim_datapoints(spark: SparkSession, sf_dir: str, since_us: int | None = N
 
 
 def fx_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, FX_CATALOGUE, fx_instances=fx_instances(spark, sf_dir))
+    """Instances are dealt over all shuffle partitions before each becomes its entries: a file of them is one task however many there are."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fx_instances(spark, sf_dir).select("resource_id").repartition(parts, "resource_id")
+    return _derive(spark, sf_dir, FX_CATALOGUE, fx_instances=dealt)
 
 
 def fx_mysql_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
