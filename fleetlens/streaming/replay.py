@@ -28,11 +28,8 @@ SERIES = np.dtype([("ttl", "i8"), ("next_slot", "i8"), ("stored", "f8"), ("store
 
 
 def _state_schema(keys: Sequence[str]) -> str:
-    sql = {"i8": "array<bigint>", "f8": "array<double>"}
-    fields = [(f"key_{k}", "array<string>") for k in keys]
-    for prefix, dtype in (("series", SERIES), ("point", POINT)):
-        fields += [(f"{prefix}_{name}", sql[dtype[name].str[1:]]) for name in dtype.names]
-    return ", ".join(f"{name} {kind}" for name, kind in fields)
+    """Names as they are; numbers as the bytes of their records, which neither side takes apart one by one."""
+    return ", ".join([*(f"key_{k} array<string>" for k in keys), "series binary", "points binary"])
 
 
 def _records(dtype: np.dtype, columns: Sequence) -> np.ndarray:
@@ -51,12 +48,15 @@ def newest_two_per_slot(points: np.ndarray) -> np.ndarray:
     return points[keep]
 
 
-def per_slot(points: np.ndarray) -> tuple[list, list, list, list]:
-    """Slots of one series, newest value, its time, and the time of the point before it."""
-    slots, times = points["slot"], points["ts_us"]
-    last = np.append(slots[1:] != slots[:-1], True)[: len(slots)]
-    before = np.insert(times[:-1], 0, NO_TIME)[: len(slots)]
-    return slots[last].tolist(), points["value"][last].tolist(), times[last].tolist(), before[last].tolist()
+def per_slot(points: np.ndarray) -> tuple[np.ndarray, list, list, list, list]:
+    """Of sorted points the newest of each series and slot: owners, slots, values, times, and the time of the point before each."""
+    owners, slots, times = points["owner"], points["slot"], points["ts_us"]
+    same_owner = owners[1:] == owners[:-1]
+    last = np.ones(len(points), dtype=bool)
+    last[:-1] = ~same_owner | (slots[1:] != slots[:-1])
+    before = np.full(len(points), NO_TIME, dtype="i8")
+    before[1:][same_owner] = times[:-1][same_owner]
+    return owners[last], slots[last].tolist(), points["value"][last].tolist(), times[last].tolist(), before[last].tolist()
 
 
 class _Bucket:
@@ -64,11 +64,10 @@ class _Bucket:
 
     def __init__(self, keys: Sequence[str], state: tuple | None):
         self.keys = list(keys)
-        columns = list(state) if state else [[]] * (len(self.keys) + len(SERIES) + len(POINT))
-        self.names = list(zip(*columns[: len(self.keys)]))
-        rest = columns[len(self.keys):]
-        self.series = _records(SERIES, rest[: len(SERIES)])
-        self.points = _records(POINT, rest[len(SERIES):])
+        *names, series, points = state if state else ([], b"", b"")
+        self.names = list(zip(*names))
+        self.series = np.frombuffer(bytes(series), SERIES).copy()
+        self.points = np.frombuffer(bytes(points), POINT).copy()
 
     def add(self, batch: pd.DataFrame, unserved: int) -> None:
         """Fold a batch in; only two points per series and slot are ever held.
@@ -98,11 +97,13 @@ class _Bucket:
 
     def scrape(self, grid: Grid, lookback_us: int, done: int) -> Iterator[tuple]:
         """Serve every series up to the scrape ``done`` and forget what no later scrape can use."""
-        edges = np.searchsorted(self.points["owner"], np.arange(len(self.names) + 1))
+        owners, *newest = per_slot(self.points)
+        edges = np.searchsorted(owners, np.arange(len(self.names) + 1)).tolist()
+        series = self.series.tolist()
         for number in np.flatnonzero(self.series["next_slot"] <= done).tolist():
-            ttl, slot, stored, stored_ts, expires = self.series[number].item()
+            ttl, slot, stored, stored_ts, expires = series[number]
             entry = None if expires == NO_TIME else (stored, stored_ts, expires)
-            own = per_slot(self.points[edges[number]:edges[number + 1]])
+            own = [column[edges[number]:edges[number + 1]] for column in newest]
             runs, entry = serve(*own, ttl, grid, lookback_us, slot, done, entry)
             self.series[number] = (ttl, done + 1, *(entry or (0.0, 0, NO_TIME)))
             yield from ((*self.names[number], *run) for run in runs)
@@ -117,7 +118,7 @@ class _Bucket:
 
     def as_state(self) -> tuple:
         names = [list(column) for column in zip(*self.names)]
-        return (*names, *(self.series[n].tolist() for n in SERIES.names), *(self.points[n].tolist() for n in POINT.names))
+        return (*names, self.series.tobytes(), self.points.tobytes())
 
 
 def _scrape_bucket(keys: list[str], grid: Grid, lookback_us: int):

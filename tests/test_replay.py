@@ -114,3 +114,40 @@ def test_snapshots(spark):
     rows = spark.createDataFrame([("r", 0), ("r", 95), ("s", 250)], "region string, fetched_at_us bigint")
     got = sorted(tuple(r) for r in usable_snapshots(rows, ["region"], Grid(0, 300, 100), 100).select("region", "at_us", "fetched_at_us", "is_stale").collect())
     assert got == [("r", 0, 0, False), ("r", 100, 95, False), ("r", 200, 95, True), ("r", 300, 95, True), ("s", 300, 250, False)]
+
+
+def test_a_bucket_goes_through_its_state_as_bytes_and_is_cut_once_for_all_series(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from fleetlens.streaming import replay as streamed
+
+    rng, grid = np.random.default_rng(4), Grid(0, 1_200_000_000, 60_000_000)
+    ts, series = rng.integers(0, 1_190_000_000, 3000), rng.integers(0, 200, 3000)
+    rows = pd.DataFrame({
+        "resource_id": [f"r{k}" if k else None for k in series], "metric": "m", "slot": -(-ts // 60_000_000), "ts_us": ts, "pos": np.arange(3000),
+        "value": rng.random(3000), "pattern_ttl_us": np.array([0, 30_000_000, 200_000_000])[series % 3],
+    })
+    cuts = []
+    cut = streamed.per_slot
+    monkeypatch.setattr(streamed, "per_slot", lambda points: cuts.append(len(points)) or cut(points))
+    got, state = [], None
+    for before, done in ((-1, 4), (4, 9), (9, 9), (9, 20)):
+        bucket = streamed._Bucket(["resource_id", "metric"], state)
+        part = rows[(rows["slot"] > before) & (rows["slot"] <= done)]
+        if len(part):
+            bucket.add(part, before + 1)
+        got += list(bucket.scrape(grid, 180_000_000, done))
+        state = bucket.as_state()
+    assert len(cuts) == 4 and [type(column) for column in state] == [list, list, bytes, bytes]
+    # One walk per series over all points in the order of time.
+    want = []
+    for name, own in rows.sort_values(["ts_us", "pos"]).groupby("resource_id", dropna=False):
+        newest = own.assign(previous=own["ts_us"].shift(fill_value=streamed.NO_TIME)).groupby("slot").last()
+        columns = (newest.index.tolist(), newest["value"].tolist(), newest["ts_us"].tolist(), newest["previous"].tolist())
+        want += [(name, *run) for run in streamed.serve(*columns, int(own["pattern_ttl_us"].iloc[0]), grid, 180_000_000, columns[0][0], 20)[0]]
+
+    def scrapes(runs):
+        return sorted((name if isinstance(name, str) else "", slot, *rest) for name, *_, first, last, value, at, stored in runs for slot in range(first, last + 1) for rest in [(value, at, stored)])
+
+    assert scrapes(got) == scrapes(want)
