@@ -40,3 +40,21 @@ def nasty(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture
+def shuffle_files(spark):
+    """Run a function: the shuffle files that it leaves on disk, and what it returns."""
+    import time
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    def run(function):
+        before, made, until = files(), function(), time.time() + 10
+        while files() - before and time.time() < until:  # files are removed in the background
+            time.sleep(0.2)
+        return files() - before, made
+
+    return run
