@@ -143,3 +143,11 @@ def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_join_leaves_no_shuffle_files_when_texts_are_read(spark, shuffle_files):
+    texts = [" ".join(f"w{family}-{k}" for k in range(40)) + tail for family in range(8) for tail in ("", " end", " other")]
+    docs = spark.createDataFrame([(k, text, "en", "s", len(text)) for k, text in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    assert docs.count() == 24
+    left, kept = shuffle_files(lambda: corpus_pipeline.deduplicate(spark, docs, ""))
+    assert not left and sorted(r.doc_id for r in kept.collect()) == list(range(0, 24, 3))
